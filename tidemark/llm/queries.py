@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, secrets
+from tidemark.llm import chat, langid, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,5 +25,23 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(rows.union(extra)))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op5_chat": op5_chat}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document, learned from two thirds of the labelled ones."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    part = langid.remainder(F.col("doc_id"), 3)
+    model = toxicity.fit(docs, labels.where(part != 1))
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of those with a language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    part = langid.remainder(F.col("doc_id"), 4)
+    trees = langid.fit(docs.where(part != 2))
+    return langid.predict(docs, trees).select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op5_chat": op5_chat, "op8_toxicity": op8_toxicity, "op10_langid": op10_langid}
 ORACLES: dict[str, str] = {}
