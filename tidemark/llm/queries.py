@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, langid, secrets, toxicity
+from tidemark.llm import chat, langid, neardup, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three quarters of those with a language."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -43,5 +48,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, trees).select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op5_chat": op5_chat, "op8_toxicity": op8_toxicity, "op10_langid": op10_langid}
+QUERIES = {"op1_secrets": op1_secrets, "op5_chat": op5_chat, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_langid": op10_langid}
 ORACLES: dict[str, str] = {}
