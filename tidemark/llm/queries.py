@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, langid, neardup, secrets, toxicity
+from tidemark.llm import chat, decontaminate, langid, neardup, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(rows.union(extra)))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents."""
+    return decontaminate.report(table(spark, sf_dir, "documents"), decontaminate.load(table(spark, sf_dir, "benchmark")))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every document, learned from two thirds of the labelled ones."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -48,5 +53,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, trees).select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op5_chat": op5_chat, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_langid": op10_langid}
+QUERIES = {"op1_secrets": op1_secrets, "op5_chat": op5_chat, "op7_decontaminate": op7_decontaminate, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_langid": op10_langid}
 ORACLES: dict[str, str] = {}
