@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, langid, neardup, secrets, toxicity
+from tidemark.llm import chat, decontaminate, langid, neardup, secrets, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all embeddings of a label."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted and read back, with one more that holds the template's own control strings."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -53,5 +58,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, trees).select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op5_chat": op5_chat, "op7_decontaminate": op7_decontaminate, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_langid": op10_langid}
+QUERIES = {"op1_secrets": op1_secrets, "op4_vectors": op4_vectors, "op5_chat": op5_chat, "op7_decontaminate": op7_decontaminate, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_langid": op10_langid}
 ORACLES: dict[str, str] = {}
