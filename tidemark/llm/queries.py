@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, langid, neardup, secrets, substrings, toxicity, vectors
+from tidemark.llm import chat, decontaminate, langid, neardup, quality, secrets, substrings, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(rows.union(extra)))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of those labelled as of good quality."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality.classify(table(spark, sf_dir, "documents"), trusted)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     return decontaminate.report(table(spark, sf_dir, "documents"), decontaminate.load(table(spark, sf_dir, "benchmark")))
@@ -63,5 +69,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, trees).select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op3_substrings": op3_substrings, "op4_vectors": op4_vectors, "op5_chat": op5_chat, "op7_decontaminate": op7_decontaminate, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_langid": op10_langid}
+QUERIES = {"op1_secrets": op1_secrets, "op3_substrings": op3_substrings, "op4_vectors": op4_vectors, "op5_chat": op5_chat, "op6_quality": op6_quality, "op7_decontaminate": op7_decontaminate, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_langid": op10_langid}
 ORACLES: dict[str, str] = {}
