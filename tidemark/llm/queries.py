@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, langid, neardup, quality, secrets, substrings, toxicity, vectors
+from tidemark.llm import bpe, chat, decontaminate, langid, neardup, quality, secrets, substrings, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, and decoded again."""
+    return bpe.digests(table(spark, sf_dir, "documents"), bpe.vocabulary(spark))
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of all documents that an earlier document holds, removed."""
     return substrings.deduplicated(table(spark, sf_dir, "documents"))
@@ -69,5 +74,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, trees).select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op3_substrings": op3_substrings, "op4_vectors": op4_vectors, "op5_chat": op5_chat, "op6_quality": op6_quality, "op7_decontaminate": op7_decontaminate, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_langid": op10_langid}
+QUERIES = {"op1_secrets": op1_secrets, "op2_bpe": op2_bpe, "op3_substrings": op3_substrings, "op4_vectors": op4_vectors, "op5_chat": op5_chat, "op6_quality": op6_quality, "op7_decontaminate": op7_decontaminate, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_langid": op10_langid}
 ORACLES: dict[str, str] = {}

@@ -232,3 +232,15 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             yield T.batch(schema, doc_id=keys, score=sent.value.scores(block))
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+
+
+def kept(docs: DataFrame, model: Model, text: str = "text", least: float = 0.7) -> DataFrame:
+    """docs, all columns kept, without the rows that score `least` or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = [sent.value.scores(block) for block in T.blocks(b.column(b.schema.get_field_index(text)))]
+            yield b.filter(pa.array(np.concatenate(scores) < least)) if scores else b
+
+    return docs.mapInArrow(run, docs.schema)
