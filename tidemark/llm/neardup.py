@@ -7,7 +7,8 @@ Search. Documents with equal shingle sets are one class, shown by its smallest i
 into buckets; two documents with a Jaccard index of 0.85 share no bucket once in a hundred thousand times. Inside a bucket every two
 classes are estimated jointly: the likelihood of the registers that are equal, larger and smaller, given both set sizes, is maximal
 at some index, and pairs of at least FLOOR (four standard deviations below the threshold) are verified on their full sets.
-A bucket is dealt in tiles of bounded size, so a bucket of any size is compared whole without meeting in one task.
+A bucket is dealt in tiles of bounded size, so a bucket of any size is compared whole without meeting in one task. Pairs are never rows:
+a tile passes on its rows that have a partner, gets their full sets, and gives links that join what was apart.
 
 Links and components. Two classes are linked when 100 * intersection >= PERCENT * union. Components are found by joins.
 
@@ -31,6 +32,7 @@ W, PERCENT = 5, 85
 M, ROWS, BASE = 100, 5, 1.001
 FLOOR = 0.70
 TILE_ROWS, TILE_SHINGLES = 2048, 1 << 20
+MAP_BITS = 23
 
 _MULTIPLIERS = (T.mix(np.arange(1, M + 1, dtype=T.U) * T.U(0x9E3779B97F4A7C15)) | T.U(1)).tolist()
 _BANDS = T.mix(np.arange(M // ROWS, dtype=T.U) * T.U(0xA0761D6478BD642F))
@@ -137,40 +139,46 @@ def groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple
         yield now, pa.Table.from_batches(held)
 
 
-def compare(tiles: DataFrame) -> DataFrame:
-    """Pairs (bucket, i, j, a, b) of classes that may be linked: rows of tiles are sorted by bucket, i, j. A pair is told by its first shared band."""
+def candidates(bucket: int, i: int, j: int, t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows) of a tile's pairs that may be linked and whose first shared band this is. Columns from the third on: salt, id, size, registers."""
+    salt, ids, n = (t.column(k).to_numpy() for k in (3, 4, 5))
+    regs = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint16).reshape(len(ids), M)
+    power = T.powers(0xD6E8FEB86659FD93, ROWS)
+    right = np.flatnonzero(salt == j)
+    right = right[np.argsort(n[right], kind="stable")]
+    sizes = n[right]
+    for x in np.flatnonzero(salt == i):
+        near = right[np.searchsorted(sizes, n[x] * FLOOR, "left") : np.searchsorted(sizes, n[x] / FLOOR, "right")]
+        near = near[ids[near] > ids[x]] if i == j else near
+        equal = (regs[near] == regs[x]).sum(1)
+        near, equal = near[equal >= 0.5 * M], equal[equal >= 0.5 * M]
+        if len(near):
+            more = (regs[x] > regs[near]).sum(1)
+            good = near[jaccard(equal, more, M - equal - more, np.full(len(near), n[x], float), n[near].astype(float)) >= FLOOR]
+            same = (regs[good] == regs[x]).reshape(-1, M // ROWS, ROWS).all(2)
+            good, band = good[same.any(1)], same[same.any(1)].argmax(1)
+            key = ((regs[x].reshape(-1, ROWS).astype(T.U) + T.U(1)) * power).sum(1, dtype=T.U)
+            good = good[T.signed(T.mix(key ^ _BANDS))[band] == bucket]
+            if len(good):
+                yield int(x), good
+
+
+_TILE = "bucket long, i int, j int, salt int, doc_id long, n long, registers binary"
+
+
+def active(tiles: DataFrame) -> DataFrame:
+    """The rows of tiles that have a partner there; tiles are sorted by bucket, i, j."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
-        power = T.powers(0xD6E8FEB86659FD93, ROWS)
         for (bucket, i, j), t in groups(batches, 3):
-            salt, ids, n = (t.column(k).to_numpy() for k in (3, 4, 5))
-            regs = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint16).reshape(len(ids), M)
-            found = []
-            left = np.flatnonzero(salt == i)
-            right = np.flatnonzero(salt == j)
-            right = right[np.argsort(n[right], kind="stable")]
-            sizes = n[right]
-            for x in left:
-                near = right[np.searchsorted(sizes, n[x] * FLOOR, "left") : np.searchsorted(sizes, n[x] / FLOOR, "right")]
-                near = near[ids[near] > ids[x]] if i == j else near
-                equal = (regs[near] == regs[x]).sum(1)
-                near, equal = near[equal >= 0.5 * M], equal[equal >= 0.5 * M]
-                if len(near):
-                    more = (regs[x] > regs[near]).sum(1)
-                    good = near[jaccard(equal, more, M - equal - more, np.full(len(near), n[x], float), n[near].astype(float)) >= FLOOR]
-                    same = (regs[good] == regs[x]).reshape(-1, M // ROWS, ROWS).all(2)
-                    good, band = good[same.any(1)], same[same.any(1)].argmax(1)
-                    key = ((regs[x].reshape(-1, ROWS).astype(T.U) + T.U(1)) * power).sum(1, dtype=T.U)
-                    own = T.signed(T.mix(key ^ _BANDS))
-                    good = good[own[band] == bucket]
-                    found.append(np.stack([np.full(len(good), ids[x]), ids[good]]))
-            pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-            if pairs.shape[1]:
-                k = pairs.shape[1]
-                yield T.batch(schema, bucket=np.full(k, bucket), i=np.full(k, i, np.int32), j=np.full(k, j, np.int32), a=pairs.min(0), b=pairs.max(0))
-
-    return tiles.mapInArrow(run, "bucket long, i int, j int, a long, b long")
+            keep = np.zeros(len(t), bool)
+            for x, others in candidates(bucket, i, j, t):
+                keep[x] = True
+                keep[others] = True
+            if keep.any():
+                yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return tiles.mapInArrow(run, _TILE)
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -185,32 +193,56 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, shingles binary")
 
 
-def verify(rows: DataFrame, percent: int) -> DataFrame:
-    """Links among the pairs of each tile: rows (bucket, i, j, a, b, shingles), sets (b null) before pairs."""
+def verified(tiles: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of each tile that join what is not joined there yet; tiles hold the full sets besides. Pairs that are already
+    joined need no link, so a tile gives fewer links than rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        for _, t in groups(batches, 3):
-            sets: dict[int, np.ndarray] = {}
-            pairs: dict[int, list[int]] = {}
-            for a, b, s in zip(t.column(3).to_pylist(), t.column(4).to_pylist(), t.column(5).to_pylist(), strict=True):
-                if b is None:
-                    sets[a] = np.frombuffer(s, T.U)
-                else:
-                    pairs.setdefault(a, []).append(b)
+        for (bucket, i, j), t in groups(batches, 3):
+            ids = t.column(4).to_numpy()
+            sets = [np.frombuffer(x, T.U) for x in t.column(7).to_pylist()]
+            size = np.array([len(x) for x in sets])
+            _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            begin = np.cumsum(size) - size
+            mark = np.zeros(int(flat.max()) + 1, bool)
+            part = np.arange(len(ids))
             links = []
-            for a, others in pairs.items():
-                x = sets[a]
-                for b in others:
-                    y = sets[b]
-                    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                    both = int((x[at] == y).sum())
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        links.append((a, b))
+            for x, others in candidates(bucket, i, j, t):
+                others = others[part[others] != part[x]]
+                if not len(others):
+                    continue
+                own = flat[begin[x] : begin[x] + size[x]]
+                mark[own] = True
+                n = size[others]
+                at = np.repeat(begin[others] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                both = np.add.reduceat(mark[flat[at]].astype(np.int64), np.cumsum(n) - n)
+                mark[own] = False
+                for y in others[100 * both >= percent * (size[x] + n - both)].tolist():
+                    if part[y] != part[x]:
+                        part[part == part[y]] = part[x]
+                        links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
             if links:
                 yield T.batch(schema, a=[x[0] for x in links], b=[x[1] for x in links])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return tiles.mapInArrow(run, "a long, b long")
+
+
+def thinned(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs without most of the rows whose id isn't wanted, by a bit map of 2 ** MAP_BITS bits, whatever the number of ids."""
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
+    words = wanted.select(spot.alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 31 as int)))").alias("m"))
+    table = np.zeros(1 << (MAP_BITS - 5), np.int64)
+    for r in words.collect():  # at most 2 ** (MAP_BITS - 5) rows
+        table[r.w] = r.m
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = b.column(2).to_numpy()
+            yield b.filter(pa.array((sent.value[s >> 5] >> (s & 31)) & 1 == 1))
+
+    return docs.where("doc_id is not null").select("doc_id", "text", spot.alias("s")).mapInArrow(run, "doc_id long, text string, s long").drop("s")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -228,15 +260,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     multi = multi.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     multi = multi.select("bucket", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "doc_id")
     tiles = multi.join(classes.select("doc_id", "n", "registers"), "doc_id").select("bucket", "i", "j", "salt", "doc_id", "n", "registers")
-    tiles = tiles.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    pairs = store.written(compare(tiles), "pairs")
-
-    sides = pairs.select("bucket", "i", "j", F.col("a").alias("doc_id")).unionByName(pairs.select("bucket", "i", "j", F.col("b").alias("doc_id"))).distinct()
-    wanted = sides.select("doc_id").distinct()
-    sets = full_sets(docs.join(wanted, "doc_id", "left_semi")).groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
-    rows = sides.join(sets, "doc_id").select("bucket", "i", "j", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
-    rows = rows.unionByName(pairs.select("bucket", "i", "j", "a", "b", F.lit(None).cast("binary").alias("shingles")))
-    links = verify(rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), percent)
+    tiles = tiles.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc_id")
+    tiles = store.written(active(tiles), "tiles")
+
+    wanted = tiles.select("doc_id").distinct()
+    sets = full_sets(thinned(docs, wanted)).join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
+    rows = tiles.join(sets, "doc_id").select("bucket", "i", "j", "salt", "doc_id", "n", "registers", "shingles")
+    links = verified(rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc_id"), percent)
 
     joined = store.components(links).withColumnRenamed("node", "rep")
     owners = classes.select("h1", "h2", "n", F.col("doc_id").alias("rep")).join(joined, "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))

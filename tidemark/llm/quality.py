@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 from tidemark.llm import store
 from tidemark.llm import text as T
 from tidemark.llm.langid import codes
+from tidemark.llm.neardup import thinned
 from tidemark.llm.substrings import pack, unpack
 
 N = 5
 QUANTILE, SLACK = 0.99, 1.1
 #: Bits a byte, times the root of the bytes, that a short text may lie above the threshold by chance.
 EVIDENCE = 4.0
-MAP_BITS = 23
 #: Chunks that a file's rows are dealt in.
 SPREAD = 8
 
@@ -212,23 +212,6 @@ def summed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, lang string, n_bytes long, bits double")
 
 
-def thinned(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """docs without most of the rows whose id isn't trusted, by a bit map of 2 ** MAP_BITS bits."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
-    words = trusted.select(spot.alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 31 as int)))").alias("m"))
-    table = np.zeros(1 << (MAP_BITS - 5), np.int64)
-    for r in words.collect():  # at most 2 ** (MAP_BITS - 5) rows
-        table[r.w] = r.m
-    sent = docs.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = b.column(2).to_numpy()
-            yield b.filter(pa.array((sent.value[s >> 5] >> (s & 31)) & 1 == 1))
-
-    return docs.where("doc_id is not null").select("doc_id", "text", spot.alias("s")).mapInArrow(run, "doc_id long, text string, s long").drop("s")
-
-
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold and kept for every row of docs(doc_id, text, lang); trusted: ids of trusted documents."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.input_file_name().alias("file"))
