@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Settings under which results are defined: UTC time, text directory keys, adaptive plans.
@@ -24,3 +27,12 @@ def session(master: str | None = None, app: str = "tidemark", **extra: str) -> S
     for key, value in {**SETTINGS, **{k.replace("__", "."): v for k, v in extra.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder for a job's own files inside the shared folder `spark.checkpoint.dir`; where that is unset, as in tests, a local one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
