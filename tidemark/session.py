@@ -29,10 +29,18 @@ def session(master: str | None = None, app: str = "tidemark", **extra: str) -> S
     return builder.getOrCreate()
 
 
+_LOCAL: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines share, `spark.checkpoint.dir`; where that is unset, as in tests, a local one for this process."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder or folder == "<undefined>":
+        folder = _LOCAL.setdefault("folder", "") or tempfile.mkdtemp(prefix="tidemark-")
+        _LOCAL["folder"] = folder
+    return folder.rstrip("/")
+
+
 def work_dir(spark: SparkSession) -> str:
-    """A new folder for a job's own files inside the shared folder `spark.checkpoint.dir`; where that is unset, as in tests, a local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    """A new folder for a job's own files inside the shared one."""
+    return f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
