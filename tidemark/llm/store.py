@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, `spark.checkpoint.dir`; where that is unset, as in tests, a new local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+from tidemark.session import work_dir
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """The rows, written once as Parquet to the shared folder and read from there, so that lost executors cost a read."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}/{name}"
+    path = f"{work_dir(spark)}/{name}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
