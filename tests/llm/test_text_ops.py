@@ -128,6 +128,15 @@ def test_forgetting_words_changes_nothing(codec, library, monkeypatch):
     assert codec.encode(text) == library.encode_ordinary(text)
 
 
+def test_folding_by_higher_order_functions(spark, codec, library):
+    words = [w.encode() for w in ("a", " the", " unusualwordsies", "é词", "\n\n", "0123456789", "aaaaaaa", "'re", " tionthereable")]
+    with open(__import__("public_tokenizers").path(bpe.VOCABULARY)) as f:
+        buckets = bpe.rank_map(f.read())
+    frame = spark.createDataFrame([(words, buckets)], "words array<binary>, buckets array<string>")
+    got = frame.select(bpe.folded(F.col("words"), F.col("buckets")).alias("ids")).first().ids
+    assert got == [list(codec.fold(w)) for w in words] and got[2] == library.encode_ordinary(words[2].decode())
+
+
 def test_bpe_jobs(spark, library):
     data = bpe.vocabulary(spark)
     rows = {r.doc_id: r for r in bpe.digests(docs(spark, ODD), data).collect()}
