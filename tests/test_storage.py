@@ -167,3 +167,11 @@ def test_backpressure():
         b.report(True)
         b.adjust()
     assert b.limit == 8
+
+
+def test_filters_and_columns_reach_the_scan(spark, store, capsys):
+    store.scan(("and", ("=", "user_id", 3), ("=", "tenant_id", "tenant_1"))).select("event_type").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "EqualTo(user_id,3)" in plan and "EqualTo(tenant_id,tenant_1)" in plan
+    schema = next(x for x in plan.splitlines() if x.startswith("ReadSchema"))
+    assert "payload" not in schema and "Exchange" not in plan

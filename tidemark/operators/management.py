@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import bloom
 from tidemark.operators import routing, storage
 from tidemark.operators.statements import ORACLE_VIEW
 from tidemark.plans import pruning
 from tidemark.registry import Registry
 from tidemark.session import work_dir
 from tidemark.sources import manifest, schemas
-from tidemark.sources.tables import EVENTS, events
-from tidemark.streaming.ingest import into_store, landed
+from tidemark.sources.tables import EVENTS, events, read_files
+from tidemark.streaming.ingest import into_store, landed, windowed
 
 QUERIES = Registry()
 _FIRST_WEEK = ("between", "event_time", 1704067200000000, 1704671999999999)
@@ -79,7 +80,7 @@ def schema_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.where("user_id % 2 = 1").withColumn("region", F.lit("eu")).write.parquet(f"{folder}/v2")
     registry = schemas.Registry()
     registry.register(schemas.Schema(1, (*schemas.EVENTS_V1.columns, schemas.Column("region", "TEXT"))))
-    from tidemark.sources.tables import read_files
+
 
     return read_files(spark, [f"{folder}/v1", f"{folder}/v2"], registry.latest().spark()).groupBy("region").agg(F.count("*").alias("n"))
 
@@ -141,3 +142,46 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     _rows(spark, sf_dir).drop("event_id").repartition(2).write.json(f"{folder}/landing")
     into_store(landed(spark, f"{folder}/landing", EVENTS), store, "events", f"{folder}/checkpoint").awaitTermination()
     return _summary(store.scan())
+
+
+@QUERIES.query("m_bloom", ORACLE_VIEW + "SELECT COUNT(*) AS held, TRUE AS rare FROM (SELECT DISTINCT partition_key, user_id FROM ev)")
+def bloom_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's filter holds all of its users, and hardly any strangers."""
+    rows = events(spark, sf_dir).select("partition_key", "user_id").distinct()
+    shape = bloom.Shape.of(1000, 0.001)
+    filters = bloom.build(rows, "user_id", shape, "partition_key")
+    held = bloom.may_hold(filters, rows, "user_id", shape, "partition_key").withColumnRenamed("value", "user_id").join(rows, ["partition_key", "user_id"], "left_semi")
+    strangers = spark.range(1_000_000, 1_001_000).withColumnRenamed("id", "user_id")
+    wrong = bloom.may_hold(filters, strangers, "user_id", shape, "partition_key")
+    days = rows.select("partition_key").distinct().agg(F.count("*").alias("days"))
+    one = held.agg(F.count("*").alias("held")).withColumn("k", F.lit(1)).join(wrong.agg(F.count("*").alias("wrong")).withColumn("k", F.lit(1)), "k").join(days.withColumn("k", F.lit(1)), "k")
+    return one.select("held", (F.col("wrong") <= F.col("days") * 5).alias("rare"))
+
+
+@QUERIES.query("m_compaction_candidates", ORACLE_VIEW + ", f AS (SELECT partition_key, user_id % 3 AS part, COUNT(*) AS rows FROM ev GROUP BY 1, 2) SELECT partition_key, COUNT(*) AS files, CAST(SUM(rows) AS BIGINT) AS rows FROM f WHERE rows < 200 GROUP BY 1 HAVING COUNT(*) >= 2")
+def compaction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys with several small files, a third of a day's users being a file."""
+    files = manifest.file_stats(events(spark, sf_dir).withColumn("path", F.concat("partition_key", (F.col("user_id") % 3).cast("string"))))
+    return files.where("row_count < 200").groupBy("partition_key").agg(F.count("*").alias("files"), F.sum("row_count").alias("rows")).where("files >= 2")
+
+
+@QUERIES.query("m_duplicate_ids", ORACLE_VIEW + "SELECT COUNT(DISTINCT event_id) AS ids, COUNT(*) * 2 AS rows FROM ev")
+def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that came twice are one after compaction."""
+    rows = _rows(spark, sf_dir)
+    twice = rows.unionByName(rows)
+    return twice.agg(F.count("*").alias("rows"), F.lit(1).alias("k")).join(twice.dropDuplicates(["event_id"]).agg(F.count("*").alias("ids"), F.lit(1).alias("k")), "k").select("ids", "rows")
+
+
+@QUERIES.query("m_windows", ORACLE_VIEW + "SELECT date_trunc('hour', ts) AS begin, event_type, COUNT(*) AS n FROM ev GROUP BY 1, 2")
+def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by hour and type."""
+    return windowed(_rows(spark, sf_dir)).withColumn("begin", F.col("begin").cast("timestamp_ntz"))
+
+
+@QUERIES.query("m_access_pairs", ORACLE_VIEW + ", l AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_time, event_id) AS b FROM ev) SELECT a, b, COUNT(*) AS n FROM l WHERE b IS NOT NULL AND a <> b GROUP BY 1, 2")
+def access_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often one kind of access follows another."""
+    order = Window.partitionBy("user_id").orderBy("event_time", "event_id")
+    pairs = events(spark, sf_dir).select(F.col("event_type").alias("a"), F.lead("event_type").over(order).alias("b"))
+    return pairs.where("b is not null and a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
