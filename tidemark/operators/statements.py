@@ -31,7 +31,7 @@ STATEMENTS: list[tuple[str, str, str | None]] = [
     ("q_alias", "SELECT e.user_id AS uid, e.event_type kind FROM ev e WHERE e.user_id < 4", None),
     ("q_distinct", "SELECT DISTINCT tenant_id, event_type FROM ev", None),
     ("q_literal_escape", "SELECT event_id, 'it''s' AS s, 'a\\b' AS b FROM ev WHERE user_id = 1", None),
-    ("q_no_from", "SELECT 1 AS one, 'x' AS x, NULL AS n", "SELECT 1 AS one, 'x' AS x, NULL AS n"),
+    ("q_no_from", "SELECT 1 AS one, 'x' AS x, CAST(NULL AS INT) AS n", "SELECT 1 AS one, 'x' AS x, CAST(NULL AS INT) AS n"),
     # aggregates
     ("q_count_star", "SELECT COUNT(*) AS count FROM ev", None),
     ("q_count_col", "SELECT COUNT(nullif(event_type, 'view')) AS n FROM ev", None),
