@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import text as T
 
-SAMPLE, SAMPLE_BYTES = 4000, 1 << 14
+SAMPLE, SAMPLE_BYTES = 2500, 1 << 14
 #: Mined terms: least toxic rows that hold one, least ratio of the smoothed rates, and how many are kept.
-SUPPORT, RATIO, TERMS = 4, 30.0, 4000
+SUPPORT, RATIO, TERMS = 4, 30.0, 1000
 LABEL = 0.98
 PREFIXES = (4, 5, 6, 7)
 
@@ -152,6 +152,11 @@ def fixed() -> np.ndarray:
     return np.unique(T.words(block, T.ALNUM, fold=True).hash)
 
 
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """A product with a matrix of single precision, without a wider copy of it."""
+    return (matrix @ vector.astype(np.float32)).astype(np.float64)
+
+
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Posterior of class 1 for each row of a 0/1 vote matrix; labels: 1, 0, or -1 where unknown."""
     n, m = votes.shape
@@ -161,28 +166,28 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> np.n
     for step in range(rounds):
         prior = np.clip(p.mean(), 1e-3, 1 - 1e-3)
         one, zero = p.sum(), (1 - p).sum()
-        a = (votes.T @ p + 0.5) / (one + 1)
-        b = (votes.T @ (1 - p) + 0.05) / (zero + 1)
+        a = (_times(votes.T, p) + 0.5) / (one + 1)
+        b = (_times(votes.T, 1 - p) + 0.05) / (zero + 1)
         on, off = np.log(a / b) * share, np.log((1 - a) / (1 - b)) * share
-        z = np.log(prior / (1 - prior)) + votes @ (on - off) + off.sum()
+        z = np.log(prior / (1 - prior)) + _times(votes, on - off) + off.sum()
         z += np.where(known, np.where(labels == 1, 1, -1) * np.log(LABEL / (1 - LABEL)), 0)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         if step == 4:  # correlations of what the classes don't explain
-            rest = votes - (p[:, None] * a + (1 - p)[:, None] * b)
-            sd = rest.std(0) + 1e-9
-            corr = (rest / sd).T @ (rest / sd) / n
+            rest = votes - (p[:, None] * a + (1 - p)[:, None] * b).astype(np.float32)
+            rest /= rest.std(0) + 1e-6
+            corr = (rest.T @ rest / n).astype(np.float64)
             share = 1 / np.maximum(1, (np.where(np.abs(corr) > 0.1, corr, 0) ** 2).sum(1))
     return p
 
 
-def linear(votes: np.ndarray, p: np.ndarray, ridge: float = 0.3, rounds: int = 400, rate: float = 1.0) -> tuple[np.ndarray, float]:
+def linear(votes: np.ndarray, p: np.ndarray, ridge: float = 0.3, rounds: int = 300, rate: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on soft labels: batch gradient steps with a decaying rate."""
     n, m = votes.shape
     w, b = np.zeros(m), float(np.log(max(p.mean(), 1e-3) / max(1 - p.mean(), 1e-3)))
     scale = 4 / np.maximum(votes.mean(0), 4 / n) / max(1.0, float(votes.sum(1).mean()))
     for _ in range(rounds):
-        q = 1 / (1 + np.exp(-np.clip(votes @ w + b, -40, 40)))
-        g = votes.T @ (q - p) / n + ridge * w / n
+        q = 1 / (1 + np.exp(-np.clip(_times(votes, w) + b, -40, 40)))
+        g = _times(votes.T, q - p) / n + ridge * w / n
         w -= rate * np.clip(scale * g, -0.5, 0.5)
         b -= rate * np.clip(4 * (q - p).mean(), -0.5, 0.5)
     return w, b
