@@ -1,11 +1 @@
-"""Training-data operators: ten operators over documents, embeddings and conversations.
-
-Nothing else in the library imports this subpackage. Functions sent to executors are pickled by value, so that
-workers need no copy of the repository on their path.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Training-data operators: ten operators over documents, embeddings and conversations. Nothing else in the library imports this subpackage."""

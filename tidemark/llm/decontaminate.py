@@ -22,7 +22,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -242,7 +241,7 @@ def merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return [(b, e) for b, e in out]
 
 
-def load(benchmark: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES) -> list[Broadcast]:
+def load(benchmark: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES) -> list[T.Sent]:
     """The benchmark's parts, broadcast one by one."""
     rows = benchmark.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("item"), F.col(text).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -252,14 +251,14 @@ def load(benchmark: DataFrame, key: str = "item_id", text: str = "text", window:
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
         phrases = Phrases(sorted((r.item, r.text) for r in part.collect()), window)
         if phrases.shortest:
-            out.append(benchmark.sparkSession.sparkContext.broadcast(phrases))
+            out.append(T.Sent(benchmark.sparkSession, phrases))
     return out
 
 
 class Hits:
     """What one shard's documents gathered from all parts: spans of words and items."""
 
-    def __init__(self, parts: list[Broadcast]) -> None:
+    def __init__(self, parts: list[T.Sent]) -> None:
         self.parts, self.blocks, self.n, self.kept = parts, [], 0, 0
 
     def add(self, w: T.Words) -> None:
@@ -276,6 +275,8 @@ class Hits:
             for w, doc in self.blocks:
                 shard.add(w, doc)
             docs, at, window = shard.occurrences()
+            if len(self.parts) > 1:
+                part.held = None  # one part at a time
             for d, a, k in zip(docs.tolist(), at.tolist(), window.tolist(), strict=True):
                 spans.setdefault(d, []).append((a, a + int(phrases.sizes[k])))
                 items.setdefault(d, set()).update(phrases.items[k])
@@ -289,7 +290,7 @@ def contaminated(n_hit: int, n_words: int) -> bool:
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def report(docs: DataFrame, parts: list[Broadcast], key: str = "doc_id", text: str = "text") -> DataFrame:
+def report(docs: DataFrame, parts: list[T.Sent], key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: how many of its words lie in a benchmark window, and whose."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +319,7 @@ def report(docs: DataFrame, parts: list[Broadcast], key: str = "doc_id", text: s
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, REPORT)
 
 
-def cleaned(docs: DataFrame, parts: list[Broadcast], text: str = "text", drop: bool = True) -> DataFrame:
+def cleaned(docs: DataFrame, parts: list[T.Sent], text: str = "text", drop: bool = True) -> DataFrame:
     """docs, all columns kept, without the merged spans from the first to the last byte of benchmark words; with `drop`, without
     the documents that count as contaminated."""
 

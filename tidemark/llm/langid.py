@@ -163,7 +163,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES)
 
 def predict(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, bits_per_byte for each row."""
-    model = docs.sparkSession.sparkContext.broadcast(trees)
+    model = T.Sent(docs.sparkSession, trees)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])

@@ -6,12 +6,15 @@ byte by byte. Memory is bounded by BLOCK bytes of text, or by one document if th
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import SparkSession
 
 BLOCK = 1 << 20
 U = np.uint64
@@ -154,3 +157,19 @@ def read(batches: Iterable[pa.RecordBatch], key: str = "doc_id", text: str = "te
         keys = b.column(b.schema.get_field_index(key))
         for block in blocks(b.column(b.schema.get_field_index(text))):
             yield keys.slice(block.row, len(block)), block
+
+
+class Sent:
+    """An object broadcast with its classes, so that workers need no copy of this library; it is rebuilt once in each task."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self.data, self.held = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self) -> dict:
+        return {"data": self.data, "held": None}
+
+    @property
+    def value(self):
+        if self.held is None:
+            self.held = pickle.loads(self.data.value)
+        return self.held

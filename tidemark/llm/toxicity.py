@@ -229,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = T.Sent(docs.sparkSession, model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -241,7 +241,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def kept(docs: DataFrame, model: Model, text: str = "text", least: float = 0.7) -> DataFrame:
     """docs, all columns kept, without the rows that score `least` or more."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = T.Sent(docs.sparkSession, model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
