@@ -470,7 +470,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     docs = every.where("doc_id is not null")
 
     def sent(rows: DataFrame, *sort: str) -> DataFrame:
-        return rows.repartition(parts, "part").sortWithinPartitions("part", *sort)
+        return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", *sort)
 
     none = F.lit(None).cast("long")
     answers = shared(sent(gathered(docs, parts)), parts).select("part", F.lit(0).alias("kind"), none.alias("class"), none.alias("doc_id"), "data")
