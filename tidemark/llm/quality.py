@@ -37,7 +37,7 @@ QUANTILE, SLACK = 0.99, 1.1
 #: Bits a byte, times the root of the bytes, that a short text may lie above the threshold by chance.
 EVIDENCE = 4.0
 #: Chunks that a file's rows are dealt in.
-SPREAD = 8
+SPREAD = 4
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +54,7 @@ def counted(docs: DataFrame) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for _, block in T.read(batches):
             held.append(np.unique(codes(block, N - 1), return_counts=True))
-            if len(held) >= 16:
+            if len(held) >= 4:
                 held = [merged(held)]
             if len(held) == 1 and len(held[0][0]) > 2_000_000:
                 yield T.batch(schema, gram=T.signed(held[0][0]), c=held[0][1])
@@ -134,7 +134,7 @@ def distinct_grams(docs: DataFrame) -> DataFrame:
                 for block in T.blocks(part.column(1)):
                     own = held.setdefault(chunk, [])
                     own.append(np.unique(codes(block, N - 1)))
-                    if len(own) >= 16:
+                    if len(own) >= 4:
                         held[chunk] = [np.unique(np.concatenate(own))]
         for chunk, own in held.items():
             grams = np.unique(np.concatenate(own))
@@ -196,8 +196,8 @@ def summed(rows: DataFrame) -> DataFrame:
                     waiting.append(data)
                     continue
                 if table is None:
-                    parts = [unpack(d, T.U, np.float64) for d in waiting]
-                    keys, bits = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, T.U), np.zeros(0))
+                    parts = [unpack(d, T.U, np.float32) for d in waiting]
+                    keys, bits = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, T.U), np.zeros(0, np.float32))
                     order = np.argsort(keys)
                     table, waiting = Slots(keys[order], bits[order]), []
                 for batch in pa.ipc.open_stream(loose.decompressobj().decompress(data)):
@@ -206,7 +206,7 @@ def summed(rows: DataFrame) -> DataFrame:
                         total = np.zeros(len(block))
                         if len(block.data):
                             full = np.flatnonzero(size)
-                            total[full] = np.add.reduceat(table.get(codes(block, N - 1)), block.offsets[full])
+                            total[full] = np.add.reduceat(table.get(codes(block, N - 1)), block.offsets[full], dtype=np.float64)
                         yield T.batch(schema, doc_id=batch.column(0).slice(block.row, len(block)), lang=batch.column(3).slice(block.row, len(block)), n_bytes=size, bits=total)
 
     return rows.mapInArrow(run, "doc_id long, lang string, n_bytes long, bits double")
@@ -230,7 +230,7 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, sl
             chunk, gram, bits = (b.column(k).to_numpy() for k in range(3))
             order = np.argsort(chunk, kind="stable")
             cuts = np.flatnonzero(np.concatenate([[True], chunk[order][1:] != chunk[order][:-1], [True]])) if len(b) else np.zeros(1, np.int64)
-            out = [(int(chunk[order[i]]), pack(gram[order[i:j]], bits[order[i:j]])) for i, j in zip(cuts, cuts[1:], strict=False)]
+            out = [(int(chunk[order[i]]), pack(gram[order[i:j]], bits[order[i:j]].astype(np.float32))) for i, j in zip(cuts, cuts[1:], strict=False)]
             yield T.batch(schema, chunk=[k for k, _ in out], kind=[0] * len(out), data=[d for _, d in out])
 
     replies = answers.groupBy("chunk", "gram").agg(F.first("bits").alias("bits")).mapInArrow(answered, "chunk long, kind int, data binary")
