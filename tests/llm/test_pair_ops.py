@@ -256,3 +256,40 @@ def test_queries_cover_their_tables(spark):
 
     assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
     assert T.BLOCK > 0
+
+
+def alike(rows, percent):
+    """Component of each id by brute force over pairs of five-word shingle sets."""
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4) if w else 0))
+    return groups_of([(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])], sets)
+
+
+def changed(rng, words, at):
+    """A text and a copy of it with other words at some places, which share less the more places there are."""
+    text = prose(rng, words, 10**6).split()
+    return [" ".join(text), " ".join("changed" if k in at else w for k, w in enumerate(text))]
+
+
+def test_search_follows_the_threshold():
+    for percent in range(1, 100):
+        s, j = neardup.search(percent), percent / 100
+        draws = np.random.default_rng(percent).binomial(s.m, j, 10**6)
+        assert s.m % s.rows == 0 and (1 - j**s.rows) ** (s.m // s.rows) <= neardup.MISS
+        assert (draws < s.equal).mean() <= neardup.MISS and (draws / s.m < s.floor).mean() <= 5 * neardup.MISS
+    assert neardup.search(85)[:2] == (100, 5)
+    for percent in (0, 101):
+        with pytest.raises(ValueError):
+            neardup.search(percent)
+
+
+@pytest.mark.parametrize("percent", [50, 65, 80])
+def test_near_duplicates_at_other_thresholds(spark, percent):
+    rng = np.random.default_rng(percent)
+    texts = [t for k in range(1, 8) for _ in range(8) for t in changed(rng, 100, set(range(10, 10 + 8 * k, 8)))]
+    rows = list(enumerate(texts))
+    want = alike(rows, percent)
+    assert 0 < len(rows) - len(set(want.values())) < len(rows) // 2
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, rows), percent=percent).collect()} == want

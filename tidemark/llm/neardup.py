@@ -1,16 +1,17 @@
 """Near-duplicate documents by SetSketch.
 
-Registers. A document's shingles are hashed by M linear hash functions; for each, the least hash becomes an exponential variate x
+Registers. A document's shingles are hashed by m linear hash functions; for each, the least hash becomes an exponential variate x
 and the register floor(1 - log_B x), cut to 16 bits: exponentially spaced truncated minima. Registers of a union are the maxima.
 
-Search. Documents with equal shingle sets are one class, shown by its smallest id. Each class puts M / ROWS bands of its registers
-into buckets; two documents with a Jaccard index of 0.85 share no bucket once in a hundred thousand times. Inside a bucket every two
+Search. Documents with equal shingle sets are one class, shown by its smallest id. Each class puts bands of its registers into
+buckets; two documents with a Jaccard index of the threshold share no bucket at most MISS times. Inside a bucket every two
 classes are estimated jointly: the likelihood of the registers that are equal, larger and smaller, given both set sizes, is maximal
-at some index, and pairs of at least FLOOR (four standard deviations below the threshold) are verified on their full sets.
+at some index, and pairs of at least a floor that one at the threshold falls below at most MISS times are verified on their full sets.
+The number of registers, their rows in a band and the floor follow from the threshold (`search`).
 A bucket is dealt in tiles of bounded size, so a bucket of any size is compared whole without meeting in one task. Pairs are never rows:
 a tile passes on its rows that have a partner, gets their full sets, and gives links that join what was apart.
 
-Links and components. Two classes are linked when 100 * intersection >= PERCENT * union. Components are found by joins.
+Links and components. Two classes are linked when 100 * intersection >= percent * union. Components are found by joins.
 
 Words are runs without ASCII white space, A-Z lower-cased; shingles are W consecutive words, or all words of a shorter text. Texts that
 are null, empty or blank have no shingles and link with nothing. Repeated rows of one id give repeated results.
@@ -18,7 +19,9 @@ are null, empty or blank have no shingles and link with nothing. Repeated rows o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +32,58 @@ from tidemark.llm import store
 from tidemark.llm import text as T
 
 W, PERCENT = 5, 85
-M, ROWS, BASE = 100, 5, 1.001
-FLOOR = 0.70
+BASE = 1.001
+#: How often a pair at the threshold may share no band, or be estimated below the floor; registers at least, and at most while bands can be shorter.
+MISS, LEAST, MOST = 1e-5, 100, 128
 TILE_ROWS, TILE_SHINGLES = 2048, 1 << 20
 MAP_BITS = 23
 
-_MULTIPLIERS = (T.mix(np.arange(1, M + 1, dtype=T.U) * T.U(0x9E3779B97F4A7C15)) | T.U(1)).tolist()
-_BANDS = T.mix(np.arange(M // ROWS, dtype=T.U) * T.U(0xA0761D6478BD642F))
-_OFFSETS = T.mix(np.arange(1, M + 1, dtype=T.U) * T.U(0xC2B2AE3D27D4EB4F)).tolist()
+
+class Search(NamedTuple):
+    """m registers in bands of `rows`; pairs of less than `equal` equal registers or estimated below `floor` are no candidates."""
+
+    m: int
+    rows: int
+    equal: int
+    floor: float
+
+
+def search(percent: int) -> Search:
+    """The longest bands of up to five registers that keep MISS with about MOST registers, and the cuts for that many."""
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent is {percent}, not from 1 to 100")
+    j = min(percent / 100, 1 - 1e-9)
+    for rows in (5, 4, 3, 2, 1):
+        m = rows * max(math.ceil(math.log(MISS) / math.log1p(-(j**rows))), -(-LEAST // rows))
+        if m <= MOST:
+            break
+
+    def least(chance: float) -> int:
+        """The most equal registers that a pair at the threshold falls short of at most `chance` times."""
+        total = 0.0
+        for k in range(m + 1):
+            total += math.exp(math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1) + k * math.log(j) + (m - k) * math.log1p(-j))
+            if total > chance:
+                return k
+        return m
+
+    return Search(m, rows, least(MISS / 1000), max(0.0, least(MISS) / m - 0.01))  # a step of the estimate's grid lower
+
+
+M = search(PERCENT).m
+
+
+def _constants(m: int) -> tuple[list[int], list[int]]:
+    """Multipliers and offsets of m hash functions."""
+    k = np.arange(1, m + 1, dtype=T.U)
+    return (T.mix(k * T.U(0x9E3779B97F4A7C15)) | T.U(1)).tolist(), T.mix(k * T.U(0xC2B2AE3D27D4EB4F)).tolist()
+
+
+def _keys(regs: np.ndarray, s: Search) -> np.ndarray:
+    """(documents, bands) buckets."""
+    power = T.powers(0xD6E8FEB86659FD93, s.rows)
+    key = ((regs.reshape(len(regs), -1, s.rows).astype(T.U) + T.U(1)) * power).sum(2, dtype=T.U)
+    return T.signed(T.mix(key ^ T.mix(np.arange(s.m // s.rows, dtype=T.U) * T.U(0xA0761D6478BD642F))))
 
 
 def shingles(block: T.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -57,14 +104,14 @@ def shingles(block: T.Block) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(doc, np.arange(len(block) + 1))
 
 
-def registers(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(documents, M) registers; zeros for empty sets."""
-    out = np.zeros((len(first) - 1, M), np.uint16)
+def registers(hashes: np.ndarray, first: np.ndarray, m: int = M) -> np.ndarray:
+    """(documents, m) registers; zeros for empty sets."""
+    out = np.zeros((len(first) - 1, m), np.uint16)
     full = np.flatnonzero(np.diff(first) > 0)
     if len(full):
-        least = np.empty((len(full), M))
-        for k in range(M):
-            least[:, k] = np.minimum.reduceat(hashes * T.U(_MULTIPLIERS[k]) + T.U(_OFFSETS[k]), first[full])
+        least = np.empty((len(full), m))
+        for k, (times, plus) in enumerate(zip(*_constants(m), strict=True)):
+            least[:, k] = np.minimum.reduceat(hashes * T.U(times) + T.U(plus), first[full])
         x = -np.log1p(-np.clip((least + 1) * 2.0**-64, 1e-19, 1 - 1e-15))
         out[full] = np.clip(np.floor(1 - np.log(x / 20) / np.log(BASE)), 0, 65535).astype(np.uint16)
     return out
@@ -84,7 +131,7 @@ def jaccard(equal: np.ndarray, more: np.ndarray, less: np.ndarray, n1: np.ndarra
     return grid[np.arange(len(fit)), fit.argmax(1)]
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, s: Search) -> DataFrame:
     """doc_id, n, the set's digest (h1, h2) and its registers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,25 +140,22 @@ def sketches(docs: DataFrame) -> DataFrame:
             hashes, first = shingles(block)
             total = [np.concatenate([np.zeros(1, T.U), np.cumsum(x, dtype=T.U)]) for x in (hashes, T.mix(hashes ^ T.U(0x5BD1E995)))]
             h1, h2 = (T.signed(x[first[1:]] - x[first[:-1]]) for x in total)
-            rows = registers(hashes, first)
+            rows = registers(hashes, first, s.m)
             yield T.batch(schema, doc_id=keys, n=np.diff(first), h1=h1, h2=h2, registers=[r.tobytes() for r in rows])
 
     return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, registers binary")
 
 
-def bands(sketch: DataFrame) -> DataFrame:
+def bands(sketch: DataFrame, s: Search) -> DataFrame:
     """A row for each class and band: the bucket, the class and its size."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64())])
-        power = T.powers(0xD6E8FEB86659FD93, ROWS)
         for b in batches:
             if not len(b):
                 continue
-            rows = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(len(b), M).astype(T.U)
-            for k in range(M // ROWS):
-                key = ((rows[:, k * ROWS : (k + 1) * ROWS] + T.U(1)) * power).sum(1, dtype=T.U)
-                yield T.batch(schema, bucket=T.signed(T.mix(key ^ _BANDS[k])), doc_id=b.column(0), n=b.column(1))
+            for bucket in _keys(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(len(b), s.m), s).T:
+                yield T.batch(schema, bucket=np.ascontiguousarray(bucket), doc_id=b.column(0), n=b.column(1))
 
     return sketch.select("doc_id", "n", "registers").mapInArrow(run, "bucket long, doc_id long, n long")
 
@@ -139,26 +183,24 @@ def groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple
         yield now, pa.Table.from_batches(held)
 
 
-def candidates(bucket: int, i: int, j: int, t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+def candidates(bucket: int, i: int, j: int, t: pa.Table, s: Search) -> Iterator[tuple[int, np.ndarray]]:
     """(row, rows) of a tile's pairs that may be linked and whose first shared band this is. Columns from the third on: salt, id, size, registers."""
     salt, ids, n = (t.column(k).to_numpy() for k in (3, 4, 5))
-    regs = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint16).reshape(len(ids), M)
-    power = T.powers(0xD6E8FEB86659FD93, ROWS)
+    regs = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint16).reshape(len(ids), s.m)
     right = np.flatnonzero(salt == j)
     right = right[np.argsort(n[right], kind="stable")]
     sizes = n[right]
     for x in np.flatnonzero(salt == i):
-        near = right[np.searchsorted(sizes, n[x] * FLOOR, "left") : np.searchsorted(sizes, n[x] / FLOOR, "right")]
+        near = right[np.searchsorted(sizes, n[x] * s.floor, "left") : np.searchsorted(sizes, n[x] / max(s.floor, 1e-9), "right")]
         near = near[ids[near] > ids[x]] if i == j else near
         equal = (regs[near] == regs[x]).sum(1)
-        near, equal = near[equal >= 0.5 * M], equal[equal >= 0.5 * M]
+        near, equal = near[equal >= s.equal], equal[equal >= s.equal]
         if len(near):
             more = (regs[x] > regs[near]).sum(1)
-            good = near[jaccard(equal, more, M - equal - more, np.full(len(near), n[x], float), n[near].astype(float)) >= FLOOR]
-            same = (regs[good] == regs[x]).reshape(-1, M // ROWS, ROWS).all(2)
+            good = near[jaccard(equal, more, s.m - equal - more, np.full(len(near), n[x], float), n[near].astype(float)) >= s.floor]
+            same = (regs[good] == regs[x]).reshape(-1, s.m // s.rows, s.rows).all(2)
             good, band = good[same.any(1)], same[same.any(1)].argmax(1)
-            key = ((regs[x].reshape(-1, ROWS).astype(T.U) + T.U(1)) * power).sum(1, dtype=T.U)
-            good = good[T.signed(T.mix(key ^ _BANDS))[band] == bucket]
+            good = good[_keys(regs[x : x + 1], s)[0][band] == bucket]
             if len(good):
                 yield int(x), good
 
@@ -166,13 +208,13 @@ def candidates(bucket: int, i: int, j: int, t: pa.Table) -> Iterator[tuple[int,
 _TILE = "bucket long, i int, j int, salt int, doc_id long, n long, registers binary"
 
 
-def active(tiles: DataFrame) -> DataFrame:
+def active(tiles: DataFrame, s: Search) -> DataFrame:
     """The rows of tiles that have a partner there; tiles are sorted by bucket, i, j."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket, i, j), t in groups(batches, 3):
             keep = np.zeros(len(t), bool)
-            for x, others in candidates(bucket, i, j, t):
+            for x, others in candidates(bucket, i, j, t, s):
                 keep[x] = True
                 keep[others] = True
             if keep.any():
@@ -193,7 +235,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, shingles binary")
 
 
-def verified(tiles: DataFrame, percent: int) -> DataFrame:
+def verified(tiles: DataFrame, percent: int, s: Search) -> DataFrame:
     """Links (a, b) of each tile that join what is not joined there yet; tiles hold the full sets besides. Pairs that are already
     joined need no link, so a tile gives fewer links than rows."""
 
@@ -208,7 +250,7 @@ def verified(tiles: DataFrame, percent: int) -> DataFrame:
             mark = np.zeros(int(flat.max()) + 1, bool)
             part = np.arange(len(ids))
             links = []
-            for x, others in candidates(bucket, i, j, t):
+            for x, others in candidates(bucket, i, j, t, s):
                 others = others[part[others] != part[x]]
                 if not len(others):
                     continue
@@ -247,13 +289,14 @@ def thinned(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links) and kept, for every row of docs."""
+    s = search(percent)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     parts = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sketch = store.written(sketches(docs), "sketches")
+    sketch = store.written(sketches(docs, s), "sketches")
     classes = sketch.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "registers")).alias("r"))
     classes = store.written(classes.select("h1", "h2", "n", "r.doc_id", "r.registers"), "classes")
 
-    members = store.written(bands(classes), "bands")
+    members = store.written(bands(classes, s), "bands")
     sizes = members.groupBy("bucket").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where("c > 1")
     salts = F.greatest(F.ceil(F.col("c") / TILE_ROWS), F.ceil(F.col("s") / TILE_SHINGLES)).cast("int")
     multi = members.join(sizes.select("bucket", salts.alias("salts")), "bucket").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts").cast("long")).cast("int"))
@@ -261,12 +304,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     multi = multi.select("bucket", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "doc_id")
     tiles = multi.join(classes.select("doc_id", "n", "registers"), "doc_id").select("bucket", "i", "j", "salt", "doc_id", "n", "registers")
     tiles = tiles.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc_id")
-    tiles = store.written(active(tiles), "tiles")
+    tiles = store.written(active(tiles, s), "tiles")
 
     wanted = tiles.select("doc_id").distinct()
     sets = full_sets(thinned(docs, wanted)).join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
     rows = tiles.join(sets, "doc_id").select("bucket", "i", "j", "salt", "doc_id", "n", "registers", "shingles")
-    links = verified(rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc_id"), percent)
+    links = verified(rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc_id"), percent, s)
 
     joined = store.components(links).withColumnRenamed("node", "rep")
     owners = classes.select("h1", "h2", "n", F.col("doc_id").alias("rep")).join(joined, "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
