@@ -293,3 +293,12 @@ def test_near_duplicates_at_other_thresholds(spark, percent):
     want = alike(rows, percent)
     assert 0 < len(rows) - len(set(want.values())) < len(rows) // 2
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, rows), percent=percent).collect()} == want
+
+
+def test_pipeline_drops_near_copies_of_four_fifths(spark):
+    rng = np.random.default_rng(8)
+    texts = [t for at in ({40, 60}, {50}, {20, 40, 60}) for _ in range(12) for t in changed(rng, 100, at)]
+    rows = list(enumerate(texts))
+    assert len(set(alike(rows, 80).values())) < len(set(alike(rows, 85).values()))
+    left = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), DATA)
+    assert {r.doc_id for r in left.collect()} == set(alike(rows, 80).values())
