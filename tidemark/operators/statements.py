@@ -84,4 +84,15 @@ STATEMENTS: list[tuple[str, str, str | None]] = [
     ("x_union", "SELECT user_id FROM ev WHERE user_id < 5 UNION SELECT user_id FROM ev WHERE user_id > 140", None),
     ("x_window", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_time, event_id) AS r FROM ev WHERE user_id < 10", None),
     ("x_pricing", "SELECT l_returnflag, l_linestatus, ROUND(SUM(l_quantity), 2) AS qty, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue, COUNT(*) AS n FROM lineitem WHERE l_shipdate <= '1998-09-02' GROUP BY l_returnflag, l_linestatus", "SELECT l_returnflag, l_linestatus, ROUND(SUM(l_quantity), 2) AS qty, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue, COUNT(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus"),
+    # over all events, beside the statements above that ask for some users or the first rows
+    ("q_star_all", "SELECT * FROM ev", None),
+    ("q_qualified_star_all", "SELECT e.* FROM ev AS e", None),
+    ("q_alias_all", "SELECT e.user_id AS uid, e.event_type kind FROM ev e", None),
+    ("q_literal_escape_all", "SELECT event_id, 'it''s' AS s, 'a\\b' AS b FROM ev", None),
+    ("q_order_asc_all", "SELECT event_id, nullif(event_type, 'view') AS k FROM ev ORDER BY k, event_id", "SELECT event_id, nullif(event_type, 'view') AS k FROM ev ORDER BY k ASC NULLS FIRST, event_id"),
+    ("q_order_multi_all", "SELECT tenant_id, user_id, event_id FROM ev ORDER BY tenant_id DESC, user_id, event_id DESC", None),
+    ("q_order_nonprojected_all", "SELECT event_id FROM ev ORDER BY user_id DESC, event_id", None),
+    ("q_json_build_all", "SELECT event_id, json_array(user_id, 1) AS a, json_object('u', user_id) AS o FROM ev", "SELECT event_id, '[' || user_id || ',1]' AS a, '{\"u\":' || user_id || '}' AS o FROM ev"),
+    ("q_math_all", "SELECT user_id, round(sqrt(user_id + 1.0), 6) AS a, round(ln(user_id + 1.0), 6) AS b, round(log(user_id + 1.0), 6) AS c, round(exp(user_id / 1000.0), 6) AS d FROM ev GROUP BY user_id", "SELECT user_id, round(sqrt(user_id + 1.0), 6) AS a, round(ln(user_id + 1.0), 6) AS b, round(log10(user_id + 1.0), 6) AS c, round(exp(user_id / 1000.0), 6) AS d FROM ev GROUP BY user_id"),
+    ("x_window_all", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_time, event_id) AS r FROM ev", None),
 ]
