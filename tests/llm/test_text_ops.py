@@ -300,3 +300,29 @@ def test_quality_against_a_slow_model(spark):
     everything = {r.doc_id: r.kept for r in quality.classify(frame, trusted.where("false")).collect()}
     assert everything == {i: bool(t) for i, t in enumerate(texts)}
     assert quality.classify(frame.where("false"), trusted).count() == 0
+
+
+def test_rare_toxic_terms_are_kept():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh"), 9)) for _ in range(840)]
+    plain, common, rare = words[:400], words[400:800], words[800:]
+    toxic = [" ".join([*rng.choice(plain, 30), common[i % 400], common[(i + 7) % 400]]) for i in range(2000)]
+    toxic += [" ".join([*rng.choice(plain, 30), w]) for w in rare for _ in range(toxicity.SUPPORT + 2)]
+    other = [" ".join(rng.choice(plain, 30)) for _ in range(4000)]
+    kept = toxicity.mined([t.encode() for t in toxic], [t.encode() for t in other])
+    assert len(kept) > 1000 and np.isin(toxicity.terms(toxicity.pack([" ".join(rare).encode()]))[0][: len(rare)], kept).all()
+    model = toxicity.train([t.encode() for t in toxic + other], np.array([1] * len(toxic) + [0] * len(other)))
+    fresh = [" ".join([*rng.choice(plain, 30), w]).encode() for w in rare]
+    assert (model.scores(toxicity.pack(fresh)) >= 0.7).all()
+
+
+def test_shares_of_sparse_votes():
+    rng = np.random.default_rng(6)
+    votes = (rng.random((500, 40)) < 0.1).astype(float)
+    votes[:, 1] = votes[:, 0]
+    p, a, b = rng.random(500), rng.random(40) * 0.3, rng.random(40) * 0.1
+    rest = votes - (p[:, None] * a + (1 - p)[:, None] * b)
+    rest /= rest.std(0) + 1e-6
+    corr = rest.T @ rest / 500
+    want = 1 / np.maximum(1, (np.where(np.abs(corr) > 0.1, corr, 0) ** 2).sum(1))
+    assert np.allclose(toxicity.shares(toxicity.Votes.of(votes), p, a, b, width=7), want)

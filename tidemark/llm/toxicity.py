@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import text as T
 
 SAMPLE, SAMPLE_BYTES = 2500, 1 << 14
-#: Mined terms: least toxic rows that hold one, least ratio of the smoothed rates, and how many are kept.
-SUPPORT, RATIO, TERMS = 4, 30.0, 1000
+#: Mined terms: least toxic rows that hold one, and least ratio of the smoothed rates. All that pass are kept.
+SUPPORT, RATIO = 4, 30.0
 LABEL = 0.98
 PREFIXES = (4, 5, 6, 7)
 
@@ -110,7 +110,6 @@ class Model:
 
 def mined(toxic: list[bytes], other: list[bytes]) -> np.ndarray:
     """Hashes of terms that toxic texts hold far more often than others."""
-    found: dict[int, int] = {}
 
     def counted(texts: list[bytes], only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         keys, counts = np.zeros(0, T.U), np.zeros(0, np.int64)
@@ -140,10 +139,7 @@ def mined(toxic: list[bytes], other: list[bytes]) -> np.ndarray:
     no = np.zeros(len(keys))
     no[np.searchsorted(keys, seen)] = times
     ratio = ((yes + 0.2) / (len(toxic) + 1)) / ((no + 0.2) / (len(other) + 1))
-    good = np.flatnonzero(ratio >= RATIO)
-    good = good[np.lexsort((keys[good], -yes[good]))][:TERMS]
-    found = keys[good]
-    return np.sort(found)
+    return keys[ratio >= RATIO]
 
 
 def fixed() -> np.ndarray:
@@ -152,42 +148,88 @@ def fixed() -> np.ndarray:
     return np.unique(T.words(block, T.ALNUM, fold=True).hash)
 
 
-def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
-    """A product with a matrix of single precision, without a wider copy of it."""
-    return (matrix @ vector.astype(np.float32)).astype(np.float64)
+class Votes:
+    """A sparse 0/1 matrix of texts and voters: sorted pairs (text, voter), each once."""
 
+    def __init__(self, row: np.ndarray, voter: np.ndarray, shape: tuple[int, int]) -> None:
+        order = np.lexsort((voter, row))
+        self.row, self.voter, self.shape = row[order], voter[order], shape
+        self.first = np.searchsorted(self.row, np.arange(shape[0] + 1))
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> np.ndarray:
+    @staticmethod
+    def of(votes: Votes | np.ndarray) -> Votes:
+        return votes if isinstance(votes, Votes) else Votes(*np.nonzero(votes), votes.shape)
+
+    def times(self, vector: np.ndarray) -> np.ndarray:
+        """The matrix by a vector of voters."""
+        return np.bincount(self.row, vector[self.voter], self.shape[0])
+
+    def back(self, vector: np.ndarray) -> np.ndarray:
+        """The transposed matrix by a vector of texts."""
+        return np.bincount(self.voter, vector[self.row], self.shape[1])
+
+    def together(self, some: slice) -> np.ndarray:
+        """How many texts each of some voters shares with every voter."""
+        own = np.flatnonzero((self.voter >= some.start) & (self.voter < some.stop))
+        out = np.zeros((some.stop - some.start) * self.shape[1])
+        for k in range(0, len(own), 4096):
+            at = own[k : k + 4096]
+            begin, n = self.first[self.row[at]], np.diff(self.first)[self.row[at]]
+            other = self.voter[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            keys, times = np.unique(np.repeat(self.voter[at] - some.start, n) * self.shape[1] + other, return_counts=True)
+            out[keys] += times
+        return out.reshape(-1, self.shape[1])
+
+
+def shares(votes: Votes, p: np.ndarray, a: np.ndarray, b: np.ndarray, width: int = 256) -> np.ndarray:
+    """The weight of each voter: 1 by the summed squared correlations of what the classes don't explain, `width` voters at a time."""
+    n, m = votes.shape
+    classes, rates = np.stack([p, 1 - p], 1), np.stack([a, b])
+    seen = np.stack([votes.back(p), votes.back(1 - p)], 1)
+    gram = classes.T @ classes
+    total = np.bincount(votes.voter, minlength=m)
+    square = total - 2 * (seen * rates.T).sum(1) + np.einsum("im,ij,jm->m", rates, gram, rates)
+    mean = (total - classes.sum(0) @ rates) / n
+    deviation = np.sqrt(np.maximum(square / n - mean**2, 0)) + 1e-6
+    out = np.empty(m)
+    for k in range(0, m, width):
+        some = slice(k, min(k + width, m))
+        corr = votes.together(some) - seen[some] @ rates - rates[:, some].T @ (seen.T - gram @ rates)
+        corr /= n * deviation[some, None] * deviation
+        out[some] = 1 / np.maximum(1, (np.where(np.abs(corr) > 0.1, corr, 0) ** 2).sum(1))
+    return out
+
+
+def label_model(votes: Votes | np.ndarray, labels: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Posterior of class 1 for each row of a 0/1 vote matrix; labels: 1, 0, or -1 where unknown."""
+    votes = Votes.of(votes)
     n, m = votes.shape
     known = labels >= 0
-    p = np.where(known, np.where(labels == 1, LABEL, 1 - LABEL), np.where(votes[:, : m - len(PATTERNS)].any(1), 0.6, 0.1))
+    lexical = votes.times((np.arange(m) < m - len(PATTERNS)).astype(float)) > 0
+    p = np.where(known, np.where(labels == 1, LABEL, 1 - LABEL), np.where(lexical, 0.6, 0.1))
     share = np.ones(m)
     for step in range(rounds):
         prior = np.clip(p.mean(), 1e-3, 1 - 1e-3)
         one, zero = p.sum(), (1 - p).sum()
-        a = (_times(votes.T, p) + 0.5) / (one + 1)
-        b = (_times(votes.T, 1 - p) + 0.05) / (zero + 1)
+        a = (votes.back(p) + 0.5) / (one + 1)
+        b = (votes.back(1 - p) + 0.05) / (zero + 1)
         on, off = np.log(a / b) * share, np.log((1 - a) / (1 - b)) * share
-        z = np.log(prior / (1 - prior)) + _times(votes, on - off) + off.sum()
+        z = np.log(prior / (1 - prior)) + votes.times(on - off) + off.sum()
         z += np.where(known, np.where(labels == 1, 1, -1) * np.log(LABEL / (1 - LABEL)), 0)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         if step == 4:  # correlations of what the classes don't explain
-            rest = votes - (p[:, None] * a + (1 - p)[:, None] * b).astype(np.float32)
-            rest /= rest.std(0) + 1e-6
-            corr = (rest.T @ rest / n).astype(np.float64)
-            share = 1 / np.maximum(1, (np.where(np.abs(corr) > 0.1, corr, 0) ** 2).sum(1))
+            share = shares(votes, p, a, b)
     return p
 
 
-def linear(votes: np.ndarray, p: np.ndarray, ridge: float = 0.3, rounds: int = 300, rate: float = 1.0) -> tuple[np.ndarray, float]:
+def linear(votes: Votes, p: np.ndarray, ridge: float = 0.3, rounds: int = 300, rate: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on soft labels: batch gradient steps with a decaying rate."""
     n, m = votes.shape
     w, b = np.zeros(m), float(np.log(max(p.mean(), 1e-3) / max(1 - p.mean(), 1e-3)))
-    scale = 4 / np.maximum(votes.mean(0), 4 / n) / max(1.0, float(votes.sum(1).mean()))
+    scale = 4 / np.maximum(np.bincount(votes.voter, minlength=m) / n, 4 / n) / max(1.0, len(votes.row) / n)
     for _ in range(rounds):
-        q = 1 / (1 + np.exp(-np.clip(_times(votes, w) + b, -40, 40)))
-        g = _times(votes.T, q - p) / n + ridge * w / n
+        q = 1 / (1 + np.exp(-np.clip(votes.times(w) + b, -40, 40)))
+        g = votes.back(q - p) / n + ridge * w / n
         w -= rate * np.clip(scale * g, -0.5, 0.5)
         b -= rate * np.clip(4 * (q - p).mean(), -0.5, 0.5)
     return w, b
@@ -208,8 +250,7 @@ def train(texts: list[bytes], labels: np.ndarray) -> Model:
         doc.append(d + i), voter.append(v)
     doc, voter = np.concatenate(doc), np.concatenate(voter)
     used = np.unique(np.concatenate([voter, np.arange(len(lexicon), len(lexicon) + len(PATTERNS))]))  # voters that vote at all
-    votes = np.zeros((len(texts), len(used)), np.float32)
-    votes[doc, np.searchsorted(used, voter)] = 1
+    votes = Votes(doc, np.searchsorted(used, voter), (len(texts), len(used)))
     weights, bias = linear(votes, label_model(votes, np.asarray(labels)))
     model.weights[: len(lexicon)] = np.where(np.isin(lexicon, base), max(0.0, float(np.median(weights))), 0)  # of voters never heard
     model.weights[used] = weights
