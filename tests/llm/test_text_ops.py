@@ -326,3 +326,13 @@ def test_shares_of_sparse_votes():
     corr = rest.T @ rest / 500
     want = 1 / np.maximum(1, (np.where(np.abs(corr) > 0.1, corr, 0) ** 2).sum(1))
     assert np.allclose(toxicity.shares(toxicity.Votes.of(votes), p, a, b, width=7), want)
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    rows = [(i, f"words {chr(97 + i % 5) * 3}", f"l{i % 5}") for i in range(20)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 5)
+    assert langid.fit(known, sample=2).names == [f"l{k}" for k in range(5)]
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 4)
+    with pytest.raises(ValueError, match="more than 8 documents"):
+        langid.fit(known, sample=2)

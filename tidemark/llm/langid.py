@@ -9,7 +9,8 @@ name that sorts first, and the score is that language's posterior under equal pr
 
 The trees of all languages share one table for each order: sorted (context, byte) codes with a code length for each language,
 so a block of text is scored by a few gathers. They are fitted on at most SAMPLE documents of a language, those of at most
-SAMPLE_BYTES bytes first and then by a hash of the id: a bound on the model's size and on what comes to the driver.
+SAMPLE_BYTES bytes first and then by a hash of the id: a bound on the model's size and on what comes to the driver. If all languages
+have more than SAMPLE * MAX_LANGUAGES such documents, the fit raises an error and leaves none out.
 
 Null texts and texts without a letter are `und` with score 0, and so is everything if nothing could be learned; rows with
 a null id are scored, never learned from, and not held out. Every row gives one row, repeated ones too.
@@ -149,11 +150,15 @@ def remainder(key: Column, modulus: int) -> Column:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Trees:
-    """Trees from at most `sample` of the given labelled documents for each language; at most MAX_LANGUAGES languages."""
+    """Trees from at most `sample` of the given labelled documents for each language; an error if they are more than sample * MAX_LANGUAGES."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull())
     order = Window.partitionBy("lang").orderBy((F.octet_length("text") > sample_bytes), F.xxhash64("doc_id"), "doc_id")
-    pick = rows.select("lang", "doc_id", F.octet_length("text").alias("size"), F.col("text")).select("lang", "doc_id", "size", F.row_number().over(order).alias("n")).where(F.col("n") <= sample).limit(sample * MAX_LANGUAGES)
-    texts = rows.join(F.broadcast(pick.select("lang", "doc_id")), ["lang", "doc_id"], "left_semi").select("lang", "doc_id", "text")
+    pick = rows.select("lang", "doc_id", F.row_number().over(order).alias("n")).where(F.col("n") <= sample).select("lang", "doc_id")
+    taken = pick.limit(sample * MAX_LANGUAGES + 1).collect()
+    if len(taken) > sample * MAX_LANGUAGES:
+        raise ValueError(f"the languages have more than {sample * MAX_LANGUAGES} documents to learn from, {sample} each at most; learn from fewer of each")
+    known = docs.sparkSession.createDataFrame(taken, pick.schema)
+    texts = rows.join(F.broadcast(known), ["lang", "doc_id"], "left_semi").select("lang", "doc_id", "text")
     by: dict[str, list[bytes]] = {}
     for row in sorted(texts.collect(), key=lambda r: (r.lang, r.doc_id, r.text)):
         by.setdefault(row.lang, []).append(row.text.encode())
