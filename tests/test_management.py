@@ -28,3 +28,16 @@ def test_every_candidate_is_compacted(spark, monkeypatch):
     both = events(spark, DATA).groupBy("partition_key").agg(F.count_distinct(F.col("user_id") % 2).alias("parts")).where("parts = 2")
     assert sorted(args[0] for args, _, _ in calls) == sorted(r.partition_key for r in both.collect())
     assert all(out["done"] for _, _, out in calls)
+
+
+def test_duplicates_go_by_compaction(spark, monkeypatch):
+    calls = spied(monkeypatch, "compact")
+    got = CATALOG.queries["m_duplicate_ids"](spark, DATA).first()
+    assert calls and all(more == {"drop_duplicates": True} and out["done"] for _, more, out in calls)
+    assert got.rows == 2 * got.ids == 2 * sum(out["rows"] for _, _, out in calls)
+
+
+def test_candidates_come_from_the_store(spark, monkeypatch):
+    calls = spied(monkeypatch, "candidates")
+    got = CATALOG.queries["m_compaction_candidates"](spark, DATA).collect()
+    assert len(calls) == 1 and sorted(map(tuple, got)) == sorted((r.partition_key, r.files, r.rows) for r in calls[0][2].collect())

@@ -161,16 +161,22 @@ def bloom_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @QUERIES.query("m_compaction_candidates", ORACLE_VIEW + ", f AS (SELECT partition_key, user_id % 3 AS part, COUNT(*) AS rows FROM ev GROUP BY 1, 2) SELECT partition_key, COUNT(*) AS files, CAST(SUM(rows) AS BIGINT) AS rows FROM f WHERE rows < 200 GROUP BY 1 HAVING COUNT(*) >= 2")
 def compaction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys with several small files, a third of a day's users being a file."""
-    files = manifest.file_stats(events(spark, sf_dir).withColumn("path", F.concat("partition_key", (F.col("user_id") % 3).cast("string"))))
-    return files.where("row_count < 200").groupBy("partition_key").agg(F.count("*").alias("files"), F.sum("row_count").alias("rows")).where("files >= 2")
+    store = storage.Store(spark, work_dir(spark))
+    for k in range(3):
+        store.ingest(_rows(spark, sf_dir).where(F.col("user_id") % 3 == k), f"part-{k}")
+    return store.candidates(rows_below=200).select("partition_key", "files", "rows")
 
 
 @QUERIES.query("m_duplicate_ids", ORACLE_VIEW + "SELECT COUNT(DISTINCT event_id) AS ids, COUNT(*) * 2 AS rows FROM ev")
 def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that came twice are one after compaction."""
-    rows = _rows(spark, sf_dir)
-    twice = rows.unionByName(rows)
-    return twice.agg(F.count("*").alias("rows"), F.lit(1).alias("k")).join(twice.dropDuplicates(["event_id"]).agg(F.count("*").alias("ids"), F.lit(1).alias("k")), "k").select("ids", "rows")
+    store = storage.Store(spark, work_dir(spark))
+    for k in range(2):
+        store.ingest(_rows(spark, sf_dir), f"time-{k}")
+    rows = store.scan().count()
+    for r in store.manifest.active().select("partition_key").distinct().orderBy("partition_key").collect():
+        store.compact(r.partition_key, drop_duplicates=True)
+    return store.scan().agg(F.count("*").alias("ids"), F.lit(rows).cast("long").alias("rows"))
 
 
 @QUERIES.query("m_windows", ORACLE_VIEW + "SELECT date_trunc('hour', ts) AS begin, event_type, COUNT(*) AS n FROM ev GROUP BY 1, 2")

@@ -76,13 +76,13 @@ class Store:
         rows = read_files(self.spark, paths, self.registry.latest().spark())
         return rows if predicate is None else rows.where(condition(predicate))
 
-    def candidates(self, least: int = 2) -> DataFrame:
-        """(partition_key, files, total, target): keys with several files below the size that the key should have."""
+    def candidates(self, least: int = 2, rows_below: int | None = None) -> DataFrame:
+        """(partition_key, files, rows, total, target): keys with several files below the size that the key should have, or below a number of rows."""
         files = self.manifest.active()
         total = files.groupBy("partition_key").agg(F.sum("size_bytes").alias("total"))
         steps = F.when(F.col("total") >= 100 << 30, target_bytes(100 << 30)).when(F.col("total") >= 10 << 30, target_bytes(10 << 30)).when(F.col("total") >= 1 << 30, target_bytes(1 << 30)).otherwise(target_bytes(0))
-        small = files.join(total.withColumn("target", steps), "partition_key").where("size_bytes < target")
-        return small.groupBy("partition_key").agg(F.count("*").alias("files"), F.max("total").alias("total"), F.max("target").alias("target")).where(F.col("files") >= least)
+        small = files.join(total.withColumn("target", steps), "partition_key").where("size_bytes < target" if rows_below is None else F.col("row_count") < rows_below)
+        return small.groupBy("partition_key").agg(F.count("*").alias("files"), F.sum("row_count").alias("rows"), F.max("total").alias("total"), F.max("target").alias("target")).where(F.col("files") >= least)
 
     def compact(self, key: str, drop_duplicates: bool = False) -> dict:
         """Rewrite a key's active files as few; all columns are kept. The new files are checked against the old ones before they are committed."""
