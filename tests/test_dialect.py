@@ -60,7 +60,7 @@ def test_materialized_path(spark):
     e = Engine(spark)
     e.register("m", spark.createDataFrame([('{"a": 1}', 7)], "payload string, payload_a long"))
     e.materialized("payload", "$.a", "payload_a")
-    assert e.query("SELECT json_extract(payload, '$.a') AS x FROM m").rows == [(7,)]
+    assert e.query("SELECT json_extract(payload, '$.a') AS x FROM m").rows == [("7",)]  # the type is that of the text's value
 
 
 def test_formats():
@@ -70,15 +70,18 @@ def test_formats():
         strftime("%Q")
 
 
-def test_usage_and_policies():
+def test_usage_and_policies(spark):
     u = Usage()
     for i in range(120):
         u.record("SELECT json_extract(payload, '$.a.total') FROM t WHERE tenant_id = 'x' AND NOT user_id NOT IN (1) ORDER BY k", now=i)
     assert u.top(2) == [("tenant_id", 120), ("user_id", 120)]
     assert u.operators["user_id"]["in"] == 120
     assert IndexPolicy().decide(u, {"old"}) == (["tenant_id", "user_id"], ["old"])
-    assert PathPolicy().decide(u) == [("payload $.a.total", "payload_a_total", "double")]
-    assert column_name("payload $.a.b") == "payload_a_b" and column_type("payload $.user_id") == "bigint"
+    assert PathPolicy().decide(u) == [("payload $.a.total", "payload_a_total", "string")]
+    rows = spark.createDataFrame([('{"a": {"total": 1.5, "n": 7, "status": "active"}}',), ('{"a": {"total": 2.25, "n": 8, "status": 3}}',), (None,)], "payload string")
+    assert PathPolicy().decide(u, rows) == [("payload $.a.total", "payload_a_total", "double")]
+    assert column_name("payload $.a.b") == "payload_a_b"
+    assert [column_type(rows, f"payload $.a.{n}") for n in ("n", "status", "none")] == ["bigint", "string", "string"]
     u.prune(before=1000)
     assert u.top(1) == []
 

@@ -160,13 +160,20 @@ def test_notices():
 
 def test_backpressure():
     b = Backpressure(limit=8)
-    for ok in [False] * 6 + [True] * 4:
-        b.report(ok)
-    assert b.adjust() == 4
-    for _ in range(5):
-        b.report(True)
-        b.adjust()
-    assert b.limit == 8
+    for k, ok in enumerate([False] * 6 + [True] * 4):
+        b.report(ok, at=k)
+    assert b.pause(9, at=10) and not b.pause(8, at=10) and not b.pause(0, at=10)
+    assert [b.adjust(at=10) for _ in range(4)] == [4, 2, 1, 1]
+    b.report(True, at=5000)  # the failures are forgotten
+    assert [b.adjust(at=5000) for _ in range(4)] == [2, 4, 8, 8]
+    slow = Backpressure(limit=4, most=100)
+    for ok in [False] + [True] * 49:
+        slow.report(ok, at=0)
+    assert slow.adjust(at=0) == 6  # 2 percent, at most half the threshold
+    for ok in [False] * 2 + [True] * 25:
+        slow.report(ok, at=0)
+    assert slow.adjust(at=0) == 7  # 3.9 percent
+    assert Backpressure(limit=2).adjust(at=0) == 3  # no results yet
 
 
 def test_filters_and_columns_reach_the_scan(spark, store, capsys):
@@ -175,3 +182,162 @@ def test_filters_and_columns_reach_the_scan(spark, store, capsys):
     assert "EqualTo(user_id,3)" in plan and "EqualTo(tenant_id,tenant_1)" in plan
     schema = next(x for x in plan.splitlines() if x.startswith("ReadSchema"))
     assert "payload" not in schema and "Exchange" not in plan
+
+
+def added(spark, *paths):
+    return spark.createDataFrame([(p, "k", 1) for p in paths], "path string, partition_key string, row_count long")
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """Two writers stand at one version; both have written; the first takes the marker, the second reads again and adds its own."""
+    first, second = (manifest.Manifest(spark, str(tmp_path / "m")) for _ in range(2))
+    first.add(added(spark, "a"))
+    mark, met = second._mark, []
+
+    def late(base, *rest):
+        if not met:
+            met.append(base)
+            first.add(added(spark, "A"))
+        return mark(base, *rest)
+
+    second._mark = late
+    assert second.add(added(spark, "B"))
+    assert met == [1] and second.version() == 3
+    assert sorted(r.path for r in first.active().collect()) == ["A", "B", "a"]
+    assert sorted(r.path for r in first.active(2).collect()) == ["A", "a"]
+    with pytest.raises(RuntimeError):
+        second.commit(second.files(), 2)
+    assert sorted(r.path for r in first.active().collect()) == ["A", "B", "a"]
+
+
+def test_one_batch_of_two_writers(spark, tmp_path):
+    s, t = (storage.Store(spark, str(tmp_path / "s")) for _ in range(2))
+    write = t.manifest._write
+
+    def meanwhile(out):
+        s.ingest(rows(spark, 10), "same")
+        t.manifest._write = write
+        return write(out)
+
+    t.manifest._write = meanwhile
+    t.ingest(rows(spark, 10), "same")
+    assert s.scan().count() == 10
+    assert manifest.reconcile(s.manifest.files(), s.present()).groupBy("fault").count().collect()[0].fault == "orphan"
+    assert s.recover()["orphans"] == []  # too young
+    assert s.recover(0)["orphans"] and s.scan().count() == 10
+    assert manifest.reconcile(s.manifest.files(), s.present()).count() == 0
+
+
+def test_a_crash_before_the_marker_leaves_the_last_version(spark, tmp_path):
+    s = storage.Store(spark, str(tmp_path / "s"))
+    for k in range(2):
+        s.ingest(rows(spark, 20, 20 * k).withColumn("event_time", F.lit(START)), f"b{k}")
+    before, key = storage.fingerprint(s.scan()), s.candidates().first().partition_key
+    mark = s.manifest._mark
+    s.manifest._mark = lambda *_: (_ for _ in ()).throw(KeyboardInterrupt())
+    with pytest.raises(KeyboardInterrupt):
+        s.compact(key)
+    s.manifest._mark = mark
+    assert storage.fingerprint(storage.Store(spark, s.folder).scan()) == before
+    left = s.recover(0)
+    assert left["orphans"] and left["folders"] and not left["dangling"]
+    assert s.compact(key)["done"] and storage.fingerprint(s.scan()) == before
+
+
+def test_compaction_meets_its_target(spark, tmp_path):
+    s = storage.Store(spark, str(tmp_path / "s"))
+    data = spark.range(20_000).select(F.lit(None).cast("binary").alias("event_id"), F.concat(F.lit("t"), F.col("id") % 9).alias("tenant_id"), F.col("id").alias("user_id"), (F.lit(START) + F.col("id")).alias("event_time"), F.lit("e").alias("event_type"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    for k in range(2):
+        s.ingest(data.where(F.col("user_id") % 2 == k), f"b{k}")
+    old = s.manifest.active().agg(F.sum("size_bytes").alias("b")).first().b
+    target = old // 8
+    assert s.compact("20240101", target=target)["rows"] == 20_000
+    sizes = [r.size_bytes for r in s.manifest.active().collect()]
+    assert 6 <= len(sizes) <= 10 and max(sizes) < 2 * target
+    got = pruning.counts(s.manifest.active(), ("=", "tenant_id", "t4")).first()
+    assert got.matched < got.files  # files are cut by tenant
+
+
+def test_a_superseded_file_is_not_compacted_twice(spark, tmp_path):
+    m = manifest.Manifest(spark, str(tmp_path / "m"))
+    m.add(added(spark, "a", "b"))
+    m.replace(["a", "b"], added(spark, "c"), 1)
+    with pytest.raises(RuntimeError):
+        m.replace(["a"], added(spark, "d"), 2)
+    assert [r.path for r in m.active().collect()] == ["c"]
+
+
+def test_many_increments(spark, tmp_path):
+    m = manifest.Manifest(spark, str(tmp_path / "m"))
+    for k in range(manifest.MOST + 3):
+        m.add(added(spark, f"f{k:02d}"))
+        if k == 4:
+            m.drop(["f01"])
+    assert len(m._marker(m.version())["parts"]) < manifest.MOST
+    assert sorted(r.path for r in m.files().collect()) == [f"f{k:02d}" for k in range(manifest.MOST + 3) if k != 1]
+
+
+def test_busy_days_are_candidates(spark, tmp_path):
+    s = storage.Store(spark, str(tmp_path / "s"))
+    big = spark.createDataFrame([(f"p{i}", "k", 10, 1 << 40, 5) for i in range(4)], "path string, partition_key string, row_count long, size_bytes long, created_at long")
+    s.manifest.add(big)
+    assert s.candidates().count() == 0
+    assert [(r.partition_key, r.files) for r in s.candidates(most=3).collect()] == [("k", 4)]
+
+
+def test_text_in_a_number_column(spark, tmp_path):
+    """A value that isn't of a kept path's type fails nothing: it is read from the text."""
+    s = storage.Store(spark, str(tmp_path / "s"))
+    s.ingest(rows(spark, 4).withColumn("payload", F.when(F.col("user_id") == 1, '{"status": "active"}').otherwise('{"status": 3}')), paths={"payload_status": ("payload $.status", "bigint")})
+    got = spark.read.parquet(*[r.path for r in s.manifest.active().collect()])
+    assert sorted((r.user_id, r.payload_status) for r in got.collect()) == [(0, 3), (1, None), (2, 3), (3, 3)]
+    assert sorted(r.x for r in got.select(storage.json_path(got, "$.status", "string", name="payload_status").alias("x")).collect()) == ["3", "3", "3", "active"]
+
+
+def test_registry_outlives_the_process(spark, tmp_path):
+    new = schemas.Schema(9, (*schemas.EVENTS_V1.columns, schemas.Column("region", "TEXT")))
+    other = schemas.Schema(9, (*schemas.EVENTS_V1.columns, schemas.Column("device", "TEXT")))
+    a, b = (schemas.Registry(spark=spark, folder=str(tmp_path / "r")) for _ in range(2))
+    assert a.register(new).version == 2 and b.register(other).version == 3 and b.register(new).version == 2
+    c = schemas.Registry(spark=spark, folder=str(tmp_path / "r"))
+    assert [v.version for v in c.versions] == [1, 2, 3] and c.added(1, 3) == ["device"]
+
+
+def test_notices_of_a_store(spark, tmp_path):
+    n = Notifier()
+    q = n.subscribe("2024")
+    s = storage.Store(spark, str(tmp_path / "s"), notifier=n)
+    for k in range(2):
+        s.ingest(rows(spark, 5, 5 * k).withColumn("event_time", F.lit(START)), f"b{k}")
+    s.index("user_id")
+    s.compact("20240101")
+    assert [q.get_nowait().kind for _ in range(q.qsize())] == ["created", "created", "indexed", "compacted"]
+
+
+def test_landing(spark, tmp_path):
+    from tidemark.sources.tables import EVENTS
+    from tidemark.streaming import ingest
+
+    s, landing = storage.Store(spark, str(tmp_path / "s")), str(tmp_path / "landing")
+    ingest.append(rows(spark, 6).drop("event_id").repartition(2), landing)
+    query = ingest.into_store(ingest.landed(spark, landing, EVENTS), s, "live", str(tmp_path / "c"), "1 second")
+    ingest.drain(query)
+    assert s.scan().count() == 6
+    ingest.append(rows(spark, 4, 6).drop("event_id"), landing)
+    ingest.drain(query)
+    query.stop()
+    assert s.scan().count() == 10
+    again = ingest.into_store(ingest.landed(spark, landing, EVENTS), s, "live", str(tmp_path / "c2"))  # all batches come again
+    again.awaitTermination()
+    assert s.scan().where("user_id is not null").count() == 10
+
+
+def test_no_private_folder_on_a_cluster(spark, monkeypatch):
+    from tidemark import session
+
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda key, default="": {"spark.master": "spark://host:7077"}.get(key, default))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Elsewhere)

@@ -5,87 +5,185 @@ from __future__ import annotations
 import time
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import bloom
 from tidemark.functions.ulid import ulids
-from tidemark.operators.routing import routed, target_bytes
-from tidemark.plans.pruning import Predicate, condition, pruned
-from tidemark.sources.manifest import Manifest, file_stats
-from tidemark.sources.schemas import EVENTS_V1, Registry, checked
+from tidemark.operators.routing import STEPS, routed, target_bytes
+from tidemark.plans.pruning import Predicate, condition, needed, pruned
+from tidemark.sources import shared
+from tidemark.sources.manifest import Manifest, file_stats, reconcile, zone_map, zone_may_hold
+from tidemark.sources.schemas import Registry, checked
 from tidemark.sources.tables import read_files
+from tidemark.streaming.notify import Notice, Notifier
 
-#: Columns with a Parquet Bloom filter: false-positive rate and expected distinct values in a file.
-BLOOMS = {"tenant_id": (1e-5, 10_000), "user_id": (1e-4, 1_000_000), "event_type": (1e-4, 1_000)}
+#: Columns with a Parquet Bloom filter and its false-positive rate; each filter is as large as its file's values need.
+BLOOMS = {"tenant_id": 1e-5, "user_id": 1e-4, "event_type": 1e-4}
+
+#: The shape of a file's filter, one for all so that they are asked alike: bits are kept only where they are set, at most 30,000 words a file.
+SHAPE = bloom.Shape.of(100_000, 0.01)
+#: What a byte of a row's values takes on disk, about.
+PACKED = 0.5
+#: Files are dealt by these, so that a file's least and greatest values are near each other.
+CLUSTER = ("partition_key", "tenant_id", "event_time", "user_id")
 
 
 def now() -> int:
     return int(time.time() * 1000)
 
 
+def targets(total: Column) -> Column:
+    """The file size to aim at for a key of so many bytes, as `target_bytes` gives it."""
+    out = F.lit(target_bytes(0))
+    for start, _ in STEPS[1:]:
+        out = F.when(total >= start, target_bytes(start)).otherwise(out)
+    return out
+
+
 @dataclass
 class Store:
-    """Data under `<folder>/data/partition_key=<key>/`, the manifest under `<folder>/manifest`."""
+    """Data under `<folder>/data/`, the manifest under `<folder>/manifest`, filters, zones and indexes beside them.
+
+    filters: columns for which each file gets a Bloom filter and each key a zone map. notifier: told of new files, indexes and compactions.
+    """
 
     spark: SparkSession
     folder: str
     registry: Registry | None = None
+    filters: tuple[str, ...] = ()
+    notifier: Notifier | None = None
 
     def __post_init__(self) -> None:
         self.folder = self.folder.rstrip("/")
         self.registry = self.registry or Registry()
         self.manifest = Manifest(self.spark, f"{self.folder}/manifest")
 
-    def _write(self, rows: DataFrame, folder: str, version: int, batch: str | None, paths: dict[str, tuple[str, str]] | None = None) -> DataFrame:
-        """Write rows(partition_key, ...) as files clustered by tenant and time, and give their manifest rows."""
+    def _tell(self, kind: str, keys: DataFrame) -> None:
+        """A notice for each key of the rows."""
+        if self.notifier:
+            for r in keys.groupBy("partition_key").agg(F.min("path").alias("path")).orderBy("partition_key").toLocalIterator():
+                self.notifier.publish(Notice(kind, r.partition_key, r.path))
+
+    def _write(self, rows: DataFrame, folder: str, version: int, batch: str | None, parts: int, paths: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+        """Write rows(partition_key, ...) as files, dealt by ranges of CLUSTER into `parts` tasks, and give their manifest rows. A key of any
+        size is spread over as many files as its share of the rows asks for; small keys share a task."""
         for name, (path, kind) in (paths or {}).items():
             column, _, rest = path.partition(" ")
-            rows = rows.withColumn(name, F.get_json_object(column, rest).cast(kind))
-        writer = rows.repartition("partition_key").sortWithinPartitions("partition_key", "tenant_id", "event_time").write.mode("overwrite").partitionBy("partition_key")
-        for column, (rate, distinct) in BLOOMS.items():
-            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.fpp#{column}", str(rate)).option(f"parquet.bloom.filter.expected.ndv#{column}", str(distinct))
+            rows = rows.withColumn(name, F.get_json_object(column, rest).try_cast(kind))
+        writer = rows.repartitionByRange(parts, *CLUSTER).sortWithinPartitions(*CLUSTER).write.partitionBy("partition_key").option("parquet.bloom.filter.adaptive.enabled", "true")
+        for column, rate in BLOOMS.items():
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.fpp#{column}", str(rate))
         writer.parquet(folder)
-        back = self.spark.read.parquet(folder).select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+        back = self.spark.read.parquet(folder).select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).withColumn("partition_key", F.col("partition_key").cast("string"))
+        for column in self.filters:
+            values = back.select("path", "partition_key", column).distinct()
+            held = bloom.build(values, column, SHAPE, "path").withColumn("column", F.lit(column))
+            held.write.mode("append").partitionBy("column").parquet(f"{self.folder}/filters")
+            zone_map(values, column).withColumn("column", F.lit(column)).write.mode("append").partitionBy("column").parquet(f"{self.folder}/zones")
         sizes = back.groupBy("path").agg(F.max("size").alias("size_bytes"))
-        stats = file_stats(back.withColumn("partition_key", F.col("partition_key").cast("string"))).join(sizes, "path")
-        return stats.select("*", F.lit(version).alias("schema_version"), F.lit(now()).cast("long").alias("created_at"), F.lit(None).cast("long").alias("superseded_at"), F.lit(None).cast("string").alias("compacted_into"), F.lit(batch).cast("string").alias("batch"))
+        stats = file_stats(back, distinct="none").join(sizes, "path")
+        return stats.select("*", F.lit(version).alias("schema_version"), F.lit(now()).cast("long").alias("created_at"), F.lit(None).cast("long").alias("superseded_at"), F.lit(None).cast("string").alias("compacted_into"), F.lit(batch).cast("string").alias("batch"), F.lit(",".join(self.filters)).alias("filters"))
 
-    def ingest(self, rows: DataFrame, batch: str | None = None, strategy: str = "time", paths: dict[str, tuple[str, str]] | None = None) -> DataFrame:
-        """Append the good rows and give the bad ones with their errors. A batch that is already there adds nothing. The files of a batch
-        lie in a folder named by it, so one that was written but not committed is written over when it comes again."""
+    def ingest(self, rows: DataFrame, batch: str | None = None, strategy: str = "time", paths: dict[str, tuple[str, str]] | None = None, target: int | None = None) -> DataFrame:
+        """Append the good rows and give the bad ones with their errors. A batch that is already there adds nothing; of two writers of one
+        batch one adds it. Files that were written and not committed are nobody's until `recover` deletes them. target: bytes of a file;
+        by default each key's own, by what it holds."""
         rows = checked(rows)
         bad = rows.where(F.size("errors") > 0)
         if batch is not None and self.manifest.files().where(F.col("batch") == batch).limit(1).count():
             return bad
         good = rows.where(F.size("errors") == 0).drop("errors")
-        good = good.withColumn("event_id", F.when(F.coalesce(F.length("event_id"), F.lit(0)) == 0, ulids(F.col("event_time"))).otherwise(F.col("event_id")))
-        folder = f"{self.folder}/data/batch={batch or uuid.uuid4().hex}"
-        if good.isEmpty():
+        good = routed(good.withColumn("event_id", F.when(F.coalesce(F.length("event_id"), F.lit(0)) == 0, ulids(F.col("event_time"))).otherwise(F.col("event_id"))), strategy)
+        text = [f.name for f in good.schema if f.dataType.typeName() in ("string", "binary") and f.name != "partition_key"]
+        width = reduce(lambda a, b: a + b, (F.coalesce(F.octet_length(c), F.lit(0)) for c in text), F.lit(8 * (len(good.columns) - len(text))))
+        each = good.groupBy("partition_key").agg((F.sum(width.cast("long")) * PACKED).alias("total"))
+        parts = each.agg(F.sum(F.ceil(F.col("total") / (F.lit(target) if target else targets(F.col("total"))))).alias("n")).first()["n"]
+        if not parts:
             return bad
-        files = self._write(routed(good, strategy), folder, self.registry.latest().version, batch, paths)
-        self.manifest.add(files, batch)
+        folder = f"{self.folder}/data/batch={batch or 'one'}-{uuid.uuid4().hex}"
+        if parts > 1:  # small keys share files' tasks
+            parts = max(1, min(parts, -(-int(each.agg(F.sum("total")).first()[0]) // (target or target_bytes(0)))))
+        files = self._write(good, folder, self.registry.latest().version, batch, int(parts), paths)
+        if self.manifest.add(files, batch):
+            self._tell("created", files)
         return bad
 
+    def _known(self, name: str, schema: str) -> DataFrame | None:
+        """A side table, if there is one."""
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}") if shared.names(self.spark, f"{self.folder}/{name}") else None
+
+    def files_of(self, predicate: Predicate | None, version: int | None = None) -> DataFrame:
+        """Active files that can hold a matching row, told in three phases: least and greatest values, then the zone maps of keys, then the
+        files' Bloom filters or an index. A later phase asks only for values that a row must have; files that it knows nothing of stay."""
+        files = self.manifest.active(version)
+        if predicate is None:
+            return files
+        files = pruned(files, predicate)
+        for column, values in needed(predicate).items():
+            if not values:
+                continue
+            knows = F.array_contains(F.split(F.coalesce("filters", F.lit("")), ","), column)
+            if (zones := self._known("zones", "partition_key string, word long, mask long, column string")) is not None:
+                keys = zone_may_hold(zones.where(F.col("column") == column), values)
+                files = files.where(~knows).unionByName(files.where(knows).join(keys, "partition_key", "left_semi"))
+            if (index := self._known(f"index/{column}", "value string, path string, row_count long, min_time long, max_time long, bucket int")) is not None:
+                wanted = self.spark.createDataFrame([(str(v),) for v in values], "value string")
+                own = index.where(F.col("bucket").isin([r[0] for r in wanted.select(bucket(F.col("value"))).distinct().collect()])).join(F.broadcast(wanted), "value", "left_semi")
+                covered = self._known(f"indexed/{column}", "path string")
+                fresh = files.select("path").join(covered, "path", "left_anti")
+                files = files.join(own.select("path").union(fresh).distinct(), "path", "left_semi")
+            elif (held := self._known("filters", "path string, word long, mask long, column string")) is not None:
+                asked = self.spark.createDataFrame([(v,) for v in values], "value " + ("long" if isinstance(values[0], int) else "string"))
+                hits = bloom.may_hold(held.where(F.col("column") == column), asked, "value", SHAPE, "path").select("path").distinct()
+                files = files.where(~knows).unionByName(files.where(knows).join(hits, "path", "left_semi"))
+        return files
+
+    def read(self, files: DataFrame) -> DataFrame:
+        """Rows of some of the files under the latest schema."""
+        return self.read_paths(sorted(r.path for r in files.select("path").collect()))  # a path for each file that is read
+
+    def read_paths(self, paths: list[str]) -> DataFrame:
+        """Rows of files by path under the latest schema."""
+        return read_files(self.spark, paths, self.registry.latest().spark())
+
     def scan(self, predicate: Predicate | None = None, version: int | None = None) -> DataFrame:
         """Rows of the active files under the latest schema, files that can't match left out."""
-        files = self.manifest.active(version)
-        if predicate is not None:
-            files = pruned(files, predicate)
-        paths = sorted(r.path for r in files.select("path").collect())  # a path for each file that is read
-        rows = read_files(self.spark, paths, self.registry.latest().spark())
+        rows = self.read(self.files_of(predicate, version))
         return rows if predicate is None else rows.where(condition(predicate))
 
-    def candidates(self, least: int = 2, rows_below: int | None = None) -> DataFrame:
-        """(partition_key, files, rows, total, target): keys with several files below the size that the key should have, or below a number of rows."""
-        files = self.manifest.active()
+    def index(self, column: str) -> int:
+        """Add the active files that a column's index doesn't know to it; the number of them."""
+        files = self.manifest.active().select("path", "partition_key")
+        if (covered := self._known(f"indexed/{column}", "path string")) is not None:
+            files = files.join(covered, "path", "left_anti")
+        new = [(r.path, r.partition_key) for r in files.collect()]  # a path for each file that is read
+        if new:
+            rows = self.spark.read.option("mergeSchema", "true").parquet(*(p for p, _ in new)).withColumn("path", F.col("_metadata.file_path"))
+            entries = build_index(rows, column).select("value", "path", "row_count", "min_time", "max_time", "bucket")
+            entries.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/index/{column}")
+            told = self.spark.createDataFrame(new, "path string, partition_key string")
+            told.select("path").write.mode("append").parquet(f"{self.folder}/indexed/{column}")
+            self._tell("indexed", told)
+        return len(new)
+
+    def candidates(self, least: int = 2, rows_below: int | None = None, most: int = 100) -> DataFrame:
+        """(partition_key, files, rows, total, target): keys with several files below the size that the key should have, or below a number of
+        rows; and keys that got more than `most` files in a day, with all files of those days."""
+        files = self.manifest.active().withColumn("day", F.floor(F.col("created_at") / 86_400_000))
         total = files.groupBy("partition_key").agg(F.sum("size_bytes").alias("total"))
-        steps = F.when(F.col("total") >= 100 << 30, target_bytes(100 << 30)).when(F.col("total") >= 10 << 30, target_bytes(10 << 30)).when(F.col("total") >= 1 << 30, target_bytes(1 << 30)).otherwise(target_bytes(0))
-        small = files.join(total.withColumn("target", steps), "partition_key").where("size_bytes < target" if rows_below is None else F.col("row_count") < rows_below)
-        return small.groupBy("partition_key").agg(F.count("*").alias("files"), F.sum("row_count").alias("rows"), F.max("total").alias("total"), F.max("target").alias("target")).where(F.col("files") >= least)
+        files = files.join(total.withColumn("target", targets(F.col("total"))), "partition_key")
+        busy = files.groupBy("partition_key", "day").agg(F.count("*").alias("made")).where(F.col("made") > most)
+        files = files.join(busy, ["partition_key", "day"], "left")
+        small = files.where((F.col("size_bytes") < F.col("target") if rows_below is None else F.col("row_count") < rows_below) | F.col("made").isNotNull())
+        found = small.groupBy("partition_key").agg(F.count("*").alias("files"), F.sum("row_count").alias("rows"), F.max("total").alias("total"), F.max("target").alias("target"), F.max("made").alias("made"))
+        return found.where((F.col("files") >= least) | F.col("made").isNotNull()).drop("made")
 
-    def compact(self, key: str, drop_duplicates: bool = False) -> dict:
-        """Rewrite a key's active files as few; all columns are kept. The new files are checked against the old ones before they are committed."""
+    def compact(self, key: str, drop_duplicates: bool = False, target: int | None = None) -> dict:
+        """Rewrite a key's active files as files of the key's target size; all columns are kept. The new files are checked against the old
+        ones before they are committed, in one version with the end of the old ones. Of rows with one event_id the least stays."""
         old = self.manifest.active().where(F.col("partition_key") == key)
         info = [(r.path, r.schema_version, r.size_bytes) for r in old.select("path", "schema_version", "size_bytes").collect()]
         if len(info) < 2:
@@ -93,15 +191,18 @@ class Store:
         rows = self.spark.read.option("mergeSchema", "true").parquet(*(p for p, _, _ in info))
         rows = rows.drop("partition_key")
         if drop_duplicates:
-            rows = rows.dropDuplicates(["event_id"])
+            names = rows.columns
+            rows = rows.groupBy("event_id").agg(F.min(F.struct(*names)).alias("r")).select("r.*")
         before = fingerprint(rows)
-        n = max(1, -(-sum(s or 0 for _, _, s in info) // target_bytes(sum(s or 0 for _, _, s in info))))
+        total = sum(s or 0 for _, _, s in info)
+        n = max(1, -(-total // (target or target_bytes(total))))
         folder = f"{self.folder}/data/batch=compacted-{uuid.uuid4().hex}"
-        files = self._write(rows.withColumn("partition_key", F.lit(key)).repartitionByRange(n, "tenant_id", "event_time"), folder, max(v for _, v, _ in info), None)
+        files = self._write(rows.withColumn("partition_key", F.lit(key)), folder, max(v for _, v, _ in info), None, n)
         after = fingerprint(self.spark.read.parquet(folder).drop("partition_key").select(*rows.columns))
         if before != after:
             raise RuntimeError(f"compacting {key} changed its rows: {before} became {after}")
         self.manifest.replace([p for p, _, _ in info], files, now())
+        self._tell("compacted", files)
         return {"key": key, "files": len(info), "rows": before[0], "done": True}
 
     def collect_garbage(self, age_ms: int = 7 * 86_400_000, at: int | None = None, dry: bool = False) -> list[str]:
@@ -109,15 +210,38 @@ class Store:
         at = now() if at is None else at
         paths = [r.path for r in self.manifest.files().where(F.col("superseded_at").isNotNull() & (F.col("superseded_at") <= at - age_ms)).select("path").collect()]
         if paths and not dry:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path
             for p in paths:
-                path(p).getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path(p), False)
+                shared.remove(self.spark, p)
             self.manifest.drop(paths)
         return sorted(paths)
 
-    def present(self) -> DataFrame:
-        """(path) of all data files on disk."""
-        return self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{self.folder}/data").select("path")
+    def recover(self, age_ms: int = 86_400_000, at: int | None = None) -> dict:
+        """Clean up after writers that died between writing and committing: data files and manifest folders that no version shows and
+        that are old enough are deleted. Files of the manifest that are gone are reported, not forgotten. A compaction or a batch
+        that died this way left the last version as it was, and is simply done again."""
+        before = (now() if at is None else at) - age_ms
+        there = self.present(F.unix_millis("modificationTime").alias("at"))
+        faults = reconcile(self.manifest.files(), there).join(there, "path", "left").where((F.col("fault") == "dangling") | (F.col("at") <= before))
+        found = [(r.path, r.fault) for r in faults.select("path", "fault").collect()]  # what failed, not what there is
+        orphans = sorted(p for p, f in found if f == "orphan")
+        for p in orphans:
+            shared.remove(self.spark, p)
+        shown = self.manifest.parts()
+        left = [n for n in shared.names(self.spark, self.manifest.folder) if n.startswith("d-") and n not in shown]
+        if age_ms <= 0 or left:
+            fs, _ = shared._at(self.spark, self.manifest.folder)
+            path = self.spark._jvm.org.apache.hadoop.fs.Path
+            left = [n for n in left if fs.getFileStatus(path(f"{self.manifest.folder}/{n}")).getModificationTime() <= before]
+        for n in left:
+            shared.remove(self.spark, f"{self.manifest.folder}/{n}")
+        return {"orphans": orphans, "dangling": sorted(p for p, f in found if f == "dangling"), "folders": left}
+
+    def present(self, *more: Column) -> DataFrame:
+        """(path) of all data files on disk, with more about them if asked for (of path, modificationTime and length)."""
+        schema = "path string, modificationTime timestamp, length long, content binary"
+        if not shared.names(self.spark, f"{self.folder}/data"):
+            return self.spark.createDataFrame([], schema).select("path", *more)
+        return self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{self.folder}/data").select("path", *more)
 
 
 def fingerprint(rows: DataFrame) -> tuple[int, int]:

@@ -1,7 +1,7 @@
 """Which files a predicate can touch, told from the manifest alone.
 
 Predicates are trees of tuples: ("and", p, q...), ("or", p, q...), ("not", p), ("=", column, value), ("<" "<=" ">" ">=" likewise), ("in", column, values),
-("between", column, low, high), ("null", column). Only what must hold narrows the files: conjuncts, and a disjunction if all its
+("between", column, low, high), ("null", column), and ("any",) for what can't be told. Only what must hold narrows the files: conjuncts, and a disjunction if all its
 branches narrow. Negations, unknown columns and null statistics keep the file, so no file with a matching row is left out.
 """
 
@@ -36,7 +36,7 @@ def may_match(p: Predicate, time_keys: bool = True) -> Column | None:
     if kind == "or":
         parts = [may_match(x, time_keys) for x in p[1:]]
         return None if not parts or any(c is None for c in parts) else reduce(lambda a, b: a | b, parts)
-    if kind == "not" or kind == "null" or p[1] not in (*STATS, "partition_key"):
+    if kind in ("not", "null", "any") or p[1] not in (*STATS, "partition_key"):
         return None
     column = p[1]
     if kind == "in":
@@ -55,6 +55,20 @@ def may_match(p: Predicate, time_keys: bool = True) -> Column | None:
     return out
 
 
+def needed(p: Predicate) -> dict[str, list]:
+    """For columns that must equal one of some values in every matching row, those values."""
+    out: dict[str, list] = {}
+    for q in p[1:] if p[0] == "and" else (p,):
+        if q[0] == "and":
+            more = needed(q)
+        else:
+            more = {q[1]: [q[2]]} if q[0] == "=" else {q[1]: list(q[2])} if q[0] == "in" else {}
+        for column, values in more.items():
+            if all(isinstance(v, int) for v in values) or all(isinstance(v, str) for v in values):
+                out[column] = [v for v in values if v in out[column]] if column in out else values
+    return out
+
+
 def pruned(files: DataFrame, p: Predicate) -> DataFrame:
     """The files that the predicate can touch."""
     condition = may_match(p)
@@ -75,5 +89,7 @@ def condition(p: Predicate) -> Column:
         return reduce((lambda a, b: a & b) if kind == "and" else (lambda a, b: a | b), map(condition, p[1:]))
     if kind == "not":
         return ~condition(p[1])
+    if kind == "any":
+        raise ValueError("what can't be told isn't a condition on rows")
     c = F.col(p[1])
     return {"=": lambda: c == p[2], "<": lambda: c < p[2], "<=": lambda: c <= p[2], ">": lambda: c > p[2], ">=": lambda: c >= p[2], "in": lambda: c.isin(list(p[2])), "between": lambda: c.between(p[2], p[3]), "null": c.isNull}[kind]()

@@ -33,9 +33,13 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share, `spark.checkpoint.dir`; where that is unset, as in tests, a local one for this process."""
+    """The folder that all machines share, `spark.checkpoint.dir`; where that is unset, as in tests, a local one for this process. On a
+    cluster, where machines can't see each other's folders, it must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder or folder == "<undefined>":
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines share; the master is {master or 'unknown'}")
         folder = _LOCAL.setdefault("folder", "") or tempfile.mkdtemp(prefix="tidemark-")
         _LOCAL["folder"] = folder
     return folder.rstrip("/")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from tidemark.sources import shared
+
 TYPES = {"TEXT": S.StringType(), "INTEGER": S.LongType(), "REAL": S.DoubleType(), "BLOB": S.BinaryType()}
 
 
@@ -61,18 +64,43 @@ EVENTS_V1 = Schema(
 
 @dataclass
 class Registry:
+    """Versions of a schema. With a folder they are kept there, one file each that can be created only once, so that they outlive the process
+    and two writers can't give one number to different schemas."""
+
     versions: list[Schema] = field(default_factory=lambda: [EVENTS_V1])
+    spark: SparkSession | None = None
+    folder: str | None = None
+
+    def __post_init__(self) -> None:
+        if self.folder:
+            self.folder = self.folder.rstrip("/")
+            for v in self.versions:
+                shared.put_new(self.spark, f"{self.folder}/v{v.version}.json", self._text(v))
+            self.reload()
+
+    @staticmethod
+    def _text(schema: Schema) -> str:
+        return json.dumps(asdict(schema))
+
+    def reload(self) -> None:
+        """Read the versions that any writer has registered."""
+        if self.folder:
+            found = [json.loads(shared.text_of(self.spark, f"{self.folder}/{n}")) for n in shared.names(self.spark, self.folder) if n.startswith("v") and n.endswith(".json")]
+            self.versions = sorted((Schema(x["version"], tuple(Column(**c) for c in x["columns"]), tuple(map(tuple, x["indexes"]))) for x in found), key=lambda v: v.version)
 
     def register(self, schema: Schema) -> Schema:
         """The known version that equals the schema, or a new one."""
         if faults := schema.faults():
             raise ValueError("; ".join(faults))
-        for known in self.versions:
-            if known.same(schema):
-                return known
-        new = Schema(max(v.version for v in self.versions) + 1 if self.versions else 1, schema.columns, schema.indexes)
-        self.versions.append(new)
-        return new
+        while True:
+            self.reload()
+            for known in self.versions:
+                if known.same(schema):
+                    return known
+            new = Schema(max(v.version for v in self.versions) + 1 if self.versions else 1, schema.columns, schema.indexes)
+            if not self.folder or shared.put_new(self.spark, f"{self.folder}/v{new.version}.json", self._text(new)):
+                self.versions.append(new)
+                return new
 
     def latest(self) -> Schema:
         return max(self.versions, key=lambda v: v.version)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import types as S
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.storage import Store
+from tidemark.sources import shared
 from tidemark.sources.tables import EVENTS
 
 
@@ -20,6 +22,36 @@ def landed(spark: SparkSession, folder: str, schema: S.StructType = EVENTS, kind
     return (reader.option("mode", "PERMISSIVE").json(folder)) if kind == "json" else reader.format(kind).load(folder)
 
 
+def append(rows: DataFrame, folder: str) -> str:
+    """Put rows where a stream picks them up: they are written beside the landing folder and moved in file by file, each whole. A crash
+    leaves the files that were not moved among the drafts, for `land`. Returns the name that the files begin with."""
+    name = f"append-{uuid.uuid4().hex}"
+    rows.write.json(f"{folder.rstrip('/')}.drafts/{name}")
+    land(rows.sparkSession, folder)
+    return name
+
+
+def land(spark: SparkSession, folder: str) -> int:
+    """Move files of finished drafts into the landing folder; the number of them. Moving a file twice is impossible, so any process may call it."""
+    drafts, path, moved = f"{folder.rstrip('/')}.drafts", spark._jvm.org.apache.hadoop.fs.Path, 0
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    for name in shared.names(spark, drafts):
+        inside = shared.names(spark, f"{drafts}/{name}")
+        if "_SUCCESS" in inside:
+            moved += sum(bool(fs.rename(path(f"{drafts}/{name}/{n}"), path(f"{folder}/{name}-{n}"))) for n in inside if n.startswith("part-"))
+            shared.remove(spark, f"{drafts}/{name}")
+    return moved
+
+
+def drain(query: StreamingQuery) -> None:
+    """Wait until everything that has landed so far is committed."""
+    if query.isActive:
+        query.processAllAvailable()
+    if failed := query.exception():
+        raise failed
+
+
 def into_store(rows: DataFrame, store: Store, name: str, checkpoint: str, every: str | None = None, on_commit: Callable[[int], None] | None = None) -> StreamingQuery:
     """Write each micro-batch to the store under the batch name `<name>-<number>`: one that is replayed after a crash adds nothing again.
     `every`: a trigger like `1 second`; without it, all that has landed is taken and the query ends."""
