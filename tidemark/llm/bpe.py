@@ -162,7 +162,7 @@ def encoded(docs: DataFrame, data: Broadcast, key: str = "doc_id", text: str = "
         for keys, block in T.read(batches):
             yield T.batch(schema, doc_id=keys, ids=[codec.encode(block.text(i).decode()) for i in range(len(block))])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(T.lean(run), "doc_id long, ids array<int>")
 
 
 def decoded(rows: DataFrame, data: Broadcast) -> DataFrame:
@@ -174,7 +174,7 @@ def decoded(rows: DataFrame, data: Broadcast) -> DataFrame:
         for b in batches:
             yield T.batch(schema, doc_id=b.column(0), text=[codec.decode(x or ()).decode("utf-8", "replace") for x in b.column(1).to_pylist()])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return rows.select("doc_id", "ids").mapInArrow(T.lean(run), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, data: Broadcast, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -193,4 +193,4 @@ def digests(docs: DataFrame, data: Broadcast, key: str = "doc_id", text: str = "
                 back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield T.batch(schema, doc_id=keys, n_tokens=n, ids_sha256=told, decoded_sha256=back)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(T.lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

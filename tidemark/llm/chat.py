@@ -122,7 +122,7 @@ def formatted(conversations: DataFrame, template: Template | None = None) -> Dat
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, SEGMENTS)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(T.lean(run), SEGMENTS)
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_faults long"
@@ -165,4 +165,4 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
         if turns is not None:
             yield T.batch(schema, **dict(zip(schema.names, zip(row(), strict=True), strict=True)))
 
-    return segments.mapInArrow(run, DIGESTS)
+    return segments.mapInArrow(T.lean(run), DIGESTS)

@@ -187,4 +187,4 @@ def predict(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "tex
             yield T.batch(schema, doc_id=keys, lang_pred=names[best].tolist(), score=score, bits_per_byte=least / np.maximum(1, np.diff(block.offsets)))
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    return rows.mapInArrow(T.lean(run), "doc_id long, lang_pred string, score double, bits_per_byte double")

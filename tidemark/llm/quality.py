@@ -4,12 +4,12 @@ Train. The model counts every N-gram of all trusted texts (labelled as of good q
 order has the three discounts that its counts of counts give; below one byte all 256 bytes are equally likely. Every table is a DataFrame,
 sharded by its N-gram: contexts, discounted counts and the interpolated probabilities of one order after the other come by joins.
 
-Score. Documents are dealt in chunks (some of a file's rows each). A chunk's distinct N-grams are joined with the sharded tables, falling back
+Score. Documents are dealt in chunks: the rows of one split of a file, so of spark.sql.files.maxPartitionBytes at most. A chunk's distinct N-grams are joined with the sharded tables, falling back
 order by order where one was never seen, and the answers meet the chunk's texts, packed and compressed, in one task, which sums
 them for each document. What is moved grows with the texts, not with the model times the number of tasks.
 
-Threshold. For each language, the QUANTILE of the perplexities of its trusted documents, times SLACK; languages without any use that of
-all. A document is kept if its perplexity is no higher than that, raised by EVIDENCE / sqrt(bytes) bits for what a short text leaves open. Null and empty texts have no perplexity and are not kept.
+Threshold. For each language, the QUANTILE of the perplexities of its trusted documents, counted in steps of 1 / STEPS bits a byte so that
+counts add up in any order, times SLACK; languages without any use that of all. A document is kept if its perplexity is no higher than that, raised by EVIDENCE / sqrt(bytes) bits for what a short text leaves open. Null and empty texts have no perplexity and are not kept.
 
 Trusted ids thin out the texts before they are joined with the labels through a bit map of fixed size, which only saves work.
 Null languages are one group. Repeated rows give repeated results, and an id labelled twice is trusted if one label says so. Without
@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import store
@@ -36,8 +36,10 @@ N = 5
 QUANTILE, SLACK = 0.99, 1.1
 #: Bits a byte, times the root of the bytes, that a short text may lie above the threshold by chance.
 EVIDENCE = 4.0
-#: Chunks that a file's rows are dealt in.
-SPREAD = 4
+#: Steps of a bit a byte in which perplexities are counted.
+STEPS = 4096
+#: Grams that a task holds before it sends them, and bytes of text that it packs at a time.
+FLUSH, PACK = 2_000_000, 4 << 20
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +65,7 @@ def counted(docs: DataFrame) -> DataFrame:
             keys, c = merged(held)
             yield T.batch(schema, gram=T.signed(keys), c=c)
 
-    return docs.mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(T.lean(run), "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def lower(column: str, n: int):
@@ -115,70 +117,87 @@ class Tables:
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, text and the chunk that the row belongs to: told by its file and id alone, so that it is the same whenever it is read."""
+    """doc_id, lang, text and the chunk that the row belongs to: told by the split of a file that it is read from, which is the same whenever
+    it is read; rows that come from no file are dealt by their ids."""
     parts = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    deal = F.pmod(F.xxhash64("doc_id"), F.when(F.col("file") == "", F.lit(parts)).otherwise(F.lit(SPREAD)))
-    return docs.withColumn("chunk", F.xxhash64("file", deal)).select("doc_id", "text", "chunk", "lang")
+    chunk = F.when(F.col("file") == "", F.xxhash64(F.pmod(F.xxhash64("doc_id"), F.lit(parts)))).otherwise(F.xxhash64("file", "block"))
+    return docs.withColumn("chunk", chunk).select("doc_id", "text", "chunk", "lang")
+
+
+def shares(batch: pa.RecordBatch, at: int = 2) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(chunk, rows) of a batch."""
+    chunks = batch.column(at).to_numpy()
+    if len(batch) and (chunks == chunks[0]).all():
+        yield int(chunks[0]), batch
+        return
+    for chunk in np.unique(chunks).tolist():
+        yield chunk, batch.filter(pa.array(chunks == chunk))
 
 
 def distinct_grams(docs: DataFrame) -> DataFrame:
-    """(chunk, gram), nearly distinct: each task's share of a chunk gives each gram once."""
+    """(chunk, gram), nearly distinct: each task gives each of a chunk's grams once, again only after FLUSH others."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("chunk", pa.int64()), ("gram", pa.int64())])
         held: dict[int, list[np.ndarray]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for chunk, own in held.items():
+                grams = np.unique(np.concatenate(own))
+                for k in range(0, len(grams), 1 << 16):
+                    part = grams[k : k + (1 << 16)]
+                    yield T.batch(schema, chunk=np.full(len(part), chunk), gram=T.signed(part))
+            held.clear()
+
         for b in batches:
-            chunks = b.column(2).to_numpy()
-            for chunk in np.unique(chunks).tolist():
-                part = b.filter(pa.array(chunks == chunk))
+            for chunk, part in shares(b):
                 for block in T.blocks(part.column(1)):
                     own = held.setdefault(chunk, [])
                     own.append(np.unique(codes(block, N - 1)))
+                    size += len(own[-1])
                     if len(own) >= 4:
+                        size -= sum(map(len, own))
                         held[chunk] = [np.unique(np.concatenate(own))]
-        for chunk, own in held.items():
-            grams = np.unique(np.concatenate(own))
-            yield T.batch(schema, chunk=np.full(len(grams), chunk), gram=T.signed(grams))
+                        size += len(held[chunk][0])
+                    if size >= FLUSH:
+                        yield from flush()
+                        size = 0
+        yield from flush()
 
-    return docs.mapInArrow(run, "chunk long, gram long")
+    return docs.mapInArrow(T.lean(run), "chunk long, gram long")
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(chunk, kind 1, data): ids, languages and texts of a task's share of a chunk, compressed."""
+    """(chunk, kind 1, data): ids, languages and texts of a task's share of a chunk, compressed, PACK bytes of text at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
         squeeze = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            chunks = b.column(2).to_numpy()
-            for chunk in np.unique(chunks).tolist():
-                with pa.BufferOutputStream() as out:
-                    with pa.ipc.new_stream(out, b.schema) as writer:
-                        writer.write_batch(b.filter(pa.array(chunks == chunk)))
-                    data = squeeze.compress(out.getvalue())
-                yield T.batch(schema, chunk=[chunk], kind=[1], data=[data])
+            for chunk, part in shares(b):
+                for block in T.blocks(part.column(1), PACK):
+                    rows = part.slice(block.row, len(block))
+                    with pa.BufferOutputStream() as out:
+                        with pa.ipc.new_stream(out, rows.schema) as writer:
+                            writer.write_batch(rows)
+                        data = squeeze.compress(out.getvalue())
+                    yield T.batch(schema, chunk=[chunk], kind=[1], data=[data])
 
-    return docs.mapInArrow(run, "chunk long, kind int, data binary")
+    return docs.mapInArrow(T.lean(run), "chunk long, kind int, data binary")
 
 
-class Slots:
-    """Values of sorted keys, met through slots by hash; keys that share a slot are looked up in order."""
+class Answers:
+    """Bits of grams, looked up in their sorted order."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.keys, self.values = keys, values
-        self.shift = T.U(64 - max(10, len(keys).bit_length() + 2))
-        self.slot = np.full(1 << (64 - int(self.shift)), -1, np.int32)
-        self.slot[self.at(keys)] = np.arange(len(keys))
+    def __init__(self, keys: np.ndarray, bits: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.bits = keys[order], bits[order]
 
-    def at(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * T.U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Values of keys that are all there."""
-        where = self.slot[self.at(keys)]
-        miss = np.flatnonzero(self.keys[where] != keys)
-        where[miss] = np.searchsorted(self.keys, keys[miss])
-        return self.values[where]
+    def get(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of grams that are all there, each distinct one looked up once."""
+        grams, back = np.unique(grams, return_inverse=True)
+        return self.bits[np.searchsorted(self.keys, grams)][back]
 
 
 def summed(rows: DataFrame) -> DataFrame:
@@ -198,8 +217,7 @@ def summed(rows: DataFrame) -> DataFrame:
                 if table is None:
                     parts = [unpack(d, T.U, np.float32) for d in waiting]
                     keys, bits = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, T.U), np.zeros(0, np.float32))
-                    order = np.argsort(keys)
-                    table, waiting = Slots(keys[order], bits[order]), []
+                    table, waiting = Answers(keys, bits), []
                 for batch in pa.ipc.open_stream(loose.decompressobj().decompress(data)):
                     for block in T.blocks(batch.column(1)):
                         size = np.diff(block.offsets)
@@ -209,12 +227,21 @@ def summed(rows: DataFrame) -> DataFrame:
                             total[full] = np.add.reduceat(table.get(codes(block, N - 1)), block.offsets[full], dtype=np.float64)
                         yield T.batch(schema, doc_id=batch.column(0).slice(block.row, len(block)), lang=batch.column(3).slice(block.row, len(block)), n_bytes=size, bits=total)
 
-    return rows.mapInArrow(run, "doc_id long, lang string, n_bytes long, bits double")
+    return rows.mapInArrow(T.lean(run), "doc_id long, lang string, n_bytes long, bits double")
+
+
+def quantiles(rows: DataFrame, quantile: float) -> DataFrame:
+    """(group, step): the least step that at least the quantile of a group's rows(group, step) don't exceed, told from counts by step, of
+    which a group has at most 8 * STEPS."""
+    counts = rows.groupBy("group", "step").count()
+    order = Window.partitionBy("group").orderBy("step")
+    seen = counts.select("group", "step", F.sum("count").over(order).alias("seen"), F.sum("count").over(Window.partitionBy("group")).alias("all"))
+    return seen.where(F.col("seen") >= quantile * F.col("all")).groupBy("group").agg(F.min("step").alias("step"))
 
 
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold and kept for every row of docs(doc_id, text, lang); trusted: ids of trusted documents."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.input_file_name().alias("file"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.input_file_name().alias("file"), F.expr("input_file_block_start()").alias("block"))
     trusted = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     train = thinned(docs, trusted).join(trusted, "doc_id", "left_semi")
     tables = Tables(counted(train))
@@ -233,16 +260,16 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, sl
             out = [(int(chunk[order[i]]), pack(gram[order[i:j]], bits[order[i:j]].astype(np.float32))) for i, j in zip(cuts, cuts[1:], strict=False)]
             yield T.batch(schema, chunk=[k for k, _ in out], kind=[0] * len(out), data=[d for _, d in out])
 
-    replies = answers.groupBy("chunk", "gram").agg(F.first("bits").alias("bits")).mapInArrow(answered, "chunk long, kind int, data binary")
+    replies = answers.groupBy("chunk", "gram").agg(F.first("bits").alias("bits")).mapInArrow(T.lean(answered), "chunk long, kind int, data binary")
     texts = replies.unionByName(packed(rows)).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind")
     scored = summed(texts).withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.pow(F.lit(2.0), F.col("bits") / F.col("n_bytes"))))
-    scored = store.written(scored.select("doc_id", "lang", "n_bytes", "perplexity"), "scored")
-
-    good = scored.join(trusted, "doc_id", "left_semi").where("perplexity is not null").select(F.coalesce("lang", F.lit("")).alias("group"), "perplexity")
-    cut = F.percentile_approx("perplexity", quantile, 10000) * slack
-    each = good.groupBy("group").agg(cut.alias("threshold"))
-    total = good.agg(cut.alias("t")).first()[0]
-    out = scored.withColumn("group", F.coalesce("lang", F.lit(""))).join(each, "group", "left")
-    threshold = F.coalesce("threshold", F.lit(total).cast("double"))
-    kept = F.coalesce(F.col("perplexity") <= F.coalesce(threshold, F.lit(256.0)) * F.pow(F.lit(2.0), EVIDENCE / F.sqrt("n_bytes")), F.lit(False))
-    return out.select("doc_id", "lang", "n_bytes", "perplexity", threshold.alias("threshold"), kept.alias("kept"))
+    scored = store.written(scored.select("doc_id", "lang", "n_bytes", "bits", "perplexity"), "scored")
+
+    good = scored.join(trusted, "doc_id", "left_semi").where("perplexity is not null")
+    step = F.ceil(F.col("bits") * STEPS / F.col("n_bytes")).alias("step")
+    each = quantiles(good.select(F.coalesce("lang", F.lit("")).alias("group"), step), quantile)
+    total = quantiles(good.select(F.lit("").alias("group"), step), quantile).select("step").first()
+    out = scored.withColumn("group", F.coalesce("lang", F.lit(""))).join(F.broadcast(each), "group", "left")
+    at = F.pow(F.lit(2.0), F.coalesce("step", F.lit(total[0] if total else None).cast("long")) / STEPS) * slack
+    kept = F.coalesce(F.col("perplexity") <= F.coalesce(at, F.lit(256.0)) * F.pow(F.lit(2.0), EVIDENCE / F.sqrt("n_bytes")), F.lit(False))
+    return out.select("doc_id", "lang", "n_bytes", "perplexity", at.alias("threshold"), kept.alias("kept"))

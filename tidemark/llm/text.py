@@ -6,8 +6,10 @@ byte by byte. Memory is bounded by BLOCK bytes of text, or by one document if th
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -159,6 +161,33 @@ def read(batches: Iterable[pa.RecordBatch], key: str = "doc_id", text: str = "te
             yield keys.slice(block.row, len(block)), block
 
 
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving what its task has freed back to the machine when it ends: Python workers outlive their tasks, and several wait beside
+    those at work, each with all that its allocators have kept."""
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
+def changed(column: pa.Array, new: dict[int, str]) -> pa.Array:
+    """The column with new texts in some rows; the others are not taken apart."""
+    if not new:
+        return column
+    rows = sorted(new)
+    mask = np.zeros(len(column), bool)
+    mask[rows] = True
+    return pc.replace_with_mask(column, pa.array(mask), pa.array([new[i] for i in rows], column.type))
+
+
 class Sent:
     """An object broadcast with its classes, so that workers need no copy of this library; it is rebuilt once in each task."""
 
@@ -172,4 +201,6 @@ class Sent:
     def value(self):
         if self.held is None:
             self.held = pickle.loads(self.data.value)
+            if getattr(self.data, "_path", None):
+                self.data.__dict__.pop("_value", None)  # the bytes lie in a file; a worker needs the object only
         return self.held

@@ -277,7 +277,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         for keys, block in T.read(batches):
             yield T.batch(schema, doc_id=keys, score=sent.value.scores(block))
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(T.lean(run), "doc_id long, score double")
 
 
 def kept(docs: DataFrame, model: Model, text: str = "text", least: float = 0.7) -> DataFrame:
@@ -289,4 +289,4 @@ def kept(docs: DataFrame, model: Model, text: str = "text", least: float = 0.7)
             scores = [sent.value.scores(block) for block in T.blocks(b.column(b.schema.get_field_index(text)))]
             yield b.filter(pa.array(np.concatenate(scores) < least)) if scores else b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(T.lean(run), docs.schema)
