@@ -4,9 +4,14 @@
 credential word (`passphrase: ...`, `pwd=...`) and segments it at minimum cost into words, dates, repeats, keyboard walks,
 sequences and brute-force characters; a value that takes at least GUESSES guesses and does not touch a base span is a secret.
 
+Words cost by their rank in a dictionary: frequent parts of passwords, then the WORDS most frequent words of the documents themselves,
+counted over all of them, ties by spelling; it is broadcast, and its size is that parameter. So that prose is left alone where the
+dictionary ends, a value all of whose pieces between marks are plain words in shape (letters only, lower case, upper case or capitalised) is
+no secret, however rare the words: random letters of one case alone are not found.
+
 A text costs one pass over its bytes for the few substrings that any span needs; only texts that hold one are decoded and
 matched. Null and empty texts have no spans. Spans are in code points, ends exclusive. Repeated rows give repeated results.
-The segmentation takes time in proportion to the value's length, however long it is.
+The segmentation takes time in proportion to the value's length, however long it is. Without documents the dictionary is the fixed part.
 """
 
 from __future__ import annotations
@@ -27,11 +32,15 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run of [0-9a-f]+ that is long enough
-CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer)["']?[\x20\t]*(?:[:=]|=>|\bis\b)[\x20\t]*["'`]?([^\s"'`<>,;]+)""", re.I | re.A)
+CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer)["']?[\x20\t]*(?:=>|[:=])[\x20\t]*["'`]?([^\s"'`<>,;]+)""", re.I | re.A)
 #: Lower-case substrings one of which every credential context holds.
 HINTS = (b"passw", b"passphrase", b"passcode", b"pwd", b"secret", b"token", b"api", b"key", b"credential", b"bearer")
 #: log10 of the guesses from which a value counts as a secret, and its least length.
-GUESSES, LEAST = 8.0, 6
+GUESSES, LEAST = 10.0, 6
+#: Words of the documents that the dictionary holds at most, and how long they are.
+WORDS, SHORTEST, LONGEST = 30_000, 3, 20
+#: Runs up to this length are cut anywhere; longer ones count whole.
+RUN = 32
 
 # Frequent parts of passwords, the most frequent first.
 COMMON = """password the and 123456 qwerty letmein admin welcome monkey dragon master login hello shadow sunshine princess
@@ -47,7 +56,6 @@ LEET = str.maketrans("4@310$57", "aaeiosst")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.](?:19|20)\d\d")
 
 _RANK = {w: i + 1 for i, w in reversed(list(enumerate(COMMON)))}
-_WIDEST = max(map(len, _RANK))
 _SPOT = {c: (row, k) for row, keys in enumerate(KEYBOARD) for k, c in enumerate(keys)}
 
 
@@ -72,29 +80,44 @@ def _runs(value: str, joined) -> list[int]:
     return out
 
 
-def guess_cost(value: str) -> float:
+def ranked(words: Iterable[str] = ()) -> dict[str, int]:
+    """The dictionary: the fixed words, then others, each with its rank."""
+    out = dict(_RANK)
+    for w in words:
+        out.setdefault(w, len(out) + 1)
+    return out
+
+
+def frequent(docs: DataFrame, text: str = "text", most: int = WORDS) -> list[str]:
+    """The most frequent words of all documents, from the most frequent on."""
+    found = F.regexp_extract_all(F.lower(F.col(text).cast("string")), F.lit(r"\p{L}{%d,%d}" % (SHORTEST, LONGEST)), F.lit(0))
+    counts = docs.select(F.explode(found).alias("w")).groupBy("w").count()
+    return [r.w for r in counts.orderBy(F.desc("count"), "w").limit(most).collect()]
+
+
+def guess_cost(value: str, ranks: dict[str, int] = _RANK) -> float:
     """log10 of the guesses that the cheapest segmentation of the value needs; empty: 0."""
     low = value.lower()
+    low = low if len(low) == len(value) else value
     plain = low.translate(LEET)
     walk = _runs(low, _near)
     same = _runs(value, lambda a, b: a == b)
     up = _runs(value, lambda a, b: ord(b) - ord(a) == 1)
     down = _runs(value, lambda a, b: ord(a) - ord(b) == 1)
-    dates: dict[int, list[int]] = {}
-    for i in range(len(value)):
-        if value[i] in "0123456789" and (m := DATE.match(value, i)):
-            dates.setdefault(m.end(), []).append(i)
     best = [0.0] * (len(value) + 1)
     for j in range(1, len(value) + 1):
         cost = best[j - 1] + _single(value[j - 1])
-        for i in range(max(0, j - _WIDEST), j - 2):
+        for i in range(max(0, j - LONGEST), j - SHORTEST + 1):
             for word, extra in ((low[i:j], 0.0), (plain[i:j], 0.3)):
-                if rank := _RANK.get(word):
+                if rank := ranks.get(word):
                     cost = min(cost, best[i] + math.log10(rank + 1) + extra + (0.3 if value[i:j] != low[i:j] else 0))
-        for i in dates.get(j, ()):
-            cost = min(cost, best[i] + math.log10(365 * 120 if j - i > 4 else 120))
+        if value[j - 1] in "0123456789":
+            for i in range(max(0, j - 10), j - 3):
+                if value[i] in "0123456789" and DATE.fullmatch(value, i, j):
+                    cost = min(cost, best[i] + math.log10(365 * 120 if j - i > 4 else 120))
         for run, first in ((walk, 47 * 4), (same, 94), (up, 94), (down, 188)):
-            if (n := run[j - 1]) >= 3:
+            longest = run[j - 1]
+            for n in {*range(3, min(longest, RUN) + 1), *([longest] if longest > RUN else [])}:
                 cost = min(cost, best[j - n] + math.log10(first * n) + (0.5 * (n - 3) ** 0.5 if run is walk else 0))
         for n in range(2, min(9, j // 2 + 1)):  # a block that was just typed is typed again
             if value[j - n : j] == value[j - 2 * n : j - n]:
@@ -103,6 +126,11 @@ def guess_cost(value: str) -> float:
     return best[-1]
 
 
+def prose(value: str) -> bool:
+    """Whether all pieces of the value between marks are plain words in shape."""
+    return all(p.isalpha() and (p.islower() or p.isupper() or p.istitle()) for p in re.findall(r"[^\W_]+", value))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the pattern kinds, sorted."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
@@ -111,20 +139,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def guess_spans(text: str, base: list[tuple[int, int, int]], guesses: float = GUESSES) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of credential values that are dear to guess and touch no base span."""
+def guess_spans(text: str, base: list[tuple[int, int, int]], guesses: float = GUESSES, ranks: dict[str, int] = _RANK) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of credential values that are dear to guess and touch no base span; marks that end a sentence are no part of a value."""
     found = []
     for m in CONTEXT.finditer(text):
-        a, b = m.span(1)
-        if b - a >= LEAST and not any(s < b and a < e for s, _, e in base) and guess_cost(text[a:b]) >= guesses:
+        a = m.start(1)
+        b = a + len(m[1].rstrip(".!?:)]}"))
+        if b - a >= LEAST and not prose(text[a:b]) and not any(s < b and a < e for s, _, e in base) and guess_cost(text[a:b], ranks) >= guesses:
             found.append((a, 3, b))
     return found
 
 
-def find(text: str | None, guesses: float = GUESSES) -> tuple[list, list]:
+def find(text: str | None, guesses: float = GUESSES, ranks: dict[str, int] = _RANK) -> tuple[list, list]:
     """Base spans and all spans of a text."""
     base = base_spans(text or "")
-    return base, sorted(base + guess_spans(text or "", base, guesses))
+    return base, sorted(base + guess_spans(text or "", base, guesses, ranks))
 
 
 _HEXES = T.byte_class((0x30, 0x39), (0x61, 0x66))
@@ -159,8 +188,14 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", guesses: float = GUESSES) -> DataFrame:
+def sent(docs: DataFrame, text: str, words: Iterable[str] | None) -> T.Sent:
+    """The dictionary for the tasks; words: its words besides the fixed ones, by default the documents' most frequent."""
+    return T.Sent(docs.sparkSession, ranked(frequent(docs, text) if words is None else words))
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", guesses: float = GUESSES, words: Iterable[str] | None = None) -> DataFrame:
     """One row for each row of docs: its key, counts by kind, a digest of the base spans, and all spans."""
+    known = sent(docs, text, words)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
@@ -169,49 +204,44 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", guesses: floa
             n = len(block)
             counts, digests, spans = np.zeros((4, n), np.int64), [none] * n, [""] * n
             for i in suspects(block):
-                base, found = find(block.text(i).decode("utf-8", "replace"), guesses)
+                base, found = find(block.text(i).decode("utf-8", "replace"), guesses, known.value)
                 for _, k, _ in found:
                     counts[k, i] += 1
                 if found:
                     digests[i], spans[i] = hashlib.sha256(written(base).encode()).hexdigest(), written(found)
             yield T.batch(schema, doc_id=keys, **{f"n_{k}": counts[j] for j, k in enumerate(KINDS)}, base_sha256=digests, spans=spans)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(T.lean(run), SCHEMA)
 
 
-def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
+def redact(text: str | None, mark: str = "[SECRET]", ranks: dict[str, int] = _RANK) -> str | None:
     """The text with every span replaced; touching or overlapping spans give one mark."""
     if text is None:
         return None
     out, at = [], 0
-    for a, _, b in find(text)[1]:
+    for a, _, b in find(text, ranks=ranks)[1]:
         if a >= at:
             out += [text[at:a], mark]
         at = max(at, b)
     return "".join([*out, text[at:]])
 
 
-def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
+def redacted(docs: DataFrame, text: str = "text", words: Iterable[str] | None = None) -> DataFrame:
     """docs, all columns kept, with secrets in the text replaced by a mark."""
-    names = docs.columns
+    names, known = docs.columns, sent(docs, text, words)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k = b.schema.get_field_index(text)
-            changed: dict[int, str] = {}
+            masked: dict[int, str] = {}
             for block in T.blocks(b.column(k)):
                 for i in suspects(block):
                     old = block.text(i).decode("utf-8", "replace")
-                    if (new := redact(old)) != old:
-                        changed[block.row + i] = new
-            if changed:
-                texts = b.column(k).to_pylist()
-                for i, new in changed.items():
-                    texts[i] = new
-                b = b.set_column(k, b.schema.field(k), pa.array(texts, b.schema.field(k).type))
-            yield b
-
-    return docs.mapInArrow(run, docs.schema).select(*names)
+                    if (new := redact(old, ranks=known.value)) != old:
+                        masked[block.row + i] = new
+            yield b.set_column(k, b.schema.field(k), T.changed(b.column(k), masked)) if masked else b
+
+    return docs.mapInArrow(T.lean(run), docs.schema).select(*names)
 
 
 def spans_column(spans: str | Column) -> Column:
