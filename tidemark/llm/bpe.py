@@ -1,10 +1,12 @@
 """Byte-level BPE with a given rank file: encoding folds ranked merges over distinct words, decoding concatenates byte pieces.
 
 A text is cut by the vocabulary's pattern. A word that is a piece itself is that piece; any other word is folded: of all neighbouring parts
-whose joined bytes have a rank, the pair with the lowest rank, the leftmost of equals, is merged, until none is left. Long words use a
-heap, so that a word of any length takes n log n steps. Each task folds a word once while it remembers it; it forgets all words when it
-holds CACHE of them, which bounds its memory and changes nothing else. `folded` is the same fold as Spark higher-order functions over
-a rank map that comes with each row of words; it gives the same ids, but takes several times the CPU of the fold in the task.
+whose joined bytes have a rank, the pair with the lowest rank, the leftmost of equals, is merged, until none is left.
+
+The fold is an aggregate of Spark's higher-order functions over the word's bytes, with the rank map as a literal. It runs once for each
+distinct word of all documents: the words that a chunk of documents holds and that are no pieces are gathered, each distinct one is folded, and
+the ids meet the chunk's texts again in one task, which puts them together. A word of over LONG bytes would cost the square of its length
+there; it is folded in that task with a heap, in n log n steps, to the same ids.
 
 Null texts are empty and have no ids. Special tokens are never made. Every row gives one row. Decoding the ids of a text gives its bytes.
 """
@@ -14,9 +16,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import zlib
+import pickle
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import public_tokenizers
 import pyarrow as pa
@@ -25,10 +29,13 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import chunks, store
 from tidemark.llm import text as T
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE, LONG = 250_000, 48
+#: Words that a task remembers besides its chunk's before it forgets them, bytes of words that are folded by Spark, words that a task gathers
+#: before it sends them.
+CACHE, LONG, FLUSH = 250_000, 256, 500_000
 
 
 def ranks(data: str) -> dict[bytes, int]:
@@ -51,29 +58,11 @@ class Codec:
 
     def fold(self, word: bytes) -> tuple[int, ...]:
         """Ids of one word."""
-        rank = self.ranks.get
-        whole = rank(word)
-        if whole is not None:
-            return (whole,)
-        if len(word) > LONG:
-            return self.fold_long(word)
-        parts = [word[i : i + 1] for i in range(len(word))]
-        joined = [rank(parts[i] + parts[i + 1], 1 << 60) for i in range(len(parts) - 1)]
-        while joined:
-            low = min(joined)
-            if low == 1 << 60:
-                break
-            i = joined.index(low)
-            parts[i] += parts.pop(i + 1)
-            joined.pop(i)
-            if i < len(joined):
-                joined[i] = rank(parts[i] + parts[i + 1], 1 << 60)
-            if i:
-                joined[i - 1] = rank(parts[i - 1] + parts[i], 1 << 60)
-        return tuple(self.ranks[p] for p in parts)
+        whole = self.ranks.get(word)
+        return self.fold_long(word) if whole is None else (whole,)
 
     def fold_long(self, word: bytes) -> tuple[int, ...]:
-        """The same for a long word, with a heap of pairs and links between parts."""
+        """Ids of a word that is no piece, with a heap of pairs and links between parts."""
         n, rank = len(word), self.ranks.get
         end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), [*range(1, n), -1]
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
@@ -93,32 +82,65 @@ class Codec:
                 heapq.heappush(heap, (r, before[i], stop))
         return tuple(self.ranks[word[i : end[i]]] for i in range(n) if alive[i])
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text."""
-        words, known = self.words(text), self.known
-        new = {w for w in words if w not in known} if len(words) < CACHE else set(words) - known.keys()
-        if len(known) + len(new) > CACHE:
-            known.clear()
+    def encode(self, text: str, known: dict[str, tuple[int, ...]] | None = None) -> list[int]:
+        """Ids of a text; known: ids of words."""
+        words, own = self.words(text), self.known
+        new = [w for w in set(words) if w not in own]
+        if len(own) + len(new) > CACHE:
+            own.clear()
             new = set(words)
         for w in new:
-            known[w] = self.fold(w.encode())
-        return list(chain.from_iterable(map(known.__getitem__, words)))
+            own[w] = (known.get(w) if known else None) or self.fold(w.encode())
+        return list(chain.from_iterable(map(own.__getitem__, words)))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """Bytes of ids."""
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
-#: Buckets of the rank map: a piece's place is the crc32 of its hexadecimal text.
-BUCKETS = 1 << 16
+#: Bits of an id in a cell of the rank map, and what stands for no rank.
+ID_BITS, NONE = 20, (1 << 31) - 1
+#: Multipliers of a pair's ids for its two places in the rank map.
+PLACES = ((40503, 30103), (92821, 7919))
+
+
+class RankMap(NamedTuple):
+    """The ranks of joined pieces as an array. Pieces a and b, joined, have their rank in one of two cells that their ids name, together
+    with a and b; other cells hold -1. single: ids of the 256 bytes. The number of cells is a power of two."""
+
+    single: list[int]
+    cells: list[int]
+
+
+def rank_map(known: dict[bytes, int]) -> RankMap:
+    """Every way to cut a piece in two pieces. A pair takes its first cell, and a pair that was there goes to its other one; when that
+    doesn't end, the cells are doubled."""
+    pairs = [(known[piece[:k]], known[piece[k:]], rank) for piece, rank in known.items() for k in range(1, len(piece)) if piece[:k] in known and piece[k:] in known]
+    size = 1 << max(4, (2 * len(pairs)).bit_length())
+    while True:
+        cells: dict[int, tuple[int, int, int]] = {}
+        for pair in pairs:
+            at = (pair[0] * PLACES[0][0] + pair[1] * PLACES[0][1]) & (size - 1)
+            for _ in range(200):
+                pair, cells[at] = cells.get(at), pair
+                if pair is None:
+                    break
+                one, two = ((pair[0] * x + pair[1] * y) & (size - 1) for x, y in PLACES)
+                at = two if at == one else one
+            else:
+                break
+        else:
+            break
+        size *= 2
+    packed = [-1] * size
+    for at, (a, b, rank) in cells.items():
+        packed[at] = (a << ID_BITS | b) << ID_BITS | rank
+    return RankMap([known.get(bytes([k]), -1) for k in range(256)], packed)
 
 
-def rank_map(data: str) -> list[str]:
-    """Buckets of `,piece:rank` strings, pieces in hexadecimal and ranks of five digits."""
-    out: list[list[str]] = [[] for _ in range(BUCKETS)]
-    for piece, rank in ranks(data).items():
-        out[zlib.crc32(piece.hex().encode()) % BUCKETS].append(f",{piece.hex()}:{rank:05d}")
-    return ["".join(x) for x in out]
+def literal(values: list[int]) -> Column:
+    """An array literal: one string, whose split and cast are folded when the plan is made."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def _let(value: Column, then) -> Column:
@@ -126,31 +148,87 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def folded(words: Column, buckets: Column) -> Column:
-    """Ids of each of an array of words (binary): an aggregate whose state is the parts of a word; each step merges the pair of neighbours
-    with the lowest rank. buckets: the rank map."""
+def folded(word: Column, ranks_: RankMap) -> Column:
+    """Ids of a word (binary) that is no piece itself: an aggregate whose state is the ids of the word's parts, at first its bytes, and the ranks
+    of neighbouring pairs; each step merges the pair with the lowest rank, whose rank is the new part's id, and ranks the two pairs that
+    it makes with its neighbours."""
+    none, empty = F.lit(NONE).cast("bigint"), F.array().cast("array<bigint>")
+
+    def with_map(cells: Column, single: Column) -> Column:
+        def rank(a: Column, b: Column) -> Column:
+            def held(k: int, rest: Column) -> Column:
+                cell = F.get(cells, (a * PLACES[k][0] + b * PLACES[k][1]).bitwiseAND(len(ranks_.cells) - 1).cast("int"))
+                return _let(cell, lambda x: F.when(F.shiftright(x, ID_BITS) == F.shiftleft(a, ID_BITS) + b, x.bitwiseAND((1 << ID_BITS) - 1)).otherwise(rest))
+
+            return held(0, held(1, none))
+
+        def merge(state: Column, _: Column) -> Column:
+            ids, pairs = state["ids"], state["pairs"]
+
+            def join(low: Column) -> Column:
+                def put(at: Column) -> Column:
+                    n = F.size(ids)
+                    left = F.when(at > 1, F.array(rank(F.get(ids, at - 2), low))).otherwise(empty)
+                    right = F.when(at < n - 1, F.array(rank(low, F.get(ids, at + 1)))).otherwise(empty)
+                    return F.struct(
+                        F.concat(F.slice(ids, F.lit(1), at - 1), F.array(low), F.slice(ids, at + 2, n)).alias("ids"),
+                        F.concat(F.slice(pairs, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(pairs, at + 2, n)).alias("pairs"),
+                    )
+
+                return F.when(low == none, state).otherwise(_let(F.array_position(pairs, low).cast("int"), put))
+
+            return _let(F.coalesce(F.array_min(pairs), none), join)
 
-    def rank(piece: Column) -> Column:
-        entry = F.get(buckets, (F.crc32(piece) % BUCKETS).cast("int"))
-        return _let(entry, lambda e: _let(F.instr(e, F.concat(F.lit(","), piece, F.lit(":"))), lambda at: F.when(at > 0, F.substring(e, at + F.length(piece) + 2, F.lit(5)).cast("int"))))
+        def start(ids: Column) -> Column:
+            n = F.size(ids)
+            pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.get(ids, i - 1), F.get(ids, i)))).otherwise(empty)
+            return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.struct(ids.alias("ids"), pairs.alias("pairs")), merge, lambda s: s["ids"])
+
+        return _let(F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), lambda c: F.get(single, F.ascii(c))), start)
+
+    return _let(literal(ranks_.cells), lambda c: _let(literal(ranks_.single), lambda s: with_map(c, s))).cast("array<int>")
+
+
+def unknown(rows: DataFrame, data: Broadcast) -> DataFrame:
+    """(chunk, word): a chunk's words that are no pieces and at most LONG bytes, nearly distinct: each task gives each once, again only after
+    FLUSH others."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("chunk", pa.int64()), ("word", pa.binary())])
+        codec, held = Codec(data.value), {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for chunk, words in held.items():
+                own = [b for w in words if len(b := w.encode()) <= LONG and b not in codec.ranks]
+                for k in range(0, len(own), 1 << 15):
+                    part = own[k : k + (1 << 15)]
+                    yield T.batch(schema, chunk=[chunk] * len(part), word=part)
+            held.clear()
+
+        for b in batches:
+            for chunk, part in chunks.shares(b):
+                words = held.setdefault(chunk, set())
+                for text in part.column(1).to_pylist():
+                    words.update(codec.words(text or ""))
+                if sum(map(len, held.values())) >= FLUSH:
+                    yield from flush()
+        yield from flush()
 
-    def merge(parts: Column, _: Column) -> Column:
-        n = F.size(parts)
-        pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.concat(F.get(parts, i - 1), F.get(parts, i))))
+    return rows.mapInArrow(T.lean(run), "chunk long, word binary")
 
-        def join(at: Column) -> Column:
-            return F.concat(F.slice(parts, F.lit(1), at - 1), F.array(F.concat(F.get(parts, at - 1), F.get(parts, at))), F.slice(parts, at + 2, n))
 
-        best = _let(pairs, lambda r: _let(F.array_min(r), lambda low: F.when(low.isNull(), parts).otherwise(_let(F.array_position(r, low).cast("int"), join))))
-        return F.when(n < 2, parts).otherwise(best)
+def with_words(docs: DataFrame, data: Broadcast, key: str, text: str) -> DataFrame:
+    """Chunks of documents after the ids of their words."""
+    rows = chunks.chunked(docs, key, text)
+    wanted = store.written(unknown(rows, data), "words")
+    ids = wanted.select("word").distinct().select("word", folded(F.col("word"), rank_map(ranks(data.value))).alias("ids"))
+    answers = wanted.join(store.written(ids, "folded"), "word").select("chunk", "word", "ids")
+    return chunks.meet(chunks.replies(answers, lambda b: pickle.dumps((b.column(1).to_pylist(), b.column(2).to_pylist()))), rows)
 
-    def word(w: Column) -> Column:
-        n = F.length(w)
-        parts = _let(F.lower(F.hex(w)), lambda h: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(h, i * 2 + 1, F.lit(2))))
-        merged = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), parts, merge)
-        return _let(rank(F.lower(F.hex(w))), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(merged, rank)))
 
-    return F.transform(words, word)
+def known(data: list[bytes]) -> dict[str, tuple[int, ...]]:
+    """Ids by word."""
+    return {w.decode(): tuple(x) for d in data for w, x in zip(*pickle.loads(d), strict=True)}
 
 
 def encoded(docs: DataFrame, data: Broadcast, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -159,10 +237,10 @@ def encoded(docs: DataFrame, data: Broadcast, key: str = "doc_id", text: str = "
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
         codec = Codec(data.value)
-        for keys, block in T.read(batches):
-            yield T.batch(schema, doc_id=keys, ids=[codec.encode(block.text(i).decode()) for i in range(len(block))])
+        for words, rows in chunks.met(batches, known):
+            yield T.batch(schema, doc_id=rows.column(0), ids=[codec.encode(t or "", words) for t in rows.column(1).to_pylist()])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(T.lean(run), "doc_id long, ids array<int>")
+    return with_words(docs, data, key, text).mapInArrow(T.lean(run), "doc_id long, ids array<int>")
 
 
 def decoded(rows: DataFrame, data: Broadcast) -> DataFrame:
@@ -184,13 +262,13 @@ def digests(docs: DataFrame, data: Broadcast, key: str = "doc_id", text: str = "
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
         codec = Codec(data.value)
         names = {i: str(i) for i in codec.pieces}
-        for keys, block in T.read(batches):
+        for words, rows in chunks.met(batches, known):
             n, told, back = [], [], []
-            for i in range(len(block)):
-                ids = codec.encode(block.text(i).decode())
+            for t in rows.column(1).to_pylist():
+                ids = codec.encode(t or "", words)
                 n.append(len(ids))
                 told.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
                 back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            yield T.batch(schema, doc_id=keys, n_tokens=n, ids_sha256=told, decoded_sha256=back)
+            yield T.batch(schema, doc_id=rows.column(0), n_tokens=n, ids_sha256=told, decoded_sha256=back)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(T.lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return with_words(docs, data, key, text).mapInArrow(T.lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -22,11 +22,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import store
+from tidemark.llm import chunks, store
 from tidemark.llm import text as T
 from tidemark.llm.langid import codes
 from tidemark.llm.neardup import thinned
@@ -38,8 +37,8 @@ QUANTILE, SLACK = 0.99, 1.1
 EVIDENCE = 4.0
 #: Steps of a bit a byte in which perplexities are counted.
 STEPS = 4096
-#: Grams that a task holds before it sends them, and bytes of text that it packs at a time.
-FLUSH, PACK = 2_000_000, 4 << 20
+#: Grams that a task holds before it sends them.
+FLUSH = 2_000_000
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,24 +115,6 @@ class Tables:
         return rows.select("gram", (-F.log2(F.coalesce(p, scale / 256))).alias("bits"))
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, text and the chunk that the row belongs to: told by the split of a file that it is read from, which is the same whenever
-    it is read; rows that come from no file are dealt by their ids."""
-    parts = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    chunk = F.when(F.col("file") == "", F.xxhash64(F.pmod(F.xxhash64("doc_id"), F.lit(parts)))).otherwise(F.xxhash64("file", "block"))
-    return docs.withColumn("chunk", chunk).select("doc_id", "text", "chunk", "lang")
-
-
-def shares(batch: pa.RecordBatch, at: int = 2) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """(chunk, rows) of a batch."""
-    chunks = batch.column(at).to_numpy()
-    if len(batch) and (chunks == chunks[0]).all():
-        yield int(chunks[0]), batch
-        return
-    for chunk in np.unique(chunks).tolist():
-        yield chunk, batch.filter(pa.array(chunks == chunk))
-
-
 def distinct_grams(docs: DataFrame) -> DataFrame:
     """(chunk, gram), nearly distinct: each task gives each of a chunk's grams once, again only after FLUSH others."""
 
@@ -151,7 +132,7 @@ def distinct_grams(docs: DataFrame) -> DataFrame:
             held.clear()
 
         for b in batches:
-            for chunk, part in shares(b):
+            for chunk, part in chunks.shares(b):
                 for block in T.blocks(part.column(1)):
                     own = held.setdefault(chunk, [])
                     own.append(np.unique(codes(block, N - 1)))
@@ -168,25 +149,6 @@ def distinct_grams(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(T.lean(run), "chunk long, gram long")
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """(chunk, kind 1, data): ids, languages and texts of a task's share of a chunk, compressed, PACK bytes of text at a time."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            for chunk, part in shares(b):
-                for block in T.blocks(part.column(1), PACK):
-                    rows = part.slice(block.row, len(block))
-                    with pa.BufferOutputStream() as out:
-                        with pa.ipc.new_stream(out, rows.schema) as writer:
-                            writer.write_batch(rows)
-                        data = squeeze.compress(out.getvalue())
-                    yield T.batch(schema, chunk=[chunk], kind=[1], data=[data])
-
-    return docs.mapInArrow(T.lean(run), "chunk long, kind int, data binary")
-
-
 class Answers:
     """Bits of grams, looked up in their sorted order."""
 
@@ -201,31 +163,23 @@ class Answers:
 
 
 def summed(rows: DataFrame) -> DataFrame:
-    """doc_id, lang, n_bytes and bits of every document: rows (chunk, kind, data), a chunk's answers (kind 0) before its texts."""
+    """doc_id, lang, n_bytes and bits of every document, from chunks that have met their answers."""
+
+    def load(data: list[bytes]) -> Answers:
+        parts = [unpack(d, T.U, np.float32) for d in data]
+        keys, bits = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, T.U), np.zeros(0, np.float32))
+        return Answers(keys, bits)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("bits", pa.float64())])
-        loose = zstandard.ZstdDecompressor()
-        now, waiting, table = None, [], None
-        for b in batches:
-            for chunk, kind, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                if chunk != now:
-                    now, waiting, table = chunk, [], None
-                if kind == 0:
-                    waiting.append(data)
-                    continue
-                if table is None:
-                    parts = [unpack(d, T.U, np.float32) for d in waiting]
-                    keys, bits = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, T.U), np.zeros(0, np.float32))
-                    table, waiting = Answers(keys, bits), []
-                for batch in pa.ipc.open_stream(loose.decompressobj().decompress(data)):
-                    for block in T.blocks(batch.column(1)):
-                        size = np.diff(block.offsets)
-                        total = np.zeros(len(block))
-                        if len(block.data):
-                            full = np.flatnonzero(size)
-                            total[full] = np.add.reduceat(table.get(codes(block, N - 1)), block.offsets[full], dtype=np.float64)
-                        yield T.batch(schema, doc_id=batch.column(0).slice(block.row, len(block)), lang=batch.column(3).slice(block.row, len(block)), n_bytes=size, bits=total)
+        for table, batch in chunks.met(batches, load):
+            for block in T.blocks(batch.column(1)):
+                size = np.diff(block.offsets)
+                total = np.zeros(len(block))
+                if len(block.data):
+                    full = np.flatnonzero(size)
+                    total[full] = np.add.reduceat(table.get(codes(block, N - 1)), block.offsets[full], dtype=np.float64)
+                yield T.batch(schema, doc_id=batch.column(0).slice(block.row, len(block)), lang=batch.column(3).slice(block.row, len(block)), n_bytes=size, bits=total)
 
     return rows.mapInArrow(T.lean(run), "doc_id long, lang string, n_bytes long, bits double")
 
@@ -241,27 +195,15 @@ def quantiles(rows: DataFrame, quantile: float) -> DataFrame:
 
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold and kept for every row of docs(doc_id, text, lang); trusted: ids of trusted documents."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.input_file_name().alias("file"), F.expr("input_file_block_start()").alias("block"))
     trusted = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    train = thinned(docs, trusted).join(trusted, "doc_id", "left_semi")
+    train = thinned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), trusted).join(trusted, "doc_id", "left_semi")
     tables = Tables(counted(train))
 
-    rows = chunked(docs)
-    parts = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = chunks.chunked(docs, "doc_id", "text", "lang")
     wanted = store.written(distinct_grams(rows), "wanted")
-    answers = wanted.join(tables.log2(wanted.select("gram").distinct()), "gram")
-
-    def answered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
-        for b in batches:
-            chunk, gram, bits = (b.column(k).to_numpy() for k in range(3))
-            order = np.argsort(chunk, kind="stable")
-            cuts = np.flatnonzero(np.concatenate([[True], chunk[order][1:] != chunk[order][:-1], [True]])) if len(b) else np.zeros(1, np.int64)
-            out = [(int(chunk[order[i]]), pack(gram[order[i:j]], bits[order[i:j]].astype(np.float32))) for i, j in zip(cuts, cuts[1:], strict=False)]
-            yield T.batch(schema, chunk=[k for k, _ in out], kind=[0] * len(out), data=[d for _, d in out])
-
-    replies = answers.groupBy("chunk", "gram").agg(F.first("bits").alias("bits")).mapInArrow(T.lean(answered), "chunk long, kind int, data binary")
-    texts = replies.unionByName(packed(rows)).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind")
+    answers = wanted.join(tables.log2(wanted.select("gram").distinct()), "gram").groupBy("chunk", "gram").agg(F.first("bits").alias("bits"))
+    replies = chunks.replies(answers, lambda b: pack(b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.float32)))
+    texts = chunks.meet(replies, rows)
     scored = summed(texts).withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.pow(F.lit(2.0), F.col("bits") / F.col("n_bytes"))))
     scored = store.written(scored.select("doc_id", "lang", "n_bytes", "bits", "perplexity"), "scored")
 
