@@ -2,6 +2,10 @@
 
 A window is WINDOW consecutive words of a document; its words are removed if the same window starts in a document with a smaller id.
 
+Survey. One pass gives every text's number of words, the digest of its words and a hash of 128 bits of their sequence, by which copies of
+a whole text are told: of a text that comes several times, only that of the smallest id is looked at further, and the others are
+repeats from end to end. The same pass counts samples, so that frequent ones are known.
+
 Route. Every window's sample is the least of its GRAM-word hashes, so equal windows have equal samples. Samples are gathered by hash; those
 that only one text holds cannot belong to a shared window. For the rest, the stretch of words under each sample is sent to the reference
 shard that owns the sample. There, for each sample, the automaton of all stretches from smaller ids is built in order of the ids: each
@@ -9,9 +13,12 @@ stretch is first streamed through it for its matching statistics, and every plac
 a removed window; then it is added. Maximal removed spans go back to their documents. (Broadcasting every shard's automaton to every
 document would cost shards times documents; owning shards by sample gives each stretch the only automaton that can match it.)
 
-Hot passages: equal stretches are combined before each exchange. Only the smallest id's stretch needs the automaton; in all others every
-window is known to be repeated. Copies of a whole text meet by its hash and need no stretches at all. Numbers travel packed, so a
-passage in a third of all documents costs each task one stretch.
+Hot passages. A sample that many texts hold in different surroundings would be one task's. Samples that hold more than a HOT-th of a task's
+fair share are not gathered (they are shared), and the windows under them are dealt one by one by a hash of all their words, which keeps
+equal windows together. Equal stretches are combined before each exchange: only the smallest id's needs the automaton; in all others every
+window is known to be repeated. Texts that more than a HOT-th of a fair share of documents have in common are told to all tasks, which then
+send one of them. There are at most HOT hot samples and texts for each part, so what is broadcast grows with the number of parts only, and
+being called hot changes no result. Numbers travel packed, so a passage in a third of all documents costs each task one stretch.
 
 Words are runs without ASCII white space, unchanged. Null, empty and blank texts have no words. Rows with equal ids are not earlier than
 each other; a null id is neither earlier nor later than any. Every row gives one row.
@@ -33,6 +40,8 @@ from tidemark.llm import text as T
 WINDOW, GRAM = 13, 7
 #: Samples and stretches that a task holds before it sends them.
 FLUSH_SAMPLES, FLUSH_STRETCHES = 2_000_000, 200_000
+#: A sample or text is hot from 1 / HOT of a part's fair share on, but not below LEAST_HOT.
+HOT, LEAST_HOT = 16, 128
 
 _PLACE = T.powers(0x8CB92BA72F3D8DD7, GRAM)
 
@@ -51,14 +60,15 @@ def unpack(data: bytes, *types: type) -> list[np.ndarray]:
     return out
 
 
-def classes(w: T.Words) -> np.ndarray:
-    """A hash of each document's whole sequence of words."""
+def classes(w: T.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each document's whole sequence of words."""
     n = np.diff(w.first)
-    if not len(w.hash):
-        return T.mix(n.astype(T.U))
-    place = np.arange(len(w.hash)) - np.repeat(w.first[:-1], n)
-    total = np.concatenate([np.zeros(1, T.U), np.cumsum(T.mix(w.hash + T.mix(place.astype(T.U))), dtype=T.U)])
-    return T.mix(total[w.first[1:]] - total[w.first[:-1]] + n.astype(T.U))
+    place = T.mix((np.arange(len(w.hash)) - np.repeat(w.first[:-1], n)).astype(T.U))
+    out = []
+    for seed in (0, 0xA0761D6478BD642F):
+        total = np.concatenate([np.zeros(1, T.U), np.cumsum(T.mix((w.hash ^ T.U(seed)) + place), dtype=T.U)])
+        out.append(T.mix(total[w.first[1:]] - total[w.first[:-1]] + n.astype(T.U)))
+    return out[0], out[1]
 
 
 def samples(w: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,9 +107,89 @@ def dealt(number: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(k), order[cuts[k] : cuts[k + 1]]
 
 
-def gathered(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, data): distinct (sample, class) pairs, the sample cut to 32 bits besides those that the part tells: samples that then
-    look equal only cost a needless comparison."""
+def distinct(sample: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs, each once."""
+    order = np.lexsort((sample, cls))
+    sample, cls = sample[order], cls[order]
+    new = np.concatenate([[True], (sample[1:] != sample[:-1]) | (cls[1:] != cls[:-1])]) if len(sample) else np.zeros(0, bool)
+    return sample[new], cls[new]
+
+
+INFO, SAMPLE, TOTAL = range(3)
+SURVEY = "kind int, doc_id long, class long, class2 long, n_words long, sha256 string"
+
+
+def surveyed(docs: DataFrame, parts: int) -> DataFrame:
+    """INFO rows: each document's class, words and digest. SAMPLE rows: samples (in `class`) that many of a task's texts hold, and how many;
+    TOTAL rows: how many pairs of samples and texts the task has."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("class", pa.int64()), ("class2", pa.int64()), ("n_words", pa.int64()), ("sha256", pa.string())])
+        held: list[np.ndarray] = []
+        total = 0
+
+        def flush() -> pa.RecordBatch:
+            found, count = np.unique(np.concatenate(held), return_counts=True)
+            many = count >= max(2, total // (2 * HOT * parts))
+            found, count, none = found[many], count[many], [None] * (int(many.sum()) + 1)
+            held.clear()
+            return T.batch(schema, kind=[SAMPLE] * len(found) + [TOTAL], doc_id=none, **{"class": np.append(T.signed(found), 0)}, class2=none, n_words=np.append(count, total), sha256=none)
+
+        for keys, block in T.read(batches):
+            w = T.words(block, T.NOT_SPACE)
+            cls, second = classes(w)
+            n = len(block)
+            digests = [hashlib.sha256(b" ".join(block.text(i).split())).hexdigest() for i in range(n)]
+            yield T.batch(schema, kind=np.full(n, INFO, np.int32), doc_id=keys, **{"class": T.signed(cls)}, class2=T.signed(second), n_words=np.diff(w.first), sha256=digests)
+            sample, first, _ = samples(w)
+            if len(first):
+                held.append(distinct(sample, cls[w.doc[first]])[0])
+                total += len(held[-1])
+            if total >= FLUSH_SAMPLES:
+                yield flush()
+                total = 0
+        if total:
+            yield flush()
+
+    return docs.mapInArrow(T.lean(run), SURVEY)
+
+
+class Hot:
+    """Hot samples, sorted; hot texts' classes, sorted, and the smallest id of each."""
+
+    def __init__(self, samples_: list[int], texts: list[tuple[int, int, int]]) -> None:
+        self.samples = np.sort(np.array(samples_, np.int64).view(T.U))
+        texts = sorted(texts)
+        self.classes = np.array([c for c, _, _ in texts], np.int64)
+        self.rest = np.array([[c2, least] for _, c2, least in texts], np.int64).reshape(-1, 2)
+
+    def holds(self, sample: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.samples, sample), max(0, len(self.samples) - 1))
+        return self.samples[at] == sample if len(self.samples) else np.zeros(len(sample), bool)
+
+    def copy(self, cls: int, second: int, doc: int) -> bool:
+        """Whether the text is a hot one and the document not the first that has it."""
+        at = int(np.searchsorted(self.classes, cls))
+        while at < len(self.classes) and self.classes[at] == cls:
+            if self.rest[at, 0] == second:
+                return bool(doc != self.rest[at, 1])
+            at += 1
+        return False
+
+
+def hot(survey: DataFrame, firsts: DataFrame, parts: int) -> Hot:
+    """What is hot: at most 2 * HOT samples and HOT texts for each part."""
+    total = survey.where(F.col("kind") == TOTAL).agg(F.sum("n_words")).first()[0] or 0
+    counts = survey.where(F.col("kind") == SAMPLE).groupBy("class").agg(F.sum("n_words").alias("c"))
+    many = counts.where(F.col("c") >= max(LEAST_HOT, total // (HOT * parts))).select("class")
+    texts = survey.where(F.col("kind") == INFO).count()
+    copied = firsts.where(F.col("c") >= max(LEAST_HOT, texts // (HOT * parts))).select("class", "class2", "least")
+    return Hot([r[0] for r in many.collect()], [tuple(r) for r in copied.collect()])
+
+
+def gathered(docs: DataFrame, parts: int, sent: T.Sent) -> DataFrame:
+    """(part, data): distinct (sample, class) pairs of samples that aren't hot, the sample cut to 32 bits besides those that the part
+    tells: samples that then look equal only cost a needless comparison."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("part", pa.int32()), ("data", pa.binary())])
@@ -116,19 +206,17 @@ def gathered(docs: DataFrame, parts: int) -> DataFrame:
         for _, block in T.read(batches):
             w = T.words(block, T.NOT_SPACE)
             sample, first, _ = samples(w)
-            cls = classes(w)[w.doc[first]] if len(first) else np.zeros(0, T.U)
-            order = np.lexsort((sample, cls))
-            sample, cls = sample[order], cls[order]
-            new = np.concatenate([[True], (sample[1:] != sample[:-1]) | (cls[1:] != cls[:-1])]) if len(sample) else np.zeros(0, bool)
-            held.append(sample[new]), owner.append(cls[new])
-            total += int(new.sum())
+            cold = ~sent.value.holds(sample)
+            sample, cls = distinct(sample[cold], classes(w)[0][w.doc[first[cold]]])
+            held.append(sample), owner.append(cls)
+            total += len(sample)
             if total >= FLUSH_SAMPLES:
                 yield flush()
                 total = 0
         if total:
             yield flush()
 
-    return docs.mapInArrow(run, "part int, data binary")
+    return docs.mapInArrow(T.lean(run), "part int, data binary")
 
 
 def name(sample: np.ndarray, parts: int) -> np.ndarray:
@@ -170,38 +258,39 @@ def shared(rows: DataFrame, parts: int) -> DataFrame:
             if out:
                 yield T.batch(schema, part=[k for k, _ in out], data=[d for _, d in out])
 
-    return rows.mapInArrow(run, "part int, data binary")
+    return rows.mapInArrow(T.lean(run), "part int, data binary")
 
 
-def keyed(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, kind 1, class, doc_id, data): the texts, by class."""
+KEYED = "part int, kind int, class long, class2 long, doc_id long, data binary"
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("class", pa.int64()), ("doc_id", pa.int64()), ("data", pa.binary())])
-        for keys, block in T.read(batches):
-            cls = classes(T.words(block, T.NOT_SPACE))
-            n = len(block)
-            yield T.batch(schema, part=(cls % T.U(parts)).astype(np.int32), kind=np.ones(n, np.int32), **{"class": T.signed(cls)}, doc_id=keys, data=[block.text(i) for i in range(n)])
 
-    return docs.mapInArrow(run, "part int, kind int, class long, doc_id long, data binary")
+def keyed(docs: DataFrame, parts: int, sent: T.Sent) -> DataFrame:
+    """(part, kind 1, class, doc_id, data): the texts that have a window, by class; of hot ones the first document's only."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("class", pa.int64()), ("class2", pa.int64()), ("doc_id", pa.int64()), ("data", pa.binary())])
+        for keys, block in T.read(batches):
+            w = T.words(block, T.NOT_SPACE)
+            cls, second = classes(w)
+            ids, known = keys.to_numpy(zero_copy_only=False), sent.value
+            one, two = T.signed(cls), T.signed(second)
+            own = [i for i in np.flatnonzero(np.diff(w.first) >= WINDOW) if not known.copy(int(one[i]), int(two[i]), int(ids[i]))]
+            if own:
+                at = np.array(own)
+                yield T.batch(schema, part=(cls[at] % T.U(parts)).astype(np.int32), kind=np.ones(len(own), np.int32), **{"class": one[at]}, class2=two[at], doc_id=ids[at], data=[block.text(i) for i in own])
 
-def result(raw: bytes, removed: np.ndarray | None = None) -> tuple[int, int, str]:
-    """(words, removed words, digest of the kept ones)."""
-    words = raw.split()
-    kept = words if removed is None else [w for w, gone in zip(words, removed.tolist(), strict=True) if not gone]
-    return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
+    return docs.mapInArrow(T.lean(run), KEYED)
 
 
-_MIXED = [("kind", pa.int32()), ("part", pa.int32()), ("class", pa.int64()), ("doc_id", pa.int64()), ("data", pa.binary()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
-MIXED = "kind int, part int, class long, doc_id long, data binary, n_words long, n_removed long, kept_sha256 string"
-RESULT, PENDING, STRETCHES, SPANS = range(4)
+_MIXED = [("kind", pa.int32()), ("part", pa.int32()), ("class", pa.int64()), ("class2", pa.int64()), ("doc_id", pa.int64()), ("data", pa.binary())]
+MIXED = "kind int, part int, class long, class2 long, doc_id long, data binary"
+PENDING, STRETCHES, SPANS = range(3)
 
 
 def rows_of(kind: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     n = len(rows)
     none = [None] * n
-    return T.batch(pa.schema(_MIXED), kind=[kind] * n, part=[k for k, _ in rows], **{"class": none}, doc_id=none, data=[d for _, d in rows], n_words=none, n_removed=none, kept_sha256=none)
+    return T.batch(pa.schema(_MIXED), kind=[kind] * n, part=[k for k, _ in rows], **{"class": none}, class2=none, doc_id=none, data=[d for _, d in rows])
 
 
 class Stretches:
@@ -211,11 +300,15 @@ class Stretches:
         self.parts: list[tuple] = []
         self.n = 0
 
-    def add(self, sample: np.ndarray, cls: int, doc: int, first: np.ndarray, last: np.ndarray, hashes: np.ndarray) -> None:
+    def add(self, sample: np.ndarray, cls: int, doc: int, first: np.ndarray, last: np.ndarray, hashes: np.ndarray, whole: bool = False) -> None:
+        """Add a document's stretches; `whole`: dealt by all their words, not by the sample."""
+        if not len(first):
+            return
         size = last - first + WINDOW
         at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         words = hashes[np.repeat(first, size) + at]
-        content = T.mix(np.add.reduceat(T.mix(words + T.mix(at.astype(T.U))), np.cumsum(size) - size) ^ sample)
+        content = T.mix(np.add.reduceat(T.mix(words + T.mix(at.astype(T.U))), np.cumsum(size) - size) ^ (T.U(0) if whole else sample))
+        sample = content if whole else sample
         n = len(sample)
         self.parts.append((content, sample, np.full(n, cls, np.int64), np.full(n, doc, np.int64), first, size, (words >> T.U(32)).astype(np.uint32)))
         self.n += n
@@ -253,15 +346,15 @@ def chosen(open_: list[np.ndarray], at: np.ndarray) -> list[np.ndarray]:
     return [content[at], sample[at], cls[at], doc[at], size[at], ragged[0], times[at], ragged[1]]
 
 
-def split(rows: DataFrame, parts: int) -> DataFrame:
-    """Results of documents that share nothing or are copies; texts that wait for spans; stretches; spans that are already known."""
+def split(rows: DataFrame, parts: int, sent: T.Sent) -> DataFrame:
+    """Of the first document of each class: its text, if it waits for spans, its stretches under shared samples, and spans that are known."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(_MIXED)
         found: dict[int, np.ndarray] = {}
         waiting: list[bytes] = []
         stretches = Stretches()
-        part_now = cls_now = least = None
+        part_now = cls_now = None
 
         def flush() -> Iterator[pa.RecordBatch]:
             open_, repeats = stretches.combined()
@@ -273,7 +366,7 @@ def split(rows: DataFrame, parts: int) -> DataFrame:
 
         for b in batches:
             out: list[tuple] = []
-            for part, kind, cls, doc, data in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            for part, kind, cls, second, doc, data in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
                 if part != part_now:
                     part_now, cls_now, found, waiting = part, None, {}, []
                 if kind == 0:
@@ -285,25 +378,25 @@ def split(rows: DataFrame, parts: int) -> DataFrame:
                     c, s, waiting = c[order], s[order], []
                     cuts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1], [True]]))
                     found = {int(c[i]): s[i:j] for i, j in zip(cuts, cuts[1:], strict=False)}
-                if cls != cls_now:
-                    cls_now, least = cls, doc
-                if doc != least:  # a copy of a smaller id's text
-                    n, _, digest = result(data)
-                    out.append((RESULT, None, None, doc, None, n, n, hashlib.sha256(b"").hexdigest()) if n >= WINDOW else (RESULT, None, None, doc, None, n, 0, digest))
+                if (cls, second) == cls_now:  # a copy
                     continue
-                mine = found.get(cls)
-                sample = np.zeros(0, T.U)
+                cls_now, mine, known = (cls, second), found.get(cls), sent.value
+                if mine is None and not len(known.samples):
+                    continue
+                w = T.words(T.Block(0, np.frombuffer(data, np.uint8), np.array([0, len(data)])), T.NOT_SPACE)
+                sample, first, last = samples(w)
+                often = known.holds(sample)
+                if often.any():  # each window under a hot sample by itself
+                    n = last[often] - first[often] + 1
+                    each = np.repeat(first[often], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    stretches.add(np.zeros(len(each), T.U), cls, doc, each, each, w.hash, whole=True)
+                own = np.zeros(len(sample), bool)
                 if mine is not None:
-                    w = T.words(T.Block(0, np.frombuffer(data, np.uint8), np.array([0, len(data)])), T.NOT_SPACE)
-                    sample, first, last = samples(w)
-                    sample = name(sample, parts)
-                    own = np.isin(sample, mine)
-                    sample, first, last = sample[own], first[own], last[own]
-                if len(sample):
-                    stretches.add(sample, cls, doc, first, last, w.hash)
-                    out.append((PENDING, part, cls, doc, data, None, None, None))
-                else:
-                    out.append((RESULT, None, None, doc, None, *result(data)))
+                    short = name(sample, parts)
+                    own = np.isin(short, mine) & ~often
+                    stretches.add(short[own], cls, doc, first[own], last[own], w.hash)
+                if own.any() or often.any():
+                    out.append((PENDING, part, cls, second, doc, data))
             if out:
                 yield T.batch(schema, **dict(zip(schema.names, zip(*out, strict=True), strict=True)))
             if stretches.n >= FLUSH_STRETCHES:
@@ -312,7 +405,7 @@ def split(rows: DataFrame, parts: int) -> DataFrame:
         if stretches.n:
             yield from flush()
 
-    return rows.mapInArrow(run, MIXED)
+    return rows.mapInArrow(T.lean(run), MIXED)
 
 
 class Automaton:
@@ -422,22 +515,19 @@ def judged(rows: DataFrame, parts: int) -> DataFrame:
             if out:
                 yield T.batch(schema, part=[p for p, _ in out], data=[x for _, x in out])
 
-    return rows.mapInArrow(run, "part int, data binary")
-
-
-RESULTS = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    return rows.mapInArrow(T.lean(run), "part int, data binary")
 
 
 def finished(rows: DataFrame) -> DataFrame:
-    """Results of the texts that waited: rows (part, kind, class, doc_id, data), spans (kind 0) before texts."""
+    """Results of the texts that waited: rows (part, kind, class, class2, doc_id, data), spans (kind 0) before texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
+        schema = pa.schema([("class", pa.int64()), ("class2", pa.int64()), ("removed", pa.int64()), ("kept", pa.string())])
         part_now, waiting = None, []
         found: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
             out = []
-            for part, kind, cls, doc, data in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            for part, kind, cls, second, doc, data in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
                 if part != part_now:
                     part_now, waiting, found = part, [], {}
                 if kind == 0:
@@ -449,44 +539,50 @@ def finished(rows: DataFrame) -> DataFrame:
                     c, d, spans, waiting = c[order], d[order], np.stack([begin, end], 1)[order], []
                     cuts = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (d[1:] != d[:-1]), [True]]))
                     found = {(int(c[i]), int(d[i])): spans[i:j] for i, j in zip(cuts, cuts[1:], strict=False)}
-                spans = found.get((cls, doc))
-                if spans is None:
-                    out.append((doc, *result(data)))
-                    continue
-                depth = np.zeros(len(data.split()) + 1, np.int64)
+                if (spans := found.get((cls, doc))) is None:
+                    continue  # nothing is removed
+                words = data.split()
+                depth = np.zeros(len(words) + 1, np.int64)
                 np.add.at(depth, spans[:, 0], 1)
                 np.add.at(depth, spans[:, 1], -1)
-                out.append((doc, *result(data, np.cumsum(depth)[:-1] > 0)))
+                gone = np.cumsum(depth)[:-1] > 0
+                kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                out.append((cls, second, int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
             if out:
                 yield T.batch(schema, **dict(zip(schema.names, zip(*out, strict=True), strict=True)))
 
-    return rows.mapInArrow(run, RESULTS)
+    return rows.mapInArrow(T.lean(run), "class long, class2 long, removed long, kept string")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and the digest of the kept words, for every row of docs."""
     every = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     parts = max(16, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    docs = every.where("doc_id is not null")
+    survey = store.written(surveyed(every, parts), "survey")
+    info = survey.where(F.col("kind") == INFO).select("doc_id", "class", "class2", "n_words", "sha256")
+    same = ["class", "class2", "n_words"]
+    firsts = info.where((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull()).groupBy(*same).agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
+    docs, sent_hot = every.where("doc_id is not null"), T.Sent(docs.sparkSession, hot(survey, firsts, parts))
 
     def sent(rows: DataFrame, *sort: str) -> DataFrame:
         return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", *sort)
 
     none = F.lit(None).cast("long")
-    answers = shared(sent(gathered(docs, parts)), parts).select("part", F.lit(0).alias("kind"), none.alias("class"), none.alias("doc_id"), "data")
-    mixed = store.written(split(sent(answers.unionByName(keyed(docs, parts)), "kind", "class", "doc_id"), parts), "split")
+    order = ("kind", "class", "class2", "doc_id")
 
-    spans = judged(sent(mixed.where(F.col("kind") == STRETCHES).select("part", "data")), parts)
-    spans = spans.unionByName(mixed.where(F.col("kind") == SPANS).select("part", "data"))
-    spans = spans.select("part", F.lit(0).alias("kind"), none.alias("class"), none.alias("doc_id"), "data")
-    pending = mixed.where(F.col("kind") == PENDING).select("part", F.lit(1).alias("kind"), "class", "doc_id", "data")
-    done = finished(sent(spans.unionByName(pending), "kind", "class", "doc_id"))
-    plain = mixed.where(F.col("kind") == RESULT).select("doc_id", "n_words", "n_removed", "kept_sha256")
-
-    def alone(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
-        for keys, block in T.read(batches):
-            n, gone, digest = zip(*(result(block.text(i)) for i in range(len(block))), strict=True)
-            yield T.batch(schema, doc_id=keys, n_words=n, n_removed=gone, kept_sha256=digest)
+    def first(rows: DataFrame) -> DataFrame:
+        return rows.select("part", F.lit(0).alias("kind"), none.alias("class"), none.alias("class2"), none.alias("doc_id"), "data")
 
-    return plain.unionByName(done).unionByName(every.where("doc_id is null").mapInArrow(alone, RESULTS))
+    answers = first(shared(sent(gathered(docs, parts, sent_hot)), parts))
+    mixed = store.written(split(sent(answers.unionByName(keyed(docs, parts, sent_hot)), *order), parts, sent_hot), "split")
+
+    spans = judged(sent(mixed.where(F.col("kind") == STRETCHES).select("part", "data")), parts)
+    spans = first(spans.unionByName(mixed.where(F.col("kind") == SPANS).select("part", "data")))
+    pending = mixed.where(F.col("kind") == PENDING).select("part", F.lit(1).alias("kind"), "class", "class2", "doc_id", "data")
+    done = finished(sent(spans.unionByName(pending), *order))
+    each = firsts.select(*same, "least").join(done, ["class", "class2"], "left")
+    out = info.join(each, same, "left")
+    late = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))
+    removed = F.when(late, F.col("n_words")).when(F.col("doc_id").isNotNull(), F.coalesce("removed", F.lit(0))).otherwise(F.lit(0))
+    kept = F.when(late, F.lit(hashlib.sha256(b"").hexdigest())).when(F.col("doc_id").isNotNull(), F.coalesce("kept", "sha256")).otherwise(F.col("sha256"))
+    return out.select("doc_id", "n_words", removed.cast("long").alias("n_removed"), kept.alias("kept_sha256"))
