@@ -1,7 +1,9 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-Phrases. Each benchmark item is cut into windows of WINDOW words (all its words, if it has fewer). The benchmark is dealt in parts of
-at most PART_BYTES of text, each broadcast by itself and loaded one at a time, so its size is bounded however long the benchmark is.
+Phrases. Each benchmark item is cut into windows of WINDOW words (all its words, if it has fewer), named by their places in one array of
+word numbers; equal windows, told by 128 bits, are one. The benchmark is dealt in parts of about PART_BYTES of text, each broadcast by
+itself and loaded one at a time: some 40 bytes in a worker and 200 on the driver for each word of a part. Its total size is checked: every
+shard is searched for all parts, so beyond MOST_BYTES `load` refuses.
 
 Shard. A task reads documents until a shard holds SHARD words that matter. Words are numbered by the benchmark's own vocabulary, all
 others being a separator; stretches in which two neighbours never follow each other in the benchmark, or that are shorter than the
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import text as T
 
 WINDOW = 13
-PART_BYTES = 32 << 20
+PART_BYTES, MOST_BYTES = 4 << 20, 1 << 30
 SHARD, SAMPLE = 1 << 20, 8
 
 
@@ -111,16 +113,16 @@ class FMIndex:
         """Occurrences of value in the transform before each row; the end mark stands there as 0 and is taken off."""
         return self.tree.rank(value, at) - ((value == 0) & (at > self.sentinel))
 
-    def ranges(self, phrases: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that begin with each phrase; phrases end at the last column of their rows, padded in front."""
-        k = len(phrases)
+    def ranges(self, words: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that begin with each phrase, which is `sizes` of the words from `begin` on."""
+        k = len(begin)
         low, high = np.zeros(k, np.int64), np.full(k, len(self.sampled), np.int64)
         live = np.arange(k)
-        for step in range(phrases.shape[1]):
+        for step in range(int(sizes.max(initial=0))):
             live = live[(sizes[live] > step) & (low[live] < high[live])]
             if not len(live):
                 break
-            c = phrases[live, -1 - step]
+            c = words[begin[live].astype(np.int64) + sizes[live] - 1 - step].astype(np.int64)
             low[live] = self.before[c] + self.rank(c, low[live])
             high[live] = self.before[c] + self.rank(c, high[live])
         return low, high
@@ -144,32 +146,52 @@ class Phrases:
     """One part of the benchmark: its vocabulary, its pairs of neighbours, its distinct windows and the items that hold each."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW) -> None:
-        data = [(t or "").encode() for _, t in items]
-        block = T.Block(0, np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
-        w = T.words(block, T.ALNUM, fold=True)
-        self.vocabulary = np.unique(w.hash)
+        names = sorted({item for item, _ in items})
+        hashes, count = [np.zeros(0, T.U)], [np.zeros(0, np.int64)]
+        for block in T.blocks(pa.array([t for _, t in items], pa.large_string())):
+            w = T.words(block, T.ALNUM, fold=True)
+            hashes.append(w.hash), count.append(np.diff(w.first))
+        hashes, count = np.concatenate(hashes), np.concatenate(count)
+        self.names = names
+        self.vocabulary = np.unique(hashes)
         self.sigma = len(self.vocabulary) + 1
-        ids = np.searchsorted(self.vocabulary, w.hash) + 1
-        found: dict[bytes, set[str]] = {}
-        pairs = []
-        for i, (item, _) in enumerate(items):
-            own = ids[w.first[i] : w.first[i + 1]]
-            pairs.append(own[:-1] * self.sigma + own[1:])
-            for k in range(max(1, len(own) - window + 1) if len(own) else 0):
-                found.setdefault(own[k : k + window].tobytes(), set()).add(item)
-        self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *pairs]))
-        keys = sorted(found)
-        self.sizes = np.array([len(k) // 8 for k in keys], np.int64)
-        self.windows = np.zeros((len(keys), window), np.int64)
-        for row, k in enumerate(keys):
-            self.windows[row, window - len(k) // 8 :] = np.frombuffer(k, np.int64)
-        self.items = [sorted(found[k]) for k in keys]
-        self.shortest = int(self.sizes.min()) if len(keys) else 0
+        self.words = (np.searchsorted(self.vocabulary, hashes) + 1).astype(np.int32)
+        del hashes
+        stop = np.cumsum(count)
+        size = np.minimum(count, window)
+        each = np.where(count > 0, count - size + 1, 0)  # windows of each row
+        row = np.repeat(np.arange(len(items)), each)
+        begin = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each) + (stop - count)[row]
+        size = size[row]
+        hash_ = [np.zeros(len(row), T.U) for _ in range(2)]
+        for k in range(window):
+            here = np.flatnonzero(size > k)
+            word = self.words[begin[here] + k].astype(T.U)
+            for seed, h in enumerate(hash_):
+                h[here] = T.mix(h[here] * T.U(0x9E3779B97F4A7C15) + word + T.U(1 + 2 * seed))
+        order = np.lexsort((hash_[1], hash_[0], size))
+        new = np.ones(len(order), bool)
+        new[1:] = (size[order][1:] != size[order][:-1]) | (hash_[0][order][1:] != hash_[0][order][:-1]) | (hash_[1][order][1:] != hash_[1][order][:-1])
+        kept = order[new]
+        self.begin, self.sizes = begin[kept].astype(np.int32), size[kept].astype(np.int32)
+        number = {n: k for k, n in enumerate(names)}
+        owner = np.array([number[item] for item, _ in items], np.int64)[row[order]] if len(row) else np.zeros(0, np.int64)
+        held = np.unique((np.cumsum(new) - 1) * max(1, len(names)) + owner)
+        self.owner = (held % max(1, len(names))).astype(np.int32)
+        self.owned = np.searchsorted(held // max(1, len(names)), np.arange(len(kept) + 1)).astype(np.int32)
+        inner = np.ones(max(0, len(self.words) - 1), bool)
+        inner[stop[(stop > 0) & (stop < len(self.words))] - 1] = False  # a row ends between the two
+        self.pairs = np.unique(self.words[:-1].astype(np.int64)[inner] * self.sigma + self.words[1:][inner])
+        self.shortest = int(self.sizes.min()) if len(kept) else 0
         self.sieve = np.zeros(1 << 16, bool)
         self.sieve[(self.vocabulary & T.U(0xFFFF)).astype(np.int64)] = True
         self.following = np.zeros(1 << 20, bool)
         self.following[T.mix(self.pairs.astype(T.U)) >> T.U(44)] = True
 
+    def items(self, window: int) -> list[str]:
+        """The items that hold a window."""
+        return [self.names[k] for k in self.owner[self.owned[window] : self.owned[window + 1]].tolist()]
+
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of words in the vocabulary, 0 for others."""
         out = np.zeros(len(hashes), np.int64)
@@ -222,7 +244,7 @@ class Shard:
             return (np.zeros(0, np.int64),) * 3
         docs, words = np.concatenate(self.docs), np.concatenate(self.words)
         index = FMIndex(np.concatenate(self.parts), self.phrases.sigma)
-        low, high = index.ranges(self.phrases.windows, self.phrases.sizes)
+        low, high = index.ranges(self.phrases.words, self.phrases.begin, self.phrases.sizes)
         count = np.maximum(high - low, 0)
         window = np.repeat(np.arange(len(count)), count)
         rows = np.repeat(low, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
@@ -245,6 +267,8 @@ def load(benchmark: DataFrame, key: str = "item_id", text: str = "text", window:
     """The benchmark's parts, broadcast one by one."""
     rows = benchmark.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("item"), F.col(text).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > MOST_BYTES:
+        raise ValueError(f"the benchmark holds {total} bytes of text, more than {MOST_BYTES}")
     n = max(1, -(-total // part_bytes))
     out = []
     for k in range(n):
@@ -279,7 +303,7 @@ class Hits:
                 part.held = None  # one part at a time
             for d, a, k in zip(docs.tolist(), at.tolist(), window.tolist(), strict=True):
                 spans.setdefault(d, []).append((a, a + int(phrases.sizes[k])))
-                items.setdefault(d, set()).update(phrases.items[k])
+                items.setdefault(d, set()).update(phrases.items(k))
         return {d: merged(*np.array(s).T) for d, s in spans.items()}, items
 
 
@@ -316,7 +340,7 @@ def report(docs: DataFrame, parts: list[T.Sent], key: str = "doc_id", text: str
         if keys:
             yield rows()
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, REPORT)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(T.lean(run), REPORT)
 
 
 def cleaned(docs: DataFrame, parts: list[T.Sent], text: str = "text", drop: bool = True) -> DataFrame:
@@ -326,9 +350,9 @@ def cleaned(docs: DataFrame, parts: list[T.Sent], text: str = "text", drop: bool
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = batch.schema.get_field_index(text)
-            changed: dict[int, str] = {}
+            cut: dict[int, str] = {}
             out = np.zeros(len(batch), bool)
-            for block in T.blocks(batch.column(c), 4 * T.BLOCK):
+            for block in T.blocks(batch.column(c)):
                 w = T.words(block, T.ALNUM, fold=True)
                 shard = Hits(parts)
                 shard.add(w)
@@ -336,16 +360,15 @@ def cleaned(docs: DataFrame, parts: list[T.Sent], text: str = "text", drop: bool
                     first, n = int(w.first[d]), int(w.first[d + 1] - w.first[d])
                     if contaminated(sum(e - b for b, e in spans), n):
                         out[block.row + d] = True
+                        if drop:
+                            continue
                     raw, at, kept = block.text(d), 0, []
                     for b, e in spans:
                         kept.append(raw[at : w.begin[first + b] - block.offsets[d]])
                         at = int(w.end[first + e - 1] - block.offsets[d])
-                    changed[block.row + d] = b"".join([*kept, raw[at:]]).decode("utf-8", "replace")
-            if changed:
-                texts = batch.column(c).to_pylist()
-                for i, new in changed.items():
-                    texts[i] = new
-                batch = batch.set_column(c, batch.schema.field(c), pa.array(texts, batch.schema.field(c).type))
+                    cut[block.row + d] = b"".join([*kept, raw[at:]]).decode("utf-8", "replace")
+            if cut:
+                batch = batch.set_column(c, batch.schema.field(c), T.changed(batch.column(c), cut))
             yield batch.filter(pa.array(~out)) if drop and out.any() else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(T.lean(run), docs.schema)
