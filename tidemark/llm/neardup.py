@@ -8,8 +8,10 @@ buckets; two documents with a Jaccard index of the threshold share no bucket at
 classes are estimated jointly: the likelihood of the registers that are equal, larger and smaller, given both set sizes, is maximal
 at some index, and pairs of at least a floor that one at the threshold falls below at most MISS times are verified on their full sets.
 The number of registers, their rows in a band and the floor follow from the threshold (`search`).
-A bucket is dealt in tiles of bounded size, so a bucket of any size is compared whole without meeting in one task. Pairs are never rows:
-a tile passes on its rows that have a partner, gets their full sets, and gives links that join what was apart.
+A bucket that is too large for one tile is first compared with a middle member, its hub, then with one of those that are still apart:
+rows in proportion to the bucket, which join a group of near copies of any size. What the hub's links have joined most of need not meet itself again; all others meet everyone in tiles
+of bounded size. So a bucket of any size is compared whole, without meeting in one task. Pairs are never rows: a tile passes on its rows
+that have a partner, gets their full sets, and gives links that join what was apart.
 
 Links and components. Two classes are linked when 100 * intersection >= percent * union. Components are found by joins.
 
@@ -37,6 +39,8 @@ BASE = 1.001
 MISS, LEAST, MOST = 1e-5, 100, 128
 TILE_ROWS, TILE_SHINGLES = 2048, 1 << 20
 MAP_BITS = 23
+#: Members that all others of a big bucket are compared with before what is still apart meets.
+HUBS = 2
 
 
 class Search(NamedTuple):
@@ -143,7 +147,7 @@ def sketches(docs: DataFrame, s: Search) -> DataFrame:
             rows = registers(hashes, first, s.m)
             yield T.batch(schema, doc_id=keys, n=np.diff(first), h1=h1, h2=h2, registers=[r.tobytes() for r in rows])
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, registers binary")
+    return docs.mapInArrow(T.lean(run), "doc_id long, n long, h1 long, h2 long, registers binary")
 
 
 def bands(sketch: DataFrame, s: Search) -> DataFrame:
@@ -157,7 +161,7 @@ def bands(sketch: DataFrame, s: Search) -> DataFrame:
             for bucket in _keys(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(len(b), s.m), s).T:
                 yield T.batch(schema, bucket=np.ascontiguousarray(bucket), doc_id=b.column(0), n=b.column(1))
 
-    return sketch.select("doc_id", "n", "registers").mapInArrow(run, "bucket long, doc_id long, n long")
+    return sketch.select("doc_id", "n", "registers").mapInArrow(T.lean(run), "bucket long, doc_id long, n long")
 
 
 def groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
@@ -220,7 +224,7 @@ def active(tiles: DataFrame, s: Search) -> DataFrame:
             if keep.any():
                 yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
 
-    return tiles.mapInArrow(run, _TILE)
+    return tiles.mapInArrow(T.lean(run), _TILE)
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -232,7 +236,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
             hashes, first = shingles(block)
             yield T.batch(schema, doc_id=keys, shingles=[hashes[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)])
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
+    return docs.mapInArrow(T.lean(run), "doc_id long, shingles binary")
 
 
 def verified(tiles: DataFrame, percent: int, s: Search) -> DataFrame:
@@ -267,7 +271,7 @@ def verified(tiles: DataFrame, percent: int, s: Search) -> DataFrame:
             if links:
                 yield T.batch(schema, a=[x[0] for x in links], b=[x[1] for x in links])
 
-    return tiles.mapInArrow(run, "a long, b long")
+    return tiles.mapInArrow(T.lean(run), "a long, b long")
 
 
 def thinned(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -284,7 +288,50 @@ def thinned(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             s = b.column(2).to_numpy()
             yield b.filter(pa.array((sent.value[s >> 5] >> (s & 31)) & 1 == 1))
 
-    return docs.where("doc_id is not null").select("doc_id", "text", spot.alias("s")).mapInArrow(run, "doc_id long, text string, s long").drop("s")
+    return docs.where("doc_id is not null").select("doc_id", "text", spot.alias("s")).mapInArrow(T.lean(run), "doc_id long, text string, s long").drop("s")
+
+
+def star_tiles(large: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(bucket, i, j, salt, doc_id) from large(bucket, salts, doc_id, degree), the members of big buckets: in slices, each with the bucket's hub in
+    front (i = salt = -1). The hub is the member that lies in most big buckets, so a middle one; once there are roots, of those outside
+    the bucket's largest root. Members that are joined with the hub already are left out."""
+    rows = large.withColumn("root", F.col("doc_id")) if roots is None else large.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    each = rows.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.max(F.struct("degree", (-F.col("doc_id")).alias("less"))).alias("best"))
+    if roots is None:
+        hubs = each.groupBy("bucket").agg(F.max(F.struct("best.degree", "best.less", "root")).alias("h"))
+    else:
+        top = each.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("top")).select("bucket", F.col("top.root").alias("largest"))
+        hubs = each.join(top, "bucket").where("root <> largest").groupBy("bucket").agg(F.max(F.struct("best.degree", "best.less", "root")).alias("h"))
+    hubs = hubs.select("bucket", (-F.col("h.less")).alias("hub"), F.col("h.root").alias("own"))
+    rows = rows.join(hubs, "bucket")
+    slices = rows.where("root <> own" if roots is not None else "doc_id <> hub").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts").cast("long")).cast("int"))
+    first = rows.where("doc_id = hub").select("bucket", "doc_id", F.lit(-1).alias("salt"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("j"))
+    return slices.select("bucket", F.lit(-1).alias("i"), F.col("salt").alias("j"), "salt", "doc_id").unionByName(first.select("bucket", F.lit(-1).alias("i"), "j", "salt", "doc_id"))
+
+
+def grid_tiles(members: DataFrame, sizes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(bucket, i, j, salt, doc_id): each bucket's members in tiles in which all meet that aren't known to be joined.
+
+    A bucket is dealt in salts by its size, and each two salts meet. roots(doc_id, root): what the hubs have joined; the members of a big
+    bucket that lie in its largest root need not meet each other, so they are salted apart and meet the salts of the rest only."""
+    rows = members.select("bucket", "doc_id", "n").join(sizes.select("bucket", "salts"), "bucket")
+    if roots is None:
+        rows = rows.withColumn("most", F.lit(0)).withColumn("rest", F.col("salts")).withColumn("major", F.lit(False))
+    else:
+        big = rows.where("salts > 1").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        each = big.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+        whole = each.groupBy("bucket").agg(F.max(F.struct("c", "root", "s")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+        cut = lambda c, s: F.greatest(F.ceil(c / TILE_ROWS), F.ceil(s / TILE_SHINGLES)).cast("int")
+        plan = whole.select("bucket", F.col("top.root").alias("largest"), cut(F.col("top.c"), F.col("top.s")).alias("most"), cut(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("rest"))
+        plan = plan.where("rest > 0")  # else all are joined
+        big = big.join(plan, "bucket").withColumn("major", F.col("root") == F.col("largest"))
+        small = rows.where("salts = 1").select("bucket", "doc_id", F.lit(0).alias("most"), F.lit(1).alias("rest"), F.lit(False).alias("major"))
+        rows = small.unionByName(big.select(small.columns))
+    own = F.xxhash64("doc_id")
+    salt = F.when(F.col("major"), F.col("rest") + F.pmod(own, F.greatest("most", F.lit(1)).cast("long"))).otherwise(F.pmod(own, F.col("rest").cast("long"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("major"), F.col("rest")).otherwise(F.col("rest") + F.col("most")) - 1)
+    rows = rows.withColumn("salt", salt).withColumn("other", F.explode(others))
+    return rows.select("bucket", F.least("salt", "other").cast("int").alias("i"), F.greatest("salt", "other").cast("int").alias("j"), "salt", "doc_id")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -298,18 +345,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     members = store.written(bands(classes, s), "bands")
     sizes = members.groupBy("bucket").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where("c > 1")
-    salts = F.greatest(F.ceil(F.col("c") / TILE_ROWS), F.ceil(F.col("s") / TILE_SHINGLES)).cast("int")
-    multi = members.join(sizes.select("bucket", salts.alias("salts")), "bucket").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts").cast("long")).cast("int"))
-    multi = multi.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    multi = multi.select("bucket", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "doc_id")
-    tiles = multi.join(classes.select("doc_id", "n", "registers"), "doc_id").select("bucket", "i", "j", "salt", "doc_id", "n", "registers")
-    tiles = tiles.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc_id")
-    tiles = store.written(active(tiles, s), "tiles")
-
-    wanted = tiles.select("doc_id").distinct()
-    sets = full_sets(thinned(docs, wanted)).join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
-    rows = tiles.join(sets, "doc_id").select("bucket", "i", "j", "salt", "doc_id", "n", "registers", "shingles")
-    links = verified(rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc_id"), percent, s)
+    sizes = store.written(sizes.withColumn("salts", F.greatest(F.ceil(F.col("c") / TILE_ROWS), F.ceil(F.col("s") / TILE_SHINGLES)).cast("int")), "sizes")
+
+    def linked(tiles: DataFrame) -> DataFrame:
+        """Verified links of the tiles: their rows get registers, those with a partner their full sets."""
+        place = ["bucket", "i", "j"]
+        rows = tiles.join(classes.select("doc_id", "n", "registers"), "doc_id").select(*place, "salt", "doc_id", "n", "registers")
+        rows = store.written(active(rows.repartition(parts, *place).sortWithinPartitions(*place, "doc_id"), s), "tiles")
+        wanted = rows.select("doc_id").distinct()
+        sets = full_sets(thinned(docs, wanted)).join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
+        full = rows.join(sets, "doc_id").select(*place, "salt", "doc_id", "n", "registers", "shingles")
+        return store.written(verified(full.repartition(parts, *place).sortWithinPartitions(*place, "doc_id"), percent, s), "links")
+
+    big = sizes.where("salts > 1")
+    roots = links = None
+    if not big.isEmpty():
+        large = members.select("bucket", "doc_id").join(big.select("bucket", "salts"), "bucket")
+        large = store.written(large.join(large.groupBy("doc_id").agg(F.count("*").alias("degree")), "doc_id"), "large")
+        for _ in range(HUBS):
+            found = linked(star_tiles(large, roots))
+            links = found if links is None else links.unionByName(found)
+            roots = store.written(store.components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("root")), "roots")
+    more = linked(grid_tiles(members, sizes, roots))
+    links = more if links is None else links.unionByName(more)
 
     joined = store.components(links).withColumnRenamed("node", "rep")
     owners = classes.select("h1", "h2", "n", F.col("doc_id").alias("rep")).join(joined, "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
