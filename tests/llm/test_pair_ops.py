@@ -103,11 +103,8 @@ def test_fm_index(text, phrases):
     order = decontaminate.suffixes(text)
     assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
     index = decontaminate.FMIndex(text, 4)
-    width = max(map(len, phrases))
-    table = np.zeros((len(phrases), width), np.int64)
-    for row, p in zip(table, phrases):
-        row[width - len(p) :] = p
-    low, high = index.ranges(table, np.array([len(p) for p in phrases]))
+    size = np.array([len(p) for p in phrases])
+    low, high = index.ranges(np.concatenate(phrases), np.cumsum(size) - size, size)
     for p, a, b in zip(phrases, low, high):
         places = sorted(index.locate(np.arange(a, b)).tolist()) if b > a else []
         assert places == [i for i in range(len(text)) if text[i : i + len(p)].tolist() == p]
@@ -251,13 +248,6 @@ def test_pipeline(spark):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, taken.collect()))
 
 
-def test_queries_cover_their_tables(spark):
-    from tidemark.llm.queries import QUERIES
-
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
-    assert T.BLOCK > 0
-
-
 def alike(rows, percent):
     """Component of each id by brute force over pairs of five-word shingle sets."""
     sets = {}
@@ -302,3 +292,24 @@ def test_pipeline_drops_near_copies_of_four_fifths(spark):
     assert len(set(alike(rows, 80).values())) < len(set(alike(rows, 85).values()))
     left = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), DATA)
     assert {r.doc_id for r in left.collect()} == set(alike(rows, 80).values())
+
+
+def test_hubs_join_a_large_group(spark, monkeypatch):
+    """A group of near copies in buckets beyond a tile: the same components, from rows in proportion to the group."""
+    rng = np.random.default_rng(12)
+    base, other = prose(rng, 150, 10**6).split(), prose(rng, 150, 10**6).split()
+    texts = [" ".join(base)]
+    for b, n in ((base, 160), (other, 30)):
+        for _ in range(n):
+            near = list(b)
+            near[int(rng.integers(0, 150))] = f"x{int(rng.integers(0, 10**6))}"
+            texts.append(" ".join(near))
+    rows = [(int(i), t) for i, t in zip(rng.permutation(1000), texts)]
+    monkeypatch.setattr(neardup, "TILE_ROWS", 16)
+    taken = []
+    plain = neardup.active
+    monkeypatch.setattr(neardup, "active", lambda tiles, s: taken.append(tiles.count()) or plain(tiles, s))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == alike(rows, 85)
+    bands = neardup.search(85).m // 5
+    assert len(taken) == neardup.HUBS + 1 and sum(taken) < 4 * len(rows) * bands  # in slices of 16 by 16 they would be 12 times as many

@@ -72,16 +72,69 @@ def test_guess_cost():
         assert secrets.guess_cost(cheap) + 1 < secrets.guess_cost(dear)
     assert secrets.guess_cost("") == 0 and secrets.guess_cost("x" * 20000) < 10
 
-    def slow(v):  # brute force over all segmentations into characters and known words
-        best = sum(map(secrets._single, v))
-        for i in range(len(v)):
-            for j in range(i + 3, len(v) + 1):
-                if r := secrets._RANK.get(v[i:j]):
-                    best = min(best, slow(v[:i]) + np.log10(r + 1) + slow(v[j:]))
-        return best
 
-    for v in ("xqmagicz", "the9zmail", "zkqv"):
-        assert secrets.guess_cost(v) == pytest.approx(slow(v), abs=1e-9)
+def slow_cost(v, ranks):
+    """Brute force over all segmentations, each segment judged by itself."""
+
+    def run(x, follows):
+        return len(x) >= 3 and all(follows(a, b) for a, b in zip(x, x[1:]))
+
+    def segment(x, before):
+        low = x.lower()
+        out = [secrets._single(x)] if len(x) == 1 else []
+        for word, extra in ((low, 0.0), (low.translate(secrets.LEET), 0.3)):
+            if word in ranks:
+                out.append(np.log10(ranks[word] + 1) + extra + (0.3 if x != low else 0))
+        if secrets.DATE.fullmatch(x):
+            out.append(np.log10(365 * 120 if len(x) > 4 else 120))
+        n = len(x)
+        if run(low, secrets._near):
+            out.append(np.log10(47 * 4 * n) + 0.5 * (n - 3) ** 0.5)
+        for first, step in ((94, 0), (94, 1), (188, -1)):
+            if run(x, lambda a, b: ord(b) - ord(a) == step):
+                out.append(np.log10(first * n))
+        if 2 <= n <= 8 and before.endswith(x):
+            out.append(np.log10(n + 1))
+        return min(out, default=np.inf)
+
+    best = [0.0]
+    for j in range(1, len(v) + 1):
+        best.append(min(best[i] + segment(v[i:j], v[:i]) for i in range(j)))
+    return best[-1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["magic", "the", "P4ss", "word", "1999", "2024-01-15", "12/05/1999", "qwer", "asdf", "zxc", "aaaa", "abcd", "9876", "7!", "x", "Kq", "ab", "1"]), max_size=5).map("".join))
+def test_segmentation_against_all_segmentations(value):
+    ranks = secrets.ranked(["zebra", "words"])
+    assert secrets.guess_cost(value, ranks) == pytest.approx(slow_cost(value, ranks), abs=1e-9)
+
+
+PROSE = ["The secret is understanding your audience.", "Her secret is simplicity.", "bearer: international", "credentials: certificates", "The token is transferable", "access-key: Transferability.", "secret: state-of-the-art", "token: see/the/documentation", "password: required!", "pwd=password1", "passcode: 2024-01-15", "pass phrase: qwertyuiop12", "api_key: aaaaaaaaaaaa1", "secret = none", "token: TRANSFERABLE"]
+HIDDEN = ["passphrase: correct7Horse!Batt#ery", "pwd=xK9$mQ2!vL7p", "private_key: q8Zr-T5yU-w2Ei", "credentials: u7#Rk2!pWq9Z", "bearer: eyJhb9GciOi1JIUz", "access-key => 7Gx!k29Lmq#Z", "secret: 2024-01-15xK9mQ2vL7", "passcode: aaaaQ7!xR9#tWz"]
+
+
+def test_prose_is_left_alone_and_planted_values_are_found(spark):
+    rng = np.random.default_rng(21)
+    letters = list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!#$%&*")
+    planted = [f"pwd: {''.join(rng.choice(letters, int(rng.integers(12, 25))))}" for _ in range(200)]
+    plain = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").where("text is not null").limit(200).collect()]
+    words = secrets.frequent(docs(spark, plain))
+    inside = [f"secret: {w}" for t in plain for w in re.findall(r"[A-Za-z]{6,}", t)[:3]]
+    rows = secrets.scan(docs(spark, [*PROSE, *HIDDEN, *planted, *inside]), words=words).orderBy("doc_id").collect()
+    spans = [r.spans for r in rows]
+    assert [r.n_guess for r in rows[: len(PROSE)]] == [0] * len(PROSE)
+    assert all(spans[len(PROSE) : len(PROSE) + len(HIDDEN)])
+    found = sum("guess" in s or "assign" in s for s in spans[len(PROSE) + len(HIDDEN) : len(PROSE) + len(HIDDEN) + 200])
+    wrong = sum(r.n_guess for r in rows[len(PROSE) + len(HIDDEN) + 200 :])
+    print(f"planted values found: {found} of 200; of {len(inside)} words after a credential word, {wrong} were taken for secrets")
+    assert found >= 190 and wrong == 0
+
+
+def test_frequent_words(spark):
+    frame = docs(spark, ["bb aaa aaa", None, "", "AAA ccc ddd é éàü éàü", "x" * 30])
+    assert secrets.frequent(frame, most=3) == ["aaa", "éàü", "ccc"]
+    assert secrets.frequent(frame.where("false")) == []
 
 
 def test_redaction(spark):
@@ -129,12 +182,27 @@ def test_forgetting_words_changes_nothing(codec, library, monkeypatch):
 
 
 def test_folding_by_higher_order_functions(spark, codec, library):
-    words = [w.encode() for w in ("a", " the", " unusualwordsies", "é词", "\n\n", "0123456789", "aaaaaaa", "'re", " tionthereable")]
-    with open(__import__("public_tokenizers").path(bpe.VOCABULARY)) as f:
-        buckets = bpe.rank_map(f.read())
-    frame = spark.createDataFrame([(words, buckets)], "words array<binary>, buckets array<string>")
-    got = frame.select(bpe.folded(F.col("words"), F.col("buckets")).alias("ids")).first().ids
-    assert got == [list(codec.fold(w)) for w in words] and got[2] == library.encode_ordinary(words[2].decode())
+    rng = np.random.default_rng(6)
+    words = [w.encode() for w in ("zq", " thezz", " unusualwordsies", "é词", "\n\n\t", "0123456789", "aaaaaaa", "\x00\x01", " tionthereable")]
+    words += ["".join(rng.choice(list("abcdeth词é "), int(n))).encode() for n in rng.integers(1, 60, 150)]
+    words = [w for w in words if w not in codec.ranks]
+    frame = spark.createDataFrame([(i, bytearray(w)) for i, w in enumerate(words)], "i int, word binary")
+    got = frame.select("i", bpe.folded(F.col("word"), bpe.rank_map(codec.ranks)).alias("ids")).orderBy("i").collect()
+    assert [r.ids for r in got] == [list(codec.fold(w)) for w in words] and len(words) > 100
+    assert all(r.ids == library.encode_ordinary(w.decode()) for r, w in zip(got, words) if len(codec.words(w.decode())) == 1)
+
+
+def test_words_of_any_length(spark, library):
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcdeth"), n)) for n in (bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 3000)] + ["word " * 3000]
+    rows = {r.doc_id: r for r in bpe.encoded(docs(spark, texts), bpe.vocabulary(spark)).collect()}
+    assert all(rows[i].ids == library.encode_ordinary(t) for i, t in enumerate(texts))
+
+
+def test_only_spark_folds_words_of_usual_length(spark, monkeypatch):
+    """The ids of usual words come from the higher-order functions: the fold in the task never sees them."""
+    monkeypatch.setattr(bpe.Codec, "fold_long", lambda self, word: (_ for _ in ()).throw(AssertionError(word)))
+    assert bpe.digests(docs(spark, ["some unusualwordsies here", "more unusualwordsies, zxqv"]), bpe.vocabulary(spark)).count() == 2
 
 
 def test_bpe_jobs(spark, library):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, chat, decontaminate, langid, neardup, quality, secrets, substrings, toxicity, vectors
+from tidemark.llm.oracles import ORACLES  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def llm_secret_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op1_secrets SQL can say: the spans of the plain patterns, which the method leaves as they are."""
+    return op1_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, and decoded again."""
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.vocabulary(spark))
@@ -74,5 +80,4 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, trees).select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_bpe": op2_bpe, "op3_substrings": op3_substrings, "op4_vectors": op4_vectors, "op5_chat": op5_chat, "op6_quality": op6_quality, "op7_decontaminate": op7_decontaminate, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_langid": op10_langid}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_secrets": op1_secrets, "op2_bpe": op2_bpe, "op3_substrings": op3_substrings, "op4_vectors": op4_vectors, "op5_chat": op5_chat, "op6_quality": op6_quality, "op7_decontaminate": op7_decontaminate, "op8_toxicity": op8_toxicity, "op9_neardup": op9_neardup, "op10_langid": op10_langid, "llm_secret_bases": llm_secret_bases}
