@@ -1,7 +1,9 @@
 """Corpus pipeline: toxicity, near-duplicates, benchmark passages, secrets, tokens; each stage's rows are written as Parquet and read by the next.
 
 A stage takes (spark, docs, sf_dir) and, but for the last, returns the columns of `documents`. Rows with a null id are learned from nowhere,
-near-duplicates of nothing, and otherwise treated like any.
+near-duplicates of nothing, and otherwise treated like any. Rows that repeat an id are one document: they stay or go together. Null and empty
+texts score as clean, are like nothing, hold no passage and no secret, and have no tokens; they go through all stages. An empty table gives
+an empty table. Other columns, nulls in them included, are passed on as they are; n_chars is told anew where a text changed.
 """
 
 from __future__ import annotations

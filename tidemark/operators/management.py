@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import bloom
 from tidemark.operators import routing, storage
 from tidemark.operators.statements import ORACLE_VIEW
-from tidemark.plans import pruning
+from tidemark.plans import pruning, usage
 from tidemark.registry import Registry
 from tidemark.session import work_dir
-from tidemark.sources import manifest, schemas
-from tidemark.sources.tables import EVENTS, events, read_files
-from tidemark.streaming.ingest import into_store, landed, windowed
+from tidemark.sources import manifest, schemas, shared
+from tidemark.sources.tables import EVENTS, events, json_rows, read_files
+from tidemark.streaming.ingest import append, into_store, into_table, landed, windowed
 
 QUERIES = Registry()
 _FIRST_WEEK = ("between", "event_time", 1704067200000000, 1704671999999999)
@@ -63,7 +63,10 @@ def prune_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @QUERIES.query("m_zone_map", ORACLE_VIEW + "SELECT DISTINCT partition_key FROM ev WHERE user_id IN (3, 77)")
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest.zone_may_hold(manifest.zone_map(events(spark, sf_dir), "user_id"), [3, 77])
+    """Keys that hold one of two users: the zone maps tell which may, and only those keys' rows are asked."""
+    rows = events(spark, sf_dir)
+    keys = manifest.zone_may_hold(manifest.zone_map(rows, "user_id"), [3, 77])
+    return rows.join(keys, "partition_key", "left_semi").where(F.col("user_id").isin(3, 77)).select("partition_key").distinct()
 
 
 @QUERIES.query("m_index_lookup", ORACLE_VIEW + "SELECT CAST(user_id AS VARCHAR) AS value, partition_key AS path, COUNT(*) AS row_count, MIN(event_time) AS min_time, MAX(event_time) AS max_time FROM ev WHERE user_id = 7 GROUP BY user_id, partition_key")
@@ -87,10 +90,13 @@ def schema_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @QUERIES.query("m_materialized_json", ORACLE_VIEW + "SELECT CAST(json_extract_string(payload, '$.k') AS BIGINT) AS k, COUNT(*) AS n FROM ev GROUP BY 1")
 def materialized_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON path answered by the column that it is kept in, in files that have it, and from the text elsewhere."""
-    rows = events(spark, sf_dir)
-    new = rows.where("user_id % 2 = 0").withColumn("payload_k", F.get_json_object("payload", "$.k").cast("bigint"))
-    both = manifest.union_all([new, rows.where("user_id % 2 = 1")])
+    """A JSON path answered by the column that the store keeps it in, in files that were written with it, and from the text elsewhere."""
+    store, rows = storage.Store(spark, work_dir(spark)), _rows(spark, sf_dir)
+    path = "payload $.k"
+    store.ingest(rows.where("user_id % 2 = 0"), "kept", paths={usage.column_name(path): (path, usage.column_type(rows, path))})
+    store.ingest(rows.where("user_id % 2 = 1"), "plain")
+    files = [r.path for r in store.manifest.active().select("path").collect()]
+    both = spark.read.option("mergeSchema", "true").parquet(*files)
     return both.groupBy(storage.json_path(both, "$.k", "bigint", name="payload_k").alias("k")).agg(F.count("*").alias("n"))
 
 
@@ -129,9 +135,55 @@ def compaction_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @QUERIES.query("m_reconcile", "SELECT 'dangling' AS fault, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'orphan', 2")
 def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame([("a.parquet",), ("b.parquet",), ("gone.parquet",)], "path string")
-    there = spark.createDataFrame([("a.parquet",), ("b.parquet",), ("b.meta.json",), ("x.parquet",), ("y.parquet",)], "path string")
-    return manifest.reconcile(known, there).groupBy("fault").agg(F.count("*").alias("n"))
+    """A store that lost a file and found two that nobody committed; superseded files are no faults."""
+    store, rows = storage.Store(spark, work_dir(spark)), _rows(spark, sf_dir)
+    for k in range(2):
+        store.ingest(rows.where(F.col("user_id") % 2 == k), f"part-{k}")
+    store.compact(store.candidates().orderBy("partition_key").first().partition_key)
+    shared.remove(spark, store.manifest.active().orderBy("path").first().path)
+    for k in range(2):
+        rows.where("user_id = 1").coalesce(1).write.parquet(f"{store.folder}/data/batch=lost-{k}")
+    return manifest.reconcile(store.manifest.files(), store.present()).groupBy("fault").agg(F.count("*").alias("n"))
+
+
+@QUERIES.query("m_sql_pruned", ORACLE_VIEW + "SELECT event_type, COUNT(*) AS n, CAST(SUM(user_id) AS BIGINT) AS s, MIN(event_time) AS t, TRUE AS pruned FROM ev WHERE event_time BETWEEN 1704067200000000 AND 1704671999999999 AND (tenant_id = 'tenant_05' OR user_id < 20) GROUP BY event_type")
+def sql_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement over a store reads the files that its filters leave."""
+    from tidemark.engine import Engine
+
+    store, engine = storage.Store(spark, work_dir(spark)), Engine(spark)
+    store.ingest(_rows(spark, sf_dir), "all")
+    engine.register_store("stored", store)
+    rows = engine.sql("SELECT event_type, COUNT(*) AS n, SUM(user_id) AS s, MIN(event_time) AS t FROM stored WHERE event_time BETWEEN 1704067200000000 AND 1704671999999999 AND (tenant_id = 'tenant_05' OR user_id < 20) GROUP BY event_type")
+    return rows.withColumn("pruned", F.lit(engine.last["pruned"] > engine.last["scanned"]))
+
+
+@QUERIES.query("m_three_phase", ORACLE_VIEW + "SELECT event_id, event_time, TRUE AS narrowed FROM ev WHERE user_id = 7 AND event_time BETWEEN 1704067200000000 AND 1704671999999999")
+def three_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One user's events of a week: least and greatest values keep the week's files, zone maps and Bloom filters those that hold the user."""
+    store = storage.Store(spark, work_dir(spark), filters=("user_id",))
+    store.ingest(_rows(spark, sf_dir), "all")
+    predicate = ("and", _FIRST_WEEK, ("=", "user_id", 7))
+    active = store.manifest.active()
+    found, week, every = (x.count() for x in (store.files_of(predicate), pruning.pruned(active, predicate), active))
+    return store.scan(predicate).select(F.conv(F.hex("event_id"), 16, 10).cast("long").alias("event_id"), "event_time", F.lit(found <= week < every).alias("narrowed"))
+
+
+@QUERIES.query("m_index_scan", ORACLE_VIEW + "SELECT event_type, COUNT(*) AS n, CAST(SUM(user_id) AS BIGINT) AS s, MIN(event_time) AS t FROM ev WHERE user_id IN (3, 77) GROUP BY event_type")
+def index_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan that an index narrows, over files that it knows and files that came later."""
+    store, rows = storage.Store(spark, work_dir(spark)), _rows(spark, sf_dir)
+    store.ingest(rows.where("event_type = 'click'"), "old")
+    store.index("user_id")
+    store.ingest(rows.where("event_type <> 'click'"), "new")
+    return _summary(store.scan(("in", "user_id", (3, 77))))
+
+
+@QUERIES.query("m_json_batch", ORACLE_VIEW + _SUM)
+def json_batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that come as JSON text, parsed where they lie."""
+    rows = _rows(spark, sf_dir).drop("event_id")
+    return _summary(json_rows(rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))))
 
 
 @QUERIES.query("m_stream_equals_batch", ORACLE_VIEW + _SUM)
@@ -181,13 +233,15 @@ def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @QUERIES.query("m_windows", ORACLE_VIEW + "SELECT date_trunc('hour', ts) AS begin, event_type, COUNT(*) AS n FROM ev GROUP BY 1, 2")
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by hour and type."""
-    return windowed(_rows(spark, sf_dir)).withColumn("begin", F.col("begin").cast("timestamp_ntz"))
+    """Events by hour and type, counted by a stream over files that have landed."""
+    folder = work_dir(spark)
+    append(_rows(spark, sf_dir).drop("event_id"), f"{folder}/landing")
+    return into_table(windowed(landed(spark, f"{folder}/landing", EVENTS)), f"{folder}/hours", f"{folder}/checkpoint").withColumn("begin", F.col("begin").cast("timestamp_ntz"))
 
 
-@QUERIES.query("m_access_pairs", ORACLE_VIEW + ", l AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_time, event_id) AS b FROM ev) SELECT a, b, COUNT(*) AS n FROM l WHERE b IS NOT NULL AND a <> b GROUP BY 1, 2")
+@QUERIES.query("m_access_pairs", ORACLE_VIEW + ", l AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_time, event_id) AS b FROM ev) SELECT a, b, CAST(COUNT(*) AS DOUBLE) AS weight FROM l WHERE b IS NOT NULL AND a <> b GROUP BY 1, 2")
 def access_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often one kind of access follows another."""
-    order = Window.partitionBy("user_id").orderBy("event_time", "event_id")
-    pairs = events(spark, sf_dir).select(F.col("event_type").alias("a"), F.lead("event_type").over(order).alias("b"))
-    return pairs.where("b is not null and a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    """The co-access graph of a log: how often one kind of access follows another."""
+    graph = usage.CoAccess()
+    graph.learn(usage.successions(events(spark, sf_dir), "event_type", "user_id", "event_time", "event_id"))
+    return spark.createDataFrame([(a, b, w) for (a, b), w in sorted(graph.edges.items())], "a string, b string, weight double")

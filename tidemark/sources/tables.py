@@ -71,3 +71,11 @@ def json_batch(spark: SparkSession, rows: list[dict], schema: S.StructType = EVE
 
     loose = S.StructType([S.StructField(f.name, f.dataType, True) for f in schema])
     return spark.createDataFrame([tuple(cell(r, f) for f in loose) for r in rows], loose)
+
+
+def json_rows(lines: DataFrame, column: str = "value", schema: S.StructType = EVENTS) -> DataFrame:
+    """Rows of JSON text, one object each, parsed where they lie: numbers stay integers of 64 bits, objects in a text column become JSON text,
+    and what a row lacks or can't be read is null, to be told by validation."""
+    loose = S.StructType([S.StructField(f.name, S.StringType() if isinstance(f.dataType, S.BinaryType) else f.dataType, True) for f in schema])
+    rows = lines.select(F.from_json(column, loose, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))

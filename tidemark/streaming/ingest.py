@@ -69,3 +69,15 @@ def windowed(rows: DataFrame, length: str = "1 hour", late: str = "10 minutes")
     """Events for each window and type; rows later than the watermark allows are left out."""
     times = rows.withColumn("at", F.timestamp_micros("event_time")).withWatermark("at", late)
     return times.groupBy(F.window("at", length).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("begin"), "event_type", "n")
+
+
+def into_table(rows: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """The result of an aggregating stream over all that has landed, whole after each micro-batch; a replayed batch writes its result again."""
+    last: list[str] = []
+
+    def take(batch: DataFrame, number: int) -> None:
+        last[:] = [f"{folder}/result-{number}"]
+        batch.write.mode("overwrite").parquet(last[0])
+
+    rows.writeStream.outputMode("complete").foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(*last) if last else rows.sparkSession.createDataFrame([], rows.schema)
