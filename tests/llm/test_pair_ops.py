@@ -234,8 +234,8 @@ def test_pipeline(spark):
         if name != "tokens":
             assert taken.columns == frame.columns and taken.dtypes == frame.dtypes
         if name == "near duplicates":
-            kept = {r.doc_id for r in neardup.near_duplicates(spark.createDataFrame(list(before.values()), frame.schema)).where("kept").collect()}
-            assert set(after) == kept
+            least = alike([(i, r.text) for i, r in before.items()], 80)  # brute force over all pairs
+            assert set(after) == {i for i, k in least.items() if i == k}
         if name == "benchmark":
             parts = decontaminate.load(spark.read.parquet(f"{DATA}/benchmark.parquet"))
             assert decontaminate.report(taken, parts).where("n_hit > 0").count() == 0
