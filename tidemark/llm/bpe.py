@@ -4,9 +4,10 @@ A text is cut by the vocabulary's pattern. A word that is a piece itself is that
 whose joined bytes have a rank, the pair with the lowest rank, the leftmost of equals, is merged, until none is left.
 
 The fold is an aggregate of Spark's higher-order functions over the word's bytes, with the rank map as a literal. It runs once for each
-distinct word of all documents: the words that a chunk of documents holds and that are no pieces are gathered, each distinct one is folded, and
-the ids meet the chunk's texts again in one task, which puts them together. A word of over LONG bytes would cost the square of its length
-there; it is folded in that task with a heap, in n log n steps, to the same ids.
+distinct word of all documents. A task cuts its texts in words, numbers them and writes texts as numbers; the words that are no pieces
+are gathered, each distinct one is folded, and the ids meet the numbers again in one task for each chunk of texts, which puts them
+together. A chunk ends at CHUNK bytes of text or FLUSH words, so that its words fit a task. A word of over LONG bytes would cost the square of
+its length in the fold; it is folded where it is met, with a heap, in n log n steps, to the same ids.
 
 Null texts are empty and have no ids. Special tokens are never made. Every row gives one row. Decoding the ids of a text gives its bytes.
 """
@@ -22,20 +23,21 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 from typing import NamedTuple
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark import Broadcast
+import zstandard
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunks, store
+from tidemark.llm import store
 from tidemark.llm import text as T
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Words that a task remembers besides its chunk's before it forgets them, bytes of words that are folded by Spark, words that a task gathers
-#: before it sends them.
-CACHE, LONG, FLUSH = 250_000, 256, 500_000
+#: Bytes of words that are folded by Spark; bytes of text and words that end a chunk; bytes of text whose numbers are packed at a time.
+LONG, CHUNK, FLUSH, PACK = 256, 64 << 20, 500_000, 4 << 20
 
 
 def ranks(data: str) -> dict[bytes, int]:
@@ -54,7 +56,6 @@ class Codec:
         self.ranks = ranks(data)
         self.pieces = {v: k for k, v in self.ranks.items()}
         self.words = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
 
     def fold(self, word: bytes) -> tuple[int, ...]:
         """Ids of one word."""
@@ -82,47 +83,44 @@ class Codec:
                 heapq.heappush(heap, (r, before[i], stop))
         return tuple(self.ranks[word[i : end[i]]] for i in range(n) if alive[i])
 
-    def encode(self, text: str, known: dict[str, tuple[int, ...]] | None = None) -> list[int]:
-        """Ids of a text; known: ids of words."""
-        words, own = self.words(text), self.known
-        new = [w for w in set(words) if w not in own]
-        if len(own) + len(new) > CACHE:
-            own.clear()
-            new = set(words)
-        for w in new:
-            own[w] = (known.get(w) if known else None) or self.fold(w.encode())
-        return list(chain.from_iterable(map(own.__getitem__, words)))
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text."""
+        words = self.words(text)
+        known = {w: self.fold(w.encode()) for w in set(words)}
+        return list(chain.from_iterable(map(known.__getitem__, words)))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """Bytes of ids."""
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
-#: Bits of an id in a cell of the rank map, and what stands for no rank.
+#: Bits of an id in a pair's name, and what stands for no rank.
 ID_BITS, NONE = 20, (1 << 31) - 1
 #: Multipliers of a pair's ids for its two places in the rank map.
 PLACES = ((40503, 30103), (92821, 7919))
 
 
 class RankMap(NamedTuple):
-    """The ranks of joined pieces as an array. Pieces a and b, joined, have their rank in one of two cells that their ids name, together
-    with a and b; other cells hold -1. single: ids of the 256 bytes. The number of cells is a power of two."""
+    """The ranks of joined pieces. Pieces a and b are named a << ID_BITS | b; their name stands in one of two places of `names` that the ids
+    tell, and the rank of the joined piece in the same place of `ranks`; other places hold -1. single: ids of the 256 bytes. There are a
+    power of two of places."""
 
     single: list[int]
-    cells: list[int]
+    names: list[int]
+    ranks: list[int]
 
 
 def rank_map(known: dict[bytes, int]) -> RankMap:
-    """Every way to cut a piece in two pieces. A pair takes its first cell, and a pair that was there goes to its other one; when that
-    doesn't end, the cells are doubled."""
+    """Every way to cut a piece in two pieces. A pair takes its first place, and a pair that was there goes to its other one; when that
+    doesn't end, the places are doubled."""
     pairs = [(known[piece[:k]], known[piece[k:]], rank) for piece, rank in known.items() for k in range(1, len(piece)) if piece[:k] in known and piece[k:] in known]
     size = 1 << max(4, (2 * len(pairs)).bit_length())
     while True:
-        cells: dict[int, tuple[int, int, int]] = {}
+        held: dict[int, tuple[int, int, int]] = {}
         for pair in pairs:
             at = (pair[0] * PLACES[0][0] + pair[1] * PLACES[0][1]) & (size - 1)
             for _ in range(200):
-                pair, cells[at] = cells.get(at), pair
+                pair, held[at] = held.get(at), pair
                 if pair is None:
                     break
                 one, two = ((pair[0] * x + pair[1] * y) & (size - 1) for x, y in PLACES)
@@ -132,10 +130,7 @@ def rank_map(known: dict[bytes, int]) -> RankMap:
         else:
             break
         size *= 2
-    packed = [-1] * size
-    for at, (a, b, rank) in cells.items():
-        packed[at] = (a << ID_BITS | b) << ID_BITS | rank
-    return RankMap([known.get(bytes([k]), -1) for k in range(256)], packed)
+    return RankMap([known.get(bytes([k]), -1) for k in range(256)], [held[k][0] << ID_BITS | held[k][1] if k in held else -1 for k in range(size)], [held[k][2] if k in held else -1 for k in range(size)])
 
 
 def literal(values: list[int]) -> Column:
@@ -154,13 +149,11 @@ def folded(word: Column, ranks_: RankMap) -> Column:
     it makes with its neighbours."""
     none, empty = F.lit(NONE).cast("bigint"), F.array().cast("array<bigint>")
 
-    def with_map(cells: Column, single: Column) -> Column:
+    def with_map(names: Column, ranks: Column, single: Column) -> Column:
         def rank(a: Column, b: Column) -> Column:
-            def held(k: int, rest: Column) -> Column:
-                cell = F.get(cells, (a * PLACES[k][0] + b * PLACES[k][1]).bitwiseAND(len(ranks_.cells) - 1).cast("int"))
-                return _let(cell, lambda x: F.when(F.shiftright(x, ID_BITS) == F.shiftleft(a, ID_BITS) + b, x.bitwiseAND((1 << ID_BITS) - 1)).otherwise(rest))
-
-            return held(0, held(1, none))
+            name = F.shiftleft(a, ID_BITS) + b
+            one, two = ((a * x + b * y).bitwiseAND(len(ranks_.names) - 1).cast("int") for x, y in PLACES)
+            return F.when(F.get(names, one) == name, F.get(ranks, one)).when(F.get(names, two) == name, F.get(ranks, two)).otherwise(none)
 
         def merge(state: Column, _: Column) -> Column:
             ids, pairs = state["ids"], state["pairs"]
@@ -186,49 +179,117 @@ def folded(word: Column, ranks_: RankMap) -> Column:
 
         return _let(F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), lambda c: F.get(single, F.ascii(c))), start)
 
-    return _let(literal(ranks_.cells), lambda c: _let(literal(ranks_.single), lambda s: with_map(c, s))).cast("array<int>")
+    return _let(literal(ranks_.names), lambda n: _let(literal(ranks_.ranks), lambda r: _let(literal(ranks_.single), lambda s: with_map(n, r, s)))).cast("array<int>")
 
 
-def unknown(rows: DataFrame, data: Broadcast) -> DataFrame:
-    """(chunk, word): a chunk's words that are no pieces and at most LONG bytes, nearly distinct: each task gives each once, again only after
-    FLUSH others."""
+class Numbers(dict):
+    """Words and their numbers, in the order in which they were first asked for."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("chunk", pa.int64()), ("word", pa.binary())])
-        codec, held = Codec(data.value), {}
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for chunk, words in held.items():
-                own = [b for w in words if len(b := w.encode()) <= LONG and b not in codec.ranks]
-                for k in range(0, len(own), 1 << 15):
-                    part = own[k : k + (1 << 15)]
-                    yield T.batch(schema, chunk=[chunk] * len(part), word=part)
-            held.clear()
 
-        for b in batches:
-            for chunk, part in chunks.shares(b):
-                words = held.setdefault(chunk, set())
-                for text in part.column(1).to_pylist():
-                    words.update(codec.words(text or ""))
-                if sum(map(len, held.values())) >= FLUSH:
-                    yield from flush()
-        yield from flush()
+def ragged(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The values from each begin on, one after the other."""
+    return values[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
 
-    return rows.mapInArrow(T.lean(run), "chunk long, word binary")
 
+NUMBERED = "chunk long, kind int, data binary, word binary, number int"
+ANSWERS, TEXTS, WORD = range(3)
 
-def with_words(docs: DataFrame, data: Broadcast, key: str, text: str) -> DataFrame:
-    """Chunks of documents after the ids of their words."""
-    rows = chunks.chunked(docs, key, text)
-    wanted = store.written(unknown(rows, data), "words")
-    ids = wanted.select("word").distinct().select("word", folded(F.col("word"), rank_map(ranks(data.value))).alias("ids"))
-    answers = wanted.join(store.written(ids, "folded"), "word").select("chunk", "word", "ids")
-    return chunks.meet(chunks.replies(answers, lambda b: pickle.dumps((b.column(1).to_pylist(), b.column(2).to_pylist()))), rows)
 
+def numbered(docs: DataFrame, data: Broadcast, key: str, text: str) -> DataFrame:
+    """TEXTS rows: ids of documents, their numbers of words, and the numbers of these; ANSWERS rows: ids of words that are pieces or too long;
+    WORD rows: other words. A chunk is a task's; a task that runs again gives all its rows again."""
 
-def known(data: list[bytes]) -> dict[str, tuple[int, ...]]:
-    """Ids by word."""
-    return {w.decode(): tuple(x) for d in data for w, x in zip(*pickle.loads(d), strict=True)}
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("data", pa.binary()), ("word", pa.binary()), ("number", pa.int32())])
+        codec, numbers, squeeze = Codec(data.value), Numbers(), zstandard.ZstdCompressor(level=1)
+        chunk, total, left = TaskContext.get().partitionId() << 32, 0, False
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            here: list[tuple[int, tuple[int, ...]]] = []
+            rest: list[tuple[int, bytes]] = []
+            for word, n in numbers.items():
+                raw = word.encode()
+                if raw in codec.ranks or len(raw) > LONG:
+                    here.append((n, codec.fold(raw)))
+                else:
+                    rest.append((n, raw))
+            yield T.batch(schema, chunk=[chunk], kind=[ANSWERS], data=[answered([n for n, _ in here], [x for _, x in here])], word=[None], number=[None])
+            for k in range(0, len(rest), 1 << 15):
+                part = rest[k : k + (1 << 15)]
+                yield T.batch(schema, chunk=[chunk] * len(part), kind=[WORD] * len(part), data=[None] * len(part), word=[w for _, w in part], number=[n for n, _ in part])
+
+        for b in batches:
+            for block in T.blocks(b.column(1), PACK):
+                found = [np.fromiter(map(numbers.__getitem__, codec.words(block.text(i).decode())), np.int32) for i in range(len(block))]
+                ids = b.column(0).slice(block.row, len(block))
+                packed = pickle.dumps((ids.to_pylist(), np.array(list(map(len, found)), np.int64), np.concatenate(found)), protocol=5)
+                yield T.batch(schema, chunk=[chunk], kind=[TEXTS], data=[squeeze.compress(packed)], word=[None], number=[None])
+                total, left = total + len(block.data), True
+                if total >= CHUNK or len(numbers) >= FLUSH:
+                    yield from answers()
+                    numbers, chunk, total, left = Numbers(), chunk + 1, 0, False
+        if left:
+            yield from answers()
+
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(T.lean(run), NUMBERED)
+
+
+def answered(numbers: list[int], ids: list) -> bytes:
+    """Numbers of words, how many ids each has, and the ids."""
+    return pickle.dumps((np.array(numbers, np.int64), np.array(list(map(len, ids)), np.int64), np.fromiter(chain.from_iterable(ids), np.int32)), protocol=5)
+
+
+def chunks_of(docs: DataFrame, data: Broadcast, key: str, text: str) -> DataFrame:
+    """(chunk, kind, data): each chunk's answers before its texts, in one task."""
+    parts = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = store.written(numbered(docs, data, key, text), "numbered")
+    wanted = rows.where(F.col("kind") == WORD).select("chunk", "word", "number")
+    ids = wanted.select("word").distinct().repartition(parts).select("word", folded(F.col("word"), rank_map(ranks(data.value))).alias("ids"))
+    found = wanted.join(store.written(ids, "folded"), "word").select("chunk", "number", "ids")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
+        for b in batches:
+            chunk, number = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
+            values, offsets = b.column(2).flatten().to_numpy(), b.column(2).offsets.to_numpy().astype(np.int64)
+            begin, size = offsets[:-1] - offsets[0] if len(b) else offsets[:0], np.diff(offsets)
+            order = np.argsort(chunk, kind="stable")
+            cuts = np.flatnonzero(np.concatenate([[True], chunk[order][1:] != chunk[order][:-1], [True]])) if len(b) else np.zeros(1, np.int64)
+            out = [(int(chunk[order[i]]), pickle.dumps((number[at := order[i:j]], size[at], ragged(values, begin[at], size[at]).astype(np.int32)), protocol=5)) for i, j in zip(cuts, cuts[1:], strict=False)]
+            yield T.batch(schema, chunk=[k for k, _ in out], kind=[ANSWERS] * len(out), data=[d for _, d in out])
+
+    answers = found.mapInArrow(T.lean(run), "chunk long, kind int, data binary")
+    known = rows.where(F.col("kind") != WORD).select("chunk", "kind", "data")
+    return answers.unionByName(known).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind")
+
+
+def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(documents, how many ids each has, the ids) from what `chunks_of` gives."""
+    loose = zstandard.ZstdDecompressor()
+    now, waiting, table = None, [], None
+    for b in batches:
+        for row in range(len(b)):
+            chunk, kind, data = (b.column(c)[row].as_py() for c in range(3))
+            if chunk != now:
+                now, waiting, table = chunk, [], None
+            if kind == ANSWERS:
+                waiting.append(pickle.loads(data))
+                continue
+            if table is None:
+                number, size, ids = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                begin, many = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+                begin[number], many[number] = np.cumsum(size) - size, size
+                table, waiting = (begin, many, ids), []
+            docs, words, numbers = pickle.loads(loose.decompress(data))
+            begin, many, ids = table
+            size = many[numbers]
+            ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(words)]
+            yield docs, np.diff(np.concatenate([[0], ends])), ragged(ids, begin[numbers], size)
 
 
 def encoded(docs: DataFrame, data: Broadcast, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -236,11 +297,11 @@ def encoded(docs: DataFrame, data: Broadcast, key: str = "doc_id", text: str = "
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-        codec = Codec(data.value)
-        for words, rows in chunks.met(batches, known):
-            yield T.batch(schema, doc_id=rows.column(0), ids=[codec.encode(t or "", words) for t in rows.column(1).to_pylist()])
+        for keys, size, ids in tokens(batches):
+            cuts = np.concatenate([[0], np.cumsum(size)])
+            yield T.batch(schema, doc_id=keys, ids=[ids[i:j] for i, j in zip(cuts, cuts[1:], strict=False)])
 
-    return with_words(docs, data, key, text).mapInArrow(T.lean(run), "doc_id long, ids array<int>")
+    return chunks_of(docs, data, key, text).mapInArrow(T.lean(run), "doc_id long, ids array<int>")
 
 
 def decoded(rows: DataFrame, data: Broadcast) -> DataFrame:
@@ -262,13 +323,13 @@ def digests(docs: DataFrame, data: Broadcast, key: str = "doc_id", text: str = "
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
         codec = Codec(data.value)
         names = {i: str(i) for i in codec.pieces}
-        for words, rows in chunks.met(batches, known):
-            n, told, back = [], [], []
-            for t in rows.column(1).to_pylist():
-                ids = codec.encode(t or "", words)
-                n.append(len(ids))
-                told.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            yield T.batch(schema, doc_id=rows.column(0), n_tokens=n, ids_sha256=told, decoded_sha256=back)
-
-    return with_words(docs, data, key, text).mapInArrow(T.lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for keys, size, ids in tokens(batches):
+            told, back, at = [], [], 0
+            for n in size.tolist():
+                own = ids[at : at + n].tolist()
+                at += n
+                told.append(hashlib.sha256(",".join(map(names.__getitem__, own)).encode()).hexdigest())
+                back.append(hashlib.sha256(codec.decode(own)).hexdigest())
+            yield T.batch(schema, doc_id=keys, n_tokens=size, ids_sha256=told, decoded_sha256=back)
+
+    return chunks_of(docs, data, key, text).mapInArrow(T.lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
