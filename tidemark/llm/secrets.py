@@ -4,8 +4,8 @@
 credential word (`passphrase: ...`, `pwd=...`) and segments it at minimum cost into words, dates, repeats, keyboard walks,
 sequences and brute-force characters; a value that takes at least GUESSES guesses and does not touch a base span is a secret.
 
-Words cost by their rank in a dictionary: frequent parts of passwords, then the WORDS most frequent words of the documents themselves,
-counted over all of them, ties by spelling; it is broadcast, and its size is that parameter. So that prose is left alone where the
+Words cost by their rank in a dictionary: frequent parts of passwords, then the most frequent words of the documents themselves, WORDS at
+most, counted over all of them, ties by spelling; it is broadcast, and its size is that parameter. So that prose is left alone where the
 dictionary ends, a value all of whose pieces between marks are plain words in shape (letters only, lower case, upper case or capitalised) is
 no secret, however rare the words: random letters of one case alone are not found.
 
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import store
 from tidemark.llm import text as T
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -89,10 +90,18 @@ def ranked(words: Iterable[str] = ()) -> dict[str, int]:
 
 
 def frequent(docs: DataFrame, text: str = "text", most: int = WORDS) -> list[str]:
-    """The most frequent words of all documents, from the most frequent on."""
+    """The most frequent words of all documents, from the most frequent on, `most` at most: those whose number of occurrences, in steps of a
+    sixteenth of a power of two, lies above the first step that would bring more. Only they come to the driver."""
     found = F.regexp_extract_all(F.lower(F.col(text).cast("string")), F.lit(r"\p{L}{%d,%d}" % (SHORTEST, LONGEST)), F.lit(0))
-    counts = docs.select(F.explode(found).alias("w")).groupBy("w").count()
-    return [r.w for r in counts.orderBy(F.desc("count"), "w").limit(most).collect()]
+    counts = docs.select(F.explode(found).alias("w")).groupBy("w").count().withColumn("step", F.floor(F.log2("count") * 16))
+    counts = store.written(counts, "words")
+    total, least = 0, 1 << 20
+    for r in sorted(counts.groupBy("step").agg(F.count("*").alias("n")).collect(), key=lambda r: -r.step):  # some hundred steps
+        total += r.n
+        if total > most:
+            break
+        least = r.step
+    return [r.w for r in counts.where(F.col("step") >= least).orderBy(F.desc("count"), "w").collect()]
 
 
 def guess_cost(value: str, ranks: dict[str, int] = _RANK) -> float:
