@@ -312,4 +312,4 @@ def test_hubs_join_a_large_group(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, rows)).collect()}
     assert got == alike(rows, 85)
     bands = neardup.search(85).m // 5
-    assert len(taken) == neardup.HUBS + 1 and sum(taken) < 4 * len(rows) * bands  # in slices of 16 by 16 they would be 12 times as many
+    assert 2 <= len(taken) <= neardup.HUBS + 1 and sum(taken) < 4 * len(rows) * bands  # in slices of 16 by 16 they would be 12 times as many

@@ -8,8 +8,8 @@ buckets; two documents with a Jaccard index of the threshold share no bucket at
 classes are estimated jointly: the likelihood of the registers that are equal, larger and smaller, given both set sizes, is maximal
 at some index, and pairs of at least a floor that one at the threshold falls below at most MISS times are verified on their full sets.
 The number of registers, their rows in a band and the floor follow from the threshold (`search`).
-A bucket that is too large for one tile is first compared with a middle member, its hub, then with one of those that are still apart:
-rows in proportion to the bucket, which join a group of near copies of any size. What the hub's links have joined most of need not meet itself again; all others meet everyone in tiles
+A bucket that is too large for one tile is first compared with a middle member, its hub, and while more than a tile is still apart, with
+one of those: rows in proportion to the bucket, which join a group of near copies of any size. What the hub's links have joined most of need not meet itself again; all others meet everyone in tiles
 of bounded size. So a bucket of any size is compared whole, without meeting in one task. Pairs are never rows: a tile passes on its rows
 that have a partner, gets their full sets, and gives links that join what was apart.
 
@@ -363,6 +363,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         large = members.select("bucket", "doc_id").join(big.select("bucket", "salts"), "bucket")
         large = store.written(large.join(large.groupBy("doc_id").agg(F.count("*").alias("degree")), "doc_id"), "large")
         for _ in range(HUBS):
+            if roots is not None:  # only buckets in which more than a tile is still apart from the largest root
+                each = large.join(roots, "doc_id", "left").groupBy("bucket", F.coalesce("root", "doc_id").alias("root")).agg(F.count("*").alias("c"))
+                apart = each.groupBy("bucket").agg((F.sum("c") - F.max("c")).alias("rest")).where(F.col("rest") > TILE_ROWS)
+                large = large.join(apart.select("bucket"), "bucket", "left_semi")
+                if large.isEmpty():
+                    break
             found = linked(star_tiles(large, roots))
             links = found if links is None else links.unionByName(found)
             roots = store.written(store.components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("root")), "roots")
