@@ -249,7 +249,7 @@ def chunks_of(docs: DataFrame, data: Broadcast, key: str, text: str) -> DataFram
     parts = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = store.written(numbered(docs, data, key, text), "numbered")
     wanted = rows.where(F.col("kind") == WORD).select("chunk", "word", "number")
-    ids = wanted.select("word").distinct().repartition(parts).select("word", folded(F.col("word"), rank_map(ranks(data.value))).alias("ids"))
+    ids = wanted.select("word").repartition(parts, "word").distinct().select("word", folded(F.col("word"), rank_map(ranks(data.value))).alias("ids"))
     found = wanted.join(store.written(ids, "folded"), "word").select("chunk", "number", "ids")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
