@@ -5,7 +5,7 @@ whose joined bytes have a rank, the pair with the lowest rank, the leftmost of e
 
 The fold is an aggregate of Spark's higher-order functions over the word's bytes, with the rank map as a literal. It runs once for each
 distinct word of all documents. A task cuts its texts in words, numbers them and writes texts as numbers; the words that are no pieces
-are gathered, each distinct one is folded, and the ids meet the numbers again in one task for each chunk of texts, which puts them
+are dealt and sorted, the first row of each distinct one is folded for all, and the ids meet the numbers again in one task for each chunk of texts, which puts them
 together. A chunk ends at CHUNK bytes of text or FLUSH words, so that its words fit a task. A word of over LONG bytes would cost the square of
 its length in the fold; it is folded where it is met, with a heap, in n log n steps, to the same ids.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 import zstandard
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import store
@@ -195,6 +195,21 @@ def ragged(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarra
     return values[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 ** 24 as their low, middle and high bytes, which pack better apart; larger ones as they are."""
+    if len(numbers) and int(numbers.max()) >= 1 << 24:
+        return b"4" + numbers.tobytes()
+    return b"3" + np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    """The numbers of `planes`."""
+    if data[:1] == b"4":
+        return np.frombuffer(data, np.int32, offset=1)
+    low, middle, high = np.frombuffer(data, np.uint8, offset=1).reshape(3, -1).astype(np.int32)
+    return low | middle << 8 | high << 16
+
+
 NUMBERED = "chunk long, kind int, data binary, word binary, number int"
 ANSWERS, TEXTS, WORD = range(3)
 
@@ -205,7 +220,7 @@ def numbered(docs: DataFrame, data: Broadcast, key: str, text: str) -> DataFrame
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("data", pa.binary()), ("word", pa.binary()), ("number", pa.int32())])
-        codec, numbers, squeeze = Codec(data.value), Numbers(), zstandard.ZstdCompressor(level=1)
+        codec, numbers, squeeze = Codec(data.value), Numbers(), zstandard.ZstdCompressor(level=3)
         chunk, total, left = TaskContext.get().partitionId() << 32, 0, False
 
         def answers() -> Iterator[pa.RecordBatch]:
@@ -226,7 +241,7 @@ def numbered(docs: DataFrame, data: Broadcast, key: str, text: str) -> DataFrame
             for block in T.blocks(b.column(1), PACK):
                 found = [np.fromiter(map(numbers.__getitem__, codec.words(block.text(i).decode())), np.int32) for i in range(len(block))]
                 ids = b.column(0).slice(block.row, len(block))
-                packed = pickle.dumps((ids.to_pylist(), np.array(list(map(len, found)), np.int64), np.concatenate(found)), protocol=5)
+                packed = pickle.dumps((ids.to_pylist(), np.array(list(map(len, found)), np.int32), planes(np.concatenate(found))), protocol=5)
                 yield T.batch(schema, chunk=[chunk], kind=[TEXTS], data=[squeeze.compress(packed)], word=[None], number=[None])
                 total, left = total + len(block.data), True
                 if total >= CHUNK or len(numbers) >= FLUSH:
@@ -249,8 +264,10 @@ def chunks_of(docs: DataFrame, data: Broadcast, key: str, text: str) -> DataFram
     parts = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = store.written(numbered(docs, data, key, text), "numbered")
     wanted = rows.where(F.col("kind") == WORD).select("chunk", "word", "number")
-    ids = wanted.select("word").repartition(parts, "word").distinct().select("word", folded(F.col("word"), rank_map(ranks(data.value))).alias("ids"))
-    found = wanted.join(store.written(ids, "folded"), "word").select("chunk", "number", "ids")
+    same = Window.partitionBy("word").orderBy("chunk")  # a row for each chunk that holds the word
+    first = wanted.repartition(parts, "word").withColumn("nth", F.row_number().over(same))
+    first = first.withColumn("own", F.when(F.col("nth") == 1, folded(F.col("word"), rank_map(ranks(data.value)))))
+    found = first.select("chunk", "number", F.last("own", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, 0)).alias("ids"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
@@ -286,6 +303,7 @@ def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[int], np.nd
                 begin[number], many[number] = np.cumsum(size) - size, size
                 table, waiting = (begin, many, ids), []
             docs, words, numbers = pickle.loads(loose.decompress(data))
+            numbers = unplaned(numbers)
             begin, many, ids = table
             size = many[numbers]
             ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(words)]
