@@ -557,7 +557,7 @@ def finished(rows: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and the digest of the kept words, for every row of docs."""
     every = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    parts = max(16, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     survey = store.written(surveyed(every, parts), "survey")
     info = survey.where(F.col("kind") == INFO).select("doc_id", "class", "class2", "n_words", "sha256")
     same = ["class", "class2", "n_words"]
