@@ -254,9 +254,21 @@ def numbered(docs: DataFrame, data: Broadcast, key: str, text: str) -> DataFrame
     return rows.mapInArrow(T.lean(run), NUMBERED)
 
 
-def answered(numbers: list[int], ids: list) -> bytes:
-    """Numbers of words, how many ids each has, and the ids."""
-    return pickle.dumps((np.array(numbers, np.int64), np.array(list(map(len, ids)), np.int64), np.fromiter(chain.from_iterable(ids), np.int32)), protocol=5)
+def answered(numbers: list[int] | np.ndarray, ids: list | None = None, size: np.ndarray | None = None, values: np.ndarray | None = None) -> bytes:
+    """Numbers of words in order, how many ids each has, and the ids, compressed; ids as lists, or their sizes and values."""
+    if ids is not None:
+        size, values = np.array(list(map(len, ids)), np.int64), np.fromiter(chain.from_iterable(ids), np.int32)
+    numbers, size = np.asarray(numbers, np.int32), np.asarray(size, np.int64)
+    order = np.argsort(numbers, kind="stable")
+    values = ragged(values, (np.cumsum(size) - size)[order], size[order]).astype(np.int32)
+    gaps = np.diff(numbers[order], prepend=np.int32(0))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps((planes(gaps), planes(size[order].astype(np.int32)), planes(values)), protocol=5))
+
+
+def answers_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, sizes and ids of `answered`."""
+    gaps, size, values = map(unplaned, pickle.loads(zstandard.ZstdDecompressor().decompress(data)))
+    return np.cumsum(gaps, dtype=np.int64), size.astype(np.int64), values
 
 
 def chunks_of(docs: DataFrame, data: Broadcast, key: str, text: str) -> DataFrame:
@@ -277,7 +289,7 @@ def chunks_of(docs: DataFrame, data: Broadcast, key: str, text: str) -> DataFram
             begin, size = offsets[:-1] - offsets[0] if len(b) else offsets[:0], np.diff(offsets)
             order = np.argsort(chunk, kind="stable")
             cuts = np.flatnonzero(np.concatenate([[True], chunk[order][1:] != chunk[order][:-1], [True]])) if len(b) else np.zeros(1, np.int64)
-            out = [(int(chunk[order[i]]), pickle.dumps((number[at := order[i:j]], size[at], ragged(values, begin[at], size[at]).astype(np.int32)), protocol=5)) for i, j in zip(cuts, cuts[1:], strict=False)]
+            out = [(int(chunk[order[i]]), answered(number[at := order[i:j]], size=size[at], values=ragged(values, begin[at], size[at]))) for i, j in zip(cuts, cuts[1:], strict=False)]
             yield T.batch(schema, chunk=[k for k, _ in out], kind=[ANSWERS] * len(out), data=[d for _, d in out])
 
     answers = found.mapInArrow(T.lean(run), "chunk long, kind int, data binary")
@@ -295,7 +307,7 @@ def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[int], np.nd
             if chunk != now:
                 now, waiting, table = chunk, [], None
             if kind == ANSWERS:
-                waiting.append(pickle.loads(data))
+                waiting.append(answers_of(data))
                 continue
             if table is None:
                 number, size, ids = (np.concatenate(x) for x in zip(*waiting, strict=True))
