@@ -208,6 +208,22 @@ def test_only_spark_folds_words_of_usual_length(spark, monkeypatch):
     assert bpe.digests(docs(spark, ["some unusualwordsies here", "more unusualwordsies, zxqv"]), bpe.vocabulary(spark)).count() == 2
 
 
+def test_the_rank_map_stays_out_of_plans(spark):
+    """The driver prints, logs and keeps every plan of a run; a rank map in it is megabytes each time."""
+    rows = bpe.digests(docs(spark, ["some unusualwordsies here"]), bpe.vocabulary(spark))
+    assert rows.count() == 1 and len(rows._jdf.queryExecution().toString()) < 200_000
+
+
+def test_words_are_dealt_in_packets(spark, library):
+    """Words that are no pieces take no row each: a chunk sends one packet to a bucket, of less bytes than they have themselves."""
+    words = [f"wq{k * 7919:x}zx" for k in range(20_000)]
+    rows = bpe.numbered(docs(spark, [" ".join(words)]), bpe.vocabulary(spark), "doc_id", "text").collect()
+    packets = [r for r in rows if r.kind == 2]
+    assert 0 < len(packets) <= 12 and sum(len(r.data) for r in packets) < sum(map(len, words))
+    got = bpe.encoded(docs(spark, [" ".join(words)] * 2), bpe.vocabulary(spark)).collect()
+    assert [r.ids for r in got] == [library.encode_ordinary(" ".join(words))] * 2
+
+
 def test_bpe_jobs(spark, library):
     data = bpe.vocabulary(spark)
     rows = {r.doc_id: r for r in bpe.digests(docs(spark, ODD), data).collect()}

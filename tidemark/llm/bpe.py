@@ -3,11 +3,13 @@
 A text is cut by the vocabulary's pattern. A word that is a piece itself is that piece; any other word is folded: of all neighbouring parts
 whose joined bytes have a rank, the pair with the lowest rank, the leftmost of equals, is merged, until none is left.
 
-The fold is an aggregate of Spark's higher-order functions over the word's bytes, with the rank map as a literal. It runs once for each
-distinct word of all documents. A task cuts its texts in words, numbers them and writes texts as numbers; the words that are no pieces
-are dealt and sorted, the first row of each distinct one is folded for all, and the ids meet the numbers again in one task for each chunk of texts, which puts them
-together. A chunk ends at CHUNK bytes of text or FLUSH words, so that its words fit a task. A word of over LONG bytes would cost the square of
-its length in the fold; it is folded where it is met, with a heap, in n log n steps, to the same ids.
+The fold is an aggregate of Spark's higher-order functions over the word's bytes. It runs once for each distinct word of all documents. A
+task cuts its texts in words, numbers them and writes texts as numbers; the words that are no pieces are dealt in packets, one for each
+chunk of texts and bucket of words, a bucket's distinct words are folded as arrays, and the ids meet the numbers again in one task for each
+chunk, which puts them together. The rank map stands beside the words that are folded, as columns: a literal would be printed, logged and
+kept by the driver with every plan. A chunk ends at CHUNK bytes of text or FLUSH words, so that its words fit a task; buckets are as many
+as shuffle partitions. A word of over LONG bytes would cost the square of its length in the fold; it is folded where it is met, with a
+heap, in n log n steps, to the same ids.
 
 Null texts are empty and have no ids. Special tokens are never made. Every row gives one row. Decoding the ids of a text gives its bytes.
 """
@@ -18,6 +20,7 @@ import base64
 import hashlib
 import heapq
 import pickle
+import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -29,15 +32,16 @@ import pyarrow as pa
 import regex
 import zstandard
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import store
 from tidemark.llm import text as T
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Bytes of words that are folded by Spark; bytes of text and words that end a chunk; bytes of text whose numbers are packed at a time.
-LONG, CHUNK, FLUSH, PACK = 256, 64 << 20, 500_000, 4 << 20
+#: Bytes of words that are folded by Spark; bytes of text and words that end a chunk; bytes of text whose numbers are packed at a time;
+#: words that are folded in one row.
+LONG, CHUNK, FLUSH, PACK, FOLD = 256, 64 << 20, 500_000, 4 << 20, 1 << 15
 
 
 def ranks(data: str) -> dict[bytes, int]:
@@ -143,43 +147,51 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def folded(word: Column, ranks_: RankMap) -> Column:
-    """Ids of a word (binary) that is no piece itself: an aggregate whose state is the ids of the word's parts, at first its bytes, and the ranks
-    of neighbouring pairs; each step merges the pair with the lowest rank, whose rank is the new part's id, and ranks the two pairs that
-    it makes with its neighbours."""
+def _folded(word: Column, names: Column, ranks_: Column, single: Column, size: int) -> Column:
+    """Ids of a word by the arrays of a RankMap with `size` places."""
     none, empty = F.lit(NONE).cast("bigint"), F.array().cast("array<bigint>")
 
-    def with_map(names: Column, ranks: Column, single: Column) -> Column:
-        def rank(a: Column, b: Column) -> Column:
-            name = F.shiftleft(a, ID_BITS) + b
-            one, two = ((a * x + b * y).bitwiseAND(len(ranks_.names) - 1).cast("int") for x, y in PLACES)
-            return F.when(F.get(names, one) == name, F.get(ranks, one)).when(F.get(names, two) == name, F.get(ranks, two)).otherwise(none)
+    def rank(a: Column, b: Column) -> Column:
+        name = F.shiftleft(a, ID_BITS) + b
+        one, two = ((a * x + b * y).bitwiseAND(size - 1).cast("int") for x, y in PLACES)
+        return F.when(F.get(names, one) == name, F.get(ranks_, one)).when(F.get(names, two) == name, F.get(ranks_, two)).otherwise(none)
+
+    def merge(state: Column, _: Column) -> Column:
+        ids, pairs = state["ids"], state["pairs"]
+
+        def join(low: Column) -> Column:
+            def put(at: Column) -> Column:
+                n = F.size(ids)
+                left = F.when(at > 1, F.array(rank(F.get(ids, at - 2), low))).otherwise(empty)
+                right = F.when(at < n - 1, F.array(rank(low, F.get(ids, at + 1)))).otherwise(empty)
+                return F.struct(
+                    F.concat(F.slice(ids, F.lit(1), at - 1), F.array(low), F.slice(ids, at + 2, n)).alias("ids"),
+                    F.concat(F.slice(pairs, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(pairs, at + 2, n)).alias("pairs"),
+                )
 
-        def merge(state: Column, _: Column) -> Column:
-            ids, pairs = state["ids"], state["pairs"]
+            return F.when(low == none, state).otherwise(_let(F.array_position(pairs, low).cast("int"), put))
 
-            def join(low: Column) -> Column:
-                def put(at: Column) -> Column:
-                    n = F.size(ids)
-                    left = F.when(at > 1, F.array(rank(F.get(ids, at - 2), low))).otherwise(empty)
-                    right = F.when(at < n - 1, F.array(rank(low, F.get(ids, at + 1)))).otherwise(empty)
-                    return F.struct(
-                        F.concat(F.slice(ids, F.lit(1), at - 1), F.array(low), F.slice(ids, at + 2, n)).alias("ids"),
-                        F.concat(F.slice(pairs, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(pairs, at + 2, n)).alias("pairs"),
-                    )
+        return _let(F.coalesce(F.array_min(pairs), none), join)
 
-                return F.when(low == none, state).otherwise(_let(F.array_position(pairs, low).cast("int"), put))
+    def start(ids: Column) -> Column:
+        n = F.size(ids)
+        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.get(ids, i - 1), F.get(ids, i)))).otherwise(empty)
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.struct(ids.alias("ids"), pairs.alias("pairs")), merge, lambda s: s["ids"])
 
-            return _let(F.coalesce(F.array_min(pairs), none), join)
+    return _let(F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), lambda c: F.get(single, F.ascii(c))), start)
 
-        def start(ids: Column) -> Column:
-            n = F.size(ids)
-            pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.get(ids, i - 1), F.get(ids, i)))).otherwise(empty)
-            return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.struct(ids.alias("ids"), pairs.alias("pairs")), merge, lambda s: s["ids"])
 
-        return _let(F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), lambda c: F.get(single, F.ascii(c))), start)
+def folded(word: Column, ranks_: RankMap) -> Column:
+    """Ids of a word (binary) that is no piece itself: an aggregate whose state is the ids of the word's parts, at first its bytes, and the ranks
+    of neighbouring pairs; each step merges the pair with the lowest rank, whose rank is the new part's id, and ranks the two pairs that
+    it makes with its neighbours. The rank map becomes a literal."""
+    size = len(ranks_.names)
+    return _let(literal(ranks_.names), lambda n: _let(literal(ranks_.ranks), lambda r: _let(literal(ranks_.single), lambda s: _folded(word, n, r, s, size)))).cast("array<int>")
 
-    return _let(literal(ranks_.names), lambda n: _let(literal(ranks_.ranks), lambda r: _let(literal(ranks_.single), lambda s: with_map(n, r, s)))).cast("array<int>")
+
+def folded_all(words: Column, names: Column, ranks_: Column, single: Column, size: int) -> Column:
+    """Ids of each word of an array, like `folded`, by a rank map of `size` places whose arrays are columns."""
+    return _let(names, lambda n: _let(ranks_, lambda r: _let(single, lambda s: F.transform(words, lambda w: _folded(w, n, r, s, size))))).cast("array<array<int>>")
 
 
 class Numbers(dict):
@@ -210,39 +222,53 @@ def unplaned(data: bytes) -> np.ndarray:
     return low | middle << 8 | high << 16
 
 
-NUMBERED = "chunk long, kind int, data binary, word binary, number int"
-ANSWERS, TEXTS, WORD = range(3)
+NUMBERED = "chunk long, kind int, bucket int, data binary"
+ANSWERS, TEXTS, WORDS = range(3)
+
 
+def packet(numbers: list[int], words: list[bytes]) -> bytes:
+    """Words and their numbers, which rise, compressed."""
+    gaps = np.diff(np.array(numbers, np.int32), prepend=np.int32(0))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps((planes(gaps), planes(np.array(list(map(len, words)), np.int32)), b"".join(words)), protocol=5))
 
-def numbered(docs: DataFrame, data: Broadcast, key: str, text: str) -> DataFrame:
+
+def words_of(data: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """Numbers and words of `packet`."""
+    gaps, size, joined = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+    ends = np.cumsum(unplaned(size), dtype=np.int64).tolist()
+    return np.cumsum(unplaned(gaps), dtype=np.int32), [joined[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
+def numbered(docs: DataFrame, data: Broadcast, key: str, text: str, parts: int = 12) -> DataFrame:
     """TEXTS rows: ids of documents, their numbers of words, and the numbers of these; ANSWERS rows: ids of words that are pieces or too long;
-    WORD rows: other words. A chunk is a task's; a task that runs again gives all its rows again."""
+    WORDS rows: a packet of other words for each of `parts` buckets. A chunk is a task's; a task that runs again gives all its rows again."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("data", pa.binary()), ("word", pa.binary()), ("number", pa.int32())])
+        schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
         codec, numbers, squeeze = Codec(data.value), Numbers(), zstandard.ZstdCompressor(level=3)
         chunk, total, left = TaskContext.get().partitionId() << 32, 0, False
 
         def answers() -> Iterator[pa.RecordBatch]:
             here: list[tuple[int, tuple[int, ...]]] = []
-            rest: list[tuple[int, bytes]] = []
+            rest: dict[int, tuple[list[int], list[bytes]]] = {}
             for word, n in numbers.items():
                 raw = word.encode()
                 if raw in codec.ranks or len(raw) > LONG:
                     here.append((n, codec.fold(raw)))
                 else:
-                    rest.append((n, raw))
-            yield T.batch(schema, chunk=[chunk], kind=[ANSWERS], data=[answered([n for n, _ in here], [x for _, x in here])], word=[None], number=[None])
-            for k in range(0, len(rest), 1 << 15):
-                part = rest[k : k + (1 << 15)]
-                yield T.batch(schema, chunk=[chunk] * len(part), kind=[WORD] * len(part), data=[None] * len(part), word=[w for _, w in part], number=[n for n, _ in part])
+                    own, words = rest.setdefault(zlib.crc32(raw) % parts, ([], []))
+                    own.append(n)
+                    words.append(raw)
+            yield T.batch(schema, chunk=[chunk], kind=[ANSWERS], bucket=[None], data=[answered([n for n, _ in here], [x for _, x in here])])
+            if rest:
+                yield T.batch(schema, chunk=[chunk] * len(rest), kind=[WORDS] * len(rest), bucket=list(rest), data=[packet(*x) for x in rest.values()])
 
         for b in batches:
             for block in T.blocks(b.column(1), PACK):
                 found = [np.fromiter(map(numbers.__getitem__, codec.words(block.text(i).decode())), np.int32) for i in range(len(block))]
                 ids = b.column(0).slice(block.row, len(block))
                 packed = pickle.dumps((ids.to_pylist(), np.array(list(map(len, found)), np.int32), planes(np.concatenate(found))), protocol=5)
-                yield T.batch(schema, chunk=[chunk], kind=[TEXTS], data=[squeeze.compress(packed)], word=[None], number=[None])
+                yield T.batch(schema, chunk=[chunk], kind=[TEXTS], bucket=[None], data=[squeeze.compress(packed)])
                 total, left = total + len(block.data), True
                 if total >= CHUNK or len(numbers) >= FLUSH:
                     yield from answers()
@@ -271,29 +297,67 @@ def answers_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(gaps, dtype=np.int64), size.astype(np.int64), values
 
 
+def distinct(packets: DataFrame, ranks_: Broadcast) -> DataFrame:
+    """From a bucket's packets, sorted by bucket: rows of its distinct words, each beside the rank map, then a row for each packet: its chunk,
+    and its numbers and which of the words they stand for."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
+        schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("data", pa.binary()), ("words", pa.list_(pa.binary())), ("names", longs), ("ranks", longs), ("single", longs)])
+        now, known, held = None, Numbers(), []
+
+        def given() -> Iterator[pa.RecordBatch]:
+            words = list(known)
+            for k in range(0, len(words), FOLD):
+                single, names, ranks = (pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in ranks_.value)
+                yield T.batch(schema, bucket=[now], chunk=[None], data=[None], words=[words[k : k + FOLD]], names=names, ranks=ranks, single=single)
+            if held:
+                none = [None] * len(held)
+                yield T.batch(schema, bucket=[now] * len(held), chunk=[k for k, _ in held], data=[d for _, d in held], words=none, names=none, ranks=none, single=none)
+
+        for b in batches:
+            for bucket, chunk, packed in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if bucket != now:
+                    yield from given()
+                    now, known, held = bucket, Numbers(), []
+                numbers, words = words_of(packed)
+                held.append((chunk, pickle.dumps((numbers, np.fromiter(map(known.__getitem__, words), np.int32, len(words))), protocol=5)))
+        yield from given()
+
+    return packets.mapInArrow(T.lean(run), "bucket int, chunk long, data binary, words array<binary>, names array<bigint>, ranks array<bigint>, single array<bigint>")
+
+
 def chunks_of(docs: DataFrame, data: Broadcast, key: str, text: str) -> DataFrame:
     """(chunk, kind, data): each chunk's answers before its texts, in one task."""
     parts = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = store.written(numbered(docs, data, key, text), "numbered")
-    wanted = rows.where(F.col("kind") == WORD).select("chunk", "word", "number")
-    same = Window.partitionBy("word").orderBy("chunk")  # a row for each chunk that holds the word
-    first = wanted.repartition(parts, "word").withColumn("nth", F.row_number().over(same))
-    first = first.withColumn("own", F.when(F.col("nth") == 1, folded(F.col("word"), rank_map(ranks(data.value)))))
-    found = first.select("chunk", "number", F.last("own", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, 0)).alias("ids"))
+    rows = store.written(numbered(docs, data, key, text, parts), "numbered")
+    known = rank_map(ranks(data.value))
+    size, sent = len(known.names), docs.sparkSession.sparkContext.broadcast(tuple(np.array(x, np.int64) for x in known))
+    packets = rows.where(F.col("kind") == WORDS).select("bucket", "chunk", "data").repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket")
+    words = distinct(packets, sent)
+    found = words.select("bucket", "chunk", "data", folded_all(F.col("words"), F.col("names"), F.col("ranks"), F.col("single"), size).alias("ids"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
+        now, waiting, table = None, [], None
         for b in batches:
-            chunk, number = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
-            values, offsets = b.column(2).flatten().to_numpy(), b.column(2).offsets.to_numpy().astype(np.int64)
-            begin, size = offsets[:-1] - offsets[0] if len(b) else offsets[:0], np.diff(offsets)
-            order = np.argsort(chunk, kind="stable")
-            cuts = np.flatnonzero(np.concatenate([[True], chunk[order][1:] != chunk[order][:-1], [True]])) if len(b) else np.zeros(1, np.int64)
-            out = [(int(chunk[order[i]]), answered(number[at := order[i:j]], size=size[at], values=ragged(values, begin[at], size[at]))) for i, j in zip(cuts, cuts[1:], strict=False)]
-            yield T.batch(schema, chunk=[k for k, _ in out], kind=[ANSWERS] * len(out), data=[d for _, d in out])
+            for row in range(len(b)):
+                bucket, chunk, packed = (b.column(c)[row].as_py() for c in range(3))
+                if bucket != now:
+                    now, waiting, table = bucket, [], None
+                if packed is None:
+                    own = b.column(3).slice(row, 1).flatten()
+                    waiting.append((np.diff(own.offsets.to_numpy().astype(np.int64)), own.flatten().to_numpy()))
+                    continue
+                if table is None:
+                    size, values = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                    table, waiting = (np.cumsum(size) - size, size, values), []
+                numbers, which = pickle.loads(packed)
+                begin, size, values = table
+                yield T.batch(schema, chunk=[chunk], kind=[ANSWERS], data=[answered(numbers, size=size[which], values=ragged(values, begin[which], size[which]))])
 
     answers = found.mapInArrow(T.lean(run), "chunk long, kind int, data binary")
-    known = rows.where(F.col("kind") != WORD).select("chunk", "kind", "data")
+    known = rows.where(F.col("kind") != WORDS).select("chunk", "kind", "data")
     return answers.unionByName(known).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind")
 
 
