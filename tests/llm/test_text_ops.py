@@ -224,6 +224,20 @@ def test_words_are_dealt_in_packets(spark, library):
     assert [r.ids for r in got] == [library.encode_ordinary(" ".join(words))] * 2
 
 
+def test_texts_pack_by_frequency(spark, library):
+    """Numbers of words go by frequency, whatever comes first, and take less room than numbers in order of appearance."""
+    edges = np.array([0, 159, 160, 255, 160 + (95 << 8) - 1, 160 + (95 << 8), (1 << 24) + 160, (1 << 31) - 1], np.int32)
+    assert (bpe.unpaged(*bpe.paged(edges)) == edges).all() and not len(bpe.unpaged(*bpe.paged(edges[:0])))
+    rng = np.random.default_rng(9)
+    drawn = [*range(18_000, 20_000), *np.minimum(rng.zipf(1.2, 100_000), 20_000).tolist()]
+    text = " ".join("".join(chr(97 + k // 26**i % 26) for i in range(4)) for k in drawn)
+    numbers = bpe.Numbers()
+    plain = bpe.planes(np.array([numbers[w] for w in bpe.Codec("", __import__("public_tokenizers").PATTERN).words(text)], np.int32))
+    rows = bpe.numbered(docs(spark, [text]), bpe.vocabulary(spark), "doc_id", "text").where(F.col("kind") == bpe.TEXTS).collect()
+    assert sum(len(r.data) for r in rows) < 0.9 * len(bpe.zstandard.ZstdCompressor(level=3).compress(plain))
+    assert bpe.encoded(docs(spark, [text]), bpe.vocabulary(spark)).first().ids == library.encode_ordinary(text)
+
+
 def test_bpe_jobs(spark, library):
     data = bpe.vocabulary(spark)
     rows = {r.doc_id: r for r in bpe.digests(docs(spark, ODD), data).collect()}

@@ -222,6 +222,28 @@ def unplaned(data: bytes) -> np.ndarray:
     return low | middle << 8 | high << 16
 
 
+#: Numbers that take one byte, and pages of 256 numbers after them that take two.
+ONE, PAGES = 160, 95
+
+
+def paged(numbers: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Numbers of which small ones are frequent, in streams that pack well: each one's first byte (itself, or its page, or 255), the places in
+    the pages, and the numbers beyond."""
+    rest = numbers - np.int32(ONE)
+    near, far = (rest >= 0) & (rest < PAGES << 8), rest >= PAGES << 8
+    first = np.where(far, 255, np.where(near, ONE + (rest >> 8), numbers)).astype(np.uint8)
+    return first.tobytes(), (rest[near] & 255).astype(np.uint8).tobytes(), planes(rest[far])
+
+
+def unpaged(first: bytes, places: bytes, beyond: bytes) -> np.ndarray:
+    """The numbers of `paged`."""
+    out = np.frombuffer(first, np.uint8).astype(np.int32)
+    near, far = (out >= ONE) & (out < 255), out == 255
+    out[near] = ONE + ((out[near] - ONE) << 8 | np.frombuffer(places, np.uint8))
+    out[far] = unplaned(beyond) + np.int32(ONE)
+    return out
+
+
 NUMBERED = "chunk long, kind int, bucket int, data binary"
 ANSWERS, TEXTS, WORDS = range(3)
 
@@ -241,24 +263,33 @@ def words_of(data: bytes) -> tuple[np.ndarray, list[bytes]]:
 
 def numbered(docs: DataFrame, data: Broadcast, key: str, text: str, parts: int = 12) -> DataFrame:
     """TEXTS rows: ids of documents, their numbers of words, and the numbers of these; ANSWERS rows: ids of words that are pieces or too long;
-    WORDS rows: a packet of other words for each of `parts` buckets. A chunk is a task's; a task that runs again gives all its rows again."""
+    WORDS rows: a packet of other words for each of `parts` buckets. Frequent words of a chunk have small numbers, so its texts pack better.
+    A chunk is a task's; a task that runs again gives all its rows again."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
         codec, numbers, squeeze = Codec(data.value), Numbers(), zstandard.ZstdCompressor(level=3)
-        chunk, total, left = TaskContext.get().partitionId() << 32, 0, False
+        chunk, total = TaskContext.get().partitionId() << 32, 0
+        held: list[tuple[list[int], np.ndarray, np.ndarray]] = []
 
-        def answers() -> Iterator[pa.RecordBatch]:
+        def given() -> Iterator[pa.RecordBatch]:
+            words = list(numbers)
+            order = np.argsort(-np.bincount(np.concatenate([x for _, _, x in held]), minlength=len(words)), kind="stable")
+            new = np.empty(len(order), np.int32)
+            new[order] = np.arange(len(order), dtype=np.int32)
+            for ids, many, own in held:
+                packed = pickle.dumps((ids, many, paged(new[own])), protocol=5)
+                yield T.batch(schema, chunk=[chunk], kind=[TEXTS], bucket=[None], data=[squeeze.compress(packed)])
             here: list[tuple[int, tuple[int, ...]]] = []
             rest: dict[int, tuple[list[int], list[bytes]]] = {}
-            for word, n in numbers.items():
-                raw = word.encode()
+            for n, k in enumerate(order.tolist()):
+                raw = words[k].encode()
                 if raw in codec.ranks or len(raw) > LONG:
                     here.append((n, codec.fold(raw)))
                 else:
-                    own, words = rest.setdefault(zlib.crc32(raw) % parts, ([], []))
+                    own, others = rest.setdefault(zlib.crc32(raw) % parts, ([], []))
                     own.append(n)
-                    words.append(raw)
+                    others.append(raw)
             yield T.batch(schema, chunk=[chunk], kind=[ANSWERS], bucket=[None], data=[answered([n for n, _ in here], [x for _, x in here])])
             if rest:
                 yield T.batch(schema, chunk=[chunk] * len(rest), kind=[WORDS] * len(rest), bucket=list(rest), data=[packet(*x) for x in rest.values()])
@@ -267,14 +298,13 @@ def numbered(docs: DataFrame, data: Broadcast, key: str, text: str, parts: int =
             for block in T.blocks(b.column(1), PACK):
                 found = [np.fromiter(map(numbers.__getitem__, codec.words(block.text(i).decode())), np.int32) for i in range(len(block))]
                 ids = b.column(0).slice(block.row, len(block))
-                packed = pickle.dumps((ids.to_pylist(), np.array(list(map(len, found)), np.int32), planes(np.concatenate(found))), protocol=5)
-                yield T.batch(schema, chunk=[chunk], kind=[TEXTS], bucket=[None], data=[squeeze.compress(packed)])
-                total, left = total + len(block.data), True
+                held.append((ids.to_pylist(), np.array(list(map(len, found)), np.int32), np.concatenate(found)))
+                total += len(block.data)
                 if total >= CHUNK or len(numbers) >= FLUSH:
-                    yield from answers()
-                    numbers, chunk, total, left = Numbers(), chunk + 1, 0, False
-        if left:
-            yield from answers()
+                    yield from given()
+                    numbers, chunk, total, held = Numbers(), chunk + 1, 0, []
+        if held:
+            yield from given()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(T.lean(run), NUMBERED)
@@ -379,7 +409,7 @@ def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[int], np.nd
                 begin[number], many[number] = np.cumsum(size) - size, size
                 table, waiting = (begin, many, ids), []
             docs, words, numbers = pickle.loads(loose.decompress(data))
-            numbers = unplaned(numbers)
+            numbers = unpaged(*numbers)
             begin, many, ids = table
             size = many[numbers]
             ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(words)]
