@@ -1,5 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
+from tests.oracle import answer, asked
+from tidemark.catalog import CATALOG
 from tidemark.functions import bloom
 
 
@@ -22,3 +25,22 @@ def test_filter(spark):
     assert bloom.may_hold(one, rows, "v", shape).count() == 1000
     words = sorted((r.word, r.mask) for r in one.collect())
     assert bloom.loaded(bloom.dumped(shape, words)) == (shape, words)
+
+
+def test_values_with_keys(spark):
+    shape = bloom.Shape.of(1000, 0.01)
+    rows = spark.range(1000).selectExpr("cast(id as string) v", "id % 2 k")
+    filters = bloom.build(rows, "v", shape, "k")
+    assert bloom.own_may_hold(filters, rows.union(rows), "v", shape, "k").count() == 1000
+    assert bloom.own_may_hold(filters, rows.selectExpr("v", "1 - k k"), "v", shape, "k").count() < 20
+    assert bloom.own_may_hold(filters, rows.selectExpr("v", "k + 2 k"), "v", shape, "k").count() == 0
+
+
+def test_days_of_many_users(spark, tmp_path):
+    """3,000 users a day, ids from 999,000 on: more than the filters once were made for, and ids that once were taken for strangers'."""
+    rows = spark.range(9000).select(
+        F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(id % 3 as int), 0, 0, id div 3)").alias("ts"), (999_000 + F.col("id") % 4500).alias("user_id"),
+        F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = asked(CATALOG.queries["m_bloom"](spark, str(tmp_path)))
+    assert got == answer(str(tmp_path), CATALOG.oracle["m_bloom"]) and "True" in got[1][0]

@@ -42,8 +42,18 @@ def build(rows: DataFrame, column: str, shape: Shape, *keys: str) -> DataFrame:
     return bits.select(*keys, F.expr("bit div 32").alias("word"), F.expr("shiftleft(1L, cast(bit % 32 as int))").alias("m")).groupBy(*keys, "word").agg(F.bit_or("m").alias("mask"))
 
 
+def own_may_hold(filters: DataFrame, values: DataFrame, column: str, shape: Shape, *keys: str) -> DataFrame:
+    """(keys, value): of values that come with keys, those that the filter of their own key may hold. What grows with values times keys in
+    `may_hold` grows with the values here, and only bits that aren't set are gathered by value. Never leaves out one that it holds."""
+    asked = values.select(*keys, F.col(column).alias("value")).where("value is not null").distinct()
+    bits = asked.select(*keys, "value", F.explode(shape.places(F.col("value"))).alias("bit"))
+    bits = bits.select(*keys, "value", F.expr("bit div 32").alias("word"), F.expr("shiftleft(1L, cast(bit % 32 as int))").alias("m"))
+    unset = bits.join(filters, [*keys, "word"], "left").where("coalesce(mask & m, 0) = 0")
+    return asked.join(unset, [*keys, "value"], "left_anti")
+
+
 def may_hold(filters: DataFrame, values: DataFrame, column: str, shape: Shape, *keys: str) -> DataFrame:
-    """(keys, value): the values that each key's filter may hold. Never leaves out one that it holds."""
+    """(keys, value): the values that each key's filter may hold, each value asked of all keys. Never leaves out one that it holds."""
     asked = values.select(F.col(column).alias("value")).where("value is not null").distinct()
     bits = asked.select("value", F.explode(F.array_distinct(shape.places(F.col("value")))).alias("bit"), F.size(F.array_distinct(shape.places(F.col("value")))).alias("need"))
     bits = bits.select("value", "need", F.expr("bit div 32").alias("word"), F.expr("shiftleft(1L, cast(bit % 32 as int))").alias("m"))

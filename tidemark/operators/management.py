@@ -198,12 +198,15 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @QUERIES.query("m_bloom", ORACLE_VIEW + "SELECT COUNT(*) AS held, TRUE AS rare FROM (SELECT DISTINCT partition_key, user_id FROM ev)")
 def bloom_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each day's filter holds all of its users, and hardly any strangers."""
+    """Each day's filter holds all of its users, and hardly any strangers. Filters are as large as the day with the most users asks for,
+    and strangers are ids of the whole range that no event has."""
     rows = events(spark, sf_dir).select("partition_key", "user_id").distinct()
-    shape = bloom.Shape.of(1000, 0.001)
+    most = rows.groupBy("partition_key").agg(F.count("user_id").alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    shape = bloom.Shape.of(max(1000, most or 0), 0.001)
     filters = bloom.build(rows, "user_id", shape, "partition_key")
-    held = bloom.may_hold(filters, rows, "user_id", shape, "partition_key").withColumnRenamed("value", "user_id").join(rows, ["partition_key", "user_id"], "left_semi")
-    strangers = spark.range(1_000_000, 1_001_000).withColumnRenamed("id", "user_id")
+    held = bloom.own_may_hold(filters, rows, "user_id", shape, "partition_key")
+    some = spark.range(1000).select(F.xxhash64("id").alias("user_id"))
+    strangers = some.join(rows.join(F.broadcast(some), "user_id", "left_semi"), "user_id", "left_anti")
     wrong = bloom.may_hold(filters, strangers, "user_id", shape, "partition_key")
     days = rows.select("partition_key").distinct().agg(F.count("*").alias("days"))
     one = held.agg(F.count("*").alias("held")).withColumn("k", F.lit(1)).join(wrong.agg(F.count("*").alias("wrong")).withColumn("k", F.lit(1)), "k").join(days.withColumn("k", F.lit(1)), "k")
