@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import CATALOG
 from tidemark.operators import storage
+from tidemark.sources.manifest import Manifest
 from tidemark.sources.tables import events
 
 DATA = "/root/testdata/sf0.001"
@@ -37,6 +38,20 @@ def test_duplicates_go_by_compaction(spark, monkeypatch):
     assert got.rows == 2 * got.ids == 2 * sum(out["rows"] for _, _, out in calls)
 
 
+def versions_of(monkeypatch, spark, name):
+    """How many versions end files while a query runs, and how often rows are written."""
+    ends, writes = [], []
+    replace, write = Manifest.replace, storage.Store._write
+    monkeypatch.setattr(Manifest, "replace", lambda *args: (ends.append(1), replace(*args))[1])
+    monkeypatch.setattr(storage.Store, "_write", lambda *args, **more: (writes.append(1), write(*args, **more))[1])
+    CATALOG.queries[name](spark, DATA).collect()
+    return len(ends), len(writes)
+
+
+def test_duplicates_of_all_days_go_in_one_job(spark, monkeypatch):
+    assert versions_of(monkeypatch, spark, "m_duplicate_ids") == (1, 3)
+
+
 def test_candidates_come_from_the_store(spark, monkeypatch):
     calls = spied(monkeypatch, "candidates")
     got = CATALOG.queries["m_compaction_candidates"](spark, DATA).collect()

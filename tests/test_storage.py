@@ -341,3 +341,41 @@ def test_no_private_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(Elsewhere)
+
+
+def test_keys_are_compacted_together(spark, tmp_path):
+    """Small and large keys, and one whose files differ in a column's type from the others', each with its own files, in one version."""
+    s, wide = storage.Store(spark, str(tmp_path / "s")), F.sha2(F.col("event_time").cast("string"), 256)
+    many = spark.range(6000).select(F.lit(None).cast("binary").alias("event_id"), F.lit("t").alias("tenant_id"), F.col("id").alias("user_id"), (F.lit(START + 9 * DAY) + F.col("id")).alias("event_time"), F.lit("e").alias("event_type"), F.lit("{}").alias("payload"))
+    for k in range(2):
+        s.ingest(rows(spark, 60, 60 * k).withColumn("event_time", F.lit(START) + F.pmod("user_id", F.lit(3)) * DAY).withColumn("extra", F.lit("x")), f"a{k}")
+        s.ingest(many.withColumn("payload", wide).where(F.col("user_id") % 2 == k), f"b{k}")
+        s.ingest(rows(spark, 5, 5 * k).withColumn("event_time", F.lit(START + 5 * DAY)).withColumn("extra", F.lit(k)), f"c{k}")
+    before, keys = storage.fingerprint(s.scan()), [r.partition_key for r in s.candidates().orderBy("partition_key").collect()]
+    was, target = s.manifest.version(), s.manifest.active().groupBy("partition_key").agg(F.sum("size_bytes").alias("b")).agg(F.max("b")).first()[0] // 4
+    with s.together(keys, target=target):
+        got = [s.compact(k, target=target) for k in keys]
+        with pytest.raises(ValueError):
+            s.compact("20300101", target=target)
+    assert len(keys) == len(got) > 3 and all(g["done"] and g["files"] == 2 for g in got) and sum(g["rows"] for g in got) == 6130
+    assert storage.fingerprint(s.scan()) == before and s.manifest.version() == was + 1
+    files = {r.partition_key: r["count"] for r in s.manifest.active().groupBy("partition_key").count().collect()}
+    assert 3 <= files.pop("20240110") <= 5 and set(files.values()) == {1}
+    paths = {r.path: r.partition_key for r in s.manifest.active().collect()}
+    assert all(paths[r.compacted_into] == r.partition_key for r in s.manifest.files().where("compacted_into is not null").collect())
+    assert manifest.reconcile(s.manifest.files(), s.present()).count() == 0
+
+
+def test_an_error_between_compactions_commits_none(spark, tmp_path):
+    s = storage.Store(spark, str(tmp_path / "s"))
+    for k in range(2):
+        s.ingest(rows(spark, 40), f"a{k}")  # 40 rows of two days, each with an id of its own in each batch
+    was, keys = s.manifest.version(), [r.partition_key for r in s.candidates().orderBy("partition_key").collect()]
+    with pytest.raises(KeyboardInterrupt), s.together(keys, drop_duplicates=True):
+        s.compact(keys[0], drop_duplicates=True)
+        raise KeyboardInterrupt
+    assert s.manifest.version() == was and s.scan().count() == 80
+    with s.together(keys):
+        s.compact(keys[0])
+    assert s.manifest.active().where(F.col("partition_key") == keys[0]).count() == 1
+    assert s.manifest.active().where(F.col("partition_key") == keys[1]).count() == 2 and s.scan().count() == 80

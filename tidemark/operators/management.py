@@ -229,8 +229,10 @@ def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in range(2):
         store.ingest(_rows(spark, sf_dir), f"time-{k}")
     rows = store.scan().count()
-    for r in store.manifest.active().select("partition_key").distinct().orderBy("partition_key").collect():
-        store.compact(r.partition_key, drop_duplicates=True)
+    keys = [r.partition_key for r in store.manifest.active().select("partition_key").distinct().orderBy("partition_key").collect()]
+    with store.together(keys, drop_duplicates=True):
+        for key in keys:
+            store.compact(key, drop_duplicates=True)
     return store.scan().agg(F.count("*").alias("ids"), F.lit(rows).cast("long").alias("rows"))
 
 

@@ -14,7 +14,7 @@ import json
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -48,12 +48,12 @@ MOST, ROWS_A_FILE, TRIES = 16, 1_000_000, 50
 STATS = ("user_id", "event_time", "tenant_id")
 
 
-def file_stats(rows: DataFrame, path: str = "path", distinct: str = "exact") -> DataFrame:
+def file_stats(rows: DataFrame, path: str = "path", distinct: str = "exact", more: tuple[Column, ...] = ()) -> DataFrame:
     """Least and greatest values, rows, and numbers of distinct values for each file of rows(path, partition_key, ...). distinct: `exact`
-    counts, which move every value; `sketch`, estimates by sketches that are merged; or `none`."""
+    counts, which move every value; `sketch`, estimates by sketches that are merged; or `none`. more: aggregates told in the same pass."""
     aggregates = [f(c).alias(f"{n}_{c}") for c in STATS for n, f in (("min", F.min), ("max", F.max))]
     count = {"exact": lambda c: [F.count_distinct(c)], "sketch": lambda c: [F.approx_count_distinct(c, 0.02)], "none": lambda c: []}[distinct]
-    return rows.groupBy(path, "partition_key").agg(*aggregates, F.count("*").alias("row_count"), *(x.alias(f"n_{c}") for c in STATS for x in count(c)))
+    return rows.groupBy(path, "partition_key").agg(*aggregates, F.count("*").alias("row_count"), *(x.alias(f"n_{c}") for c in STATS for x in count(c)), *more)
 
 
 class Manifest:
@@ -129,7 +129,8 @@ class Manifest:
         return paths.select("path") if isinstance(paths, DataFrame) else self.spark.createDataFrame([(p,) for p in paths], "path string")
 
     def replace(self, old: list[str] | DataFrame, new: DataFrame, at: int) -> None:
-        """Mark files as compacted into the new ones, and add those, in one version. Refused if one of the files isn't active any more."""
+        """Mark files as compacted into the new ones of their key, and add those, in one version. Refused if one of the files isn't active any
+        more."""
         old = self._paths(old).distinct()
         many, name = old.count(), None
         for _ in range(TRIES):
@@ -138,8 +139,9 @@ class Manifest:
             if gone.count() != many:
                 raise RuntimeError("some of the files aren't active any more")
             if name is None:
-                target = [r.path for r in new.select("path").limit(1).collect()]
-                gone = gone.withColumn("compacted_into", F.lit(target[0] if target else uuid.uuid4().hex)).withColumn("superseded_at", F.lit(at)).withColumn("state", F.lit(SUPERSEDED))
+                into = new.groupBy("partition_key").agg(F.min("path").alias("into"))
+                gone = gone.join(F.broadcast(into), "partition_key", "left").withColumn("compacted_into", F.coalesce("into", F.lit(uuid.uuid4().hex))).drop("into")
+                gone = gone.withColumn("superseded_at", F.lit(at)).withColumn("state", F.lit(SUPERSEDED))
                 name, n = self._write(gone.unionByName(new.withColumn("state", F.lit(ADDED)), allowMissingColumns=True))
             if self._mark(base, name, n, False):
                 return
