@@ -52,6 +52,10 @@ def test_duplicates_of_all_days_go_in_one_job(spark, monkeypatch):
     assert versions_of(monkeypatch, spark, "m_duplicate_ids") == (1, 3)
 
 
+def test_candidates_are_compacted_in_one_job(spark, monkeypatch):
+    assert versions_of(monkeypatch, spark, "m_compaction_invariant") == (1, 3)
+
+
 def test_candidates_come_from_the_store(spark, monkeypatch):
     calls = spied(monkeypatch, "candidates")
     got = CATALOG.queries["m_compaction_candidates"](spark, DATA).collect()

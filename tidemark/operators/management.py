@@ -128,8 +128,10 @@ def compaction_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = storage.Store(spark, work_dir(spark))
     for k in range(2):
         store.ingest(_rows(spark, sf_dir).where(F.col("user_id") % 2 == k), f"part-{k}")
-    for r in store.candidates().orderBy("partition_key").collect():
-        store.compact(r.partition_key)
+    keys = [r.partition_key for r in store.candidates().orderBy("partition_key").collect()]
+    with store.together(keys):
+        for key in keys:
+            store.compact(key)
     return _summary(store.scan())
 
 
